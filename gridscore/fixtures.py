@@ -200,3 +200,45 @@ def authored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "turn",
     )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts on cells: many attempts share a key, some keys fail and later succeed."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "'run-1' AS run_id",
+        "user_id AS source_no",
+        "concat('s', CAST(user_id AS STRING)) AS source_id",
+        "CASE CAST(floor(event_id / 8) AS BIGINT) % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' ELSE 'zh-Hans' END AS target_language",
+        "concat('p', CAST(event_id % 8 AS STRING)) AS participant_id",
+        "concat('m', CAST(event_id % 8 % 5 AS STRING)) AS participant_model_id",
+        "event_id AS seq",
+        "ts",
+        "event_type IN ('click', 'purchase') AS succeeded",
+        "event_type = 'error' AS failed",
+        "CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(round(value * 10) AS BIGINT) END AS latency_ms",
+    )
+    return rows.withColumn("stable_key", stable_key("run_id", "source_id", "target_language", "participant_id"))
+
+
+_CELL = ["stable_key", "source_no", "source_id", "target_language", "participant_id", "participant_model_id"]
+
+
+def ledger_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One translation per key that ever succeeded."""
+    return ledger(spark, sf_dir).where("succeeded").groupBy(*_CELL).agg(F.min("seq").alias("seq"))
+
+
+def ledger_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).where("failed").select(*_CELL, "seq", F.col("ts").alias("recorded_at"))
+
+
+def ledger_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_translations(spark, sf_dir).select(
+        "stable_key",
+        F.lit("run-1").alias("run_id"),
+        "source_id",
+        "target_language",
+        "participant_id",
+        F.when(F.col("source_no") % 7 == 0, "judge_failed").otherwise("ok").alias("status"),
+        F.when(F.col("source_no") % 3 == 0, "judge-b").otherwise("judge-a").alias("judge_model_id"),
+    )

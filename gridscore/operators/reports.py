@@ -65,13 +65,19 @@ def severity_totals(
 
 
 def error_class_counts(judgments: DataFrame, people: Sequence[Participant], languages: Sequence[str] = domain.LANGUAGES) -> DataFrame:
-    """How often each error class occurs; only classes that do occur."""
+    """How often each error class occurs; only classes that do occur.
+
+    Failed rows hold no errors, so no status filter is needed. The outer explode keeps the
+    optimizer from adding a size filter, which would read annotations twice when the errors
+    are computed in the same job.
+    """
     ids = [person.participant_id for person in people]
     return (
-        judgments.where((F.col("status") == "ok") & F.col("participant_id").isin(*ids) & F.col("target_language").isin(*languages))
-        .select("target_language", "participant_id", F.explode("errors.class").alias("error_class"))
+        judgments.where(F.col("participant_id").isin(*ids) & F.col("target_language").isin(*languages))
+        .select("target_language", "participant_id", F.explode_outer("errors.class").alias("error_class"))
         .groupBy("target_language", "participant_id", "error_class")
         .agg(F.count(F.lit(1)).alias("errors"))
+        .where(F.col("error_class").isNotNull())
     )
 
 

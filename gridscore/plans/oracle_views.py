@@ -111,3 +111,40 @@ SELECT concat('c', lpad(CAST(conv_id AS VARCHAR), 6, '0'), '-', lpad(CAST(turn A
   source_text AS cur_text, conv_id + turn AS number
 FROM item_base WHERE coalesce(len(prior_roles), 0) > 0
 """
+
+VIEWS["ledger"] = """
+SELECT *, concat(run_id, '::', source_id, '::', target_language, '::', participant_id) AS stable_key FROM (
+SELECT 'run-1' AS run_id, user_id AS source_no, concat('s', CAST(user_id AS VARCHAR)) AS source_id,
+  CASE CAST(floor(event_id / 8) AS BIGINT) % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' ELSE 'zh-Hans' END AS target_language,
+  concat('p', CAST(event_id % 8 AS VARCHAR)) AS participant_id, concat('m', CAST(event_id % 8 % 5 AS VARCHAR)) AS participant_model_id,
+  event_id AS seq, ts, event_type IN ('click', 'purchase') AS succeeded, event_type = 'error' AS failed,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(round(value * 10) AS BIGINT) END AS latency_ms
+FROM events) e
+"""
+
+VIEWS["led_translations"] = """
+SELECT stable_key, source_no, source_id, target_language, participant_id, participant_model_id, min(seq) AS seq
+FROM ledger WHERE succeeded GROUP BY ALL
+"""
+
+VIEWS["led_failures"] = """
+SELECT stable_key, source_no, source_id, target_language, participant_id, participant_model_id, seq, ts AS recorded_at
+FROM ledger WHERE failed
+"""
+
+VIEWS["led_unresolved"] = """
+SELECT * FROM led_failures WHERE stable_key NOT IN (SELECT stable_key FROM led_translations)
+QUALIFY row_number() OVER (PARTITION BY stable_key ORDER BY recorded_at DESC, seq DESC) = 1
+"""
+
+VIEWS["led_judgments"] = """
+SELECT stable_key, 'run-1' AS run_id, source_id, target_language, participant_id,
+  CASE WHEN source_no % 7 = 0 THEN 'judge_failed' ELSE 'ok' END AS status,
+  CASE WHEN source_no % 3 = 0 THEN 'judge-b' ELSE 'judge-a' END AS judge_model_id
+FROM led_translations
+"""
+
+VIEWS["led_copied"] = """
+SELECT t.*, stable_key AS source_stable_key, concat('run-2::', source_id, '::', target_language, '::', participant_id) AS new_key
+FROM led_translations t WHERE participant_id IN ('p0','p1','p2','p4','p5') AND source_no % 5 <> 0
+"""
