@@ -159,3 +159,56 @@ MANIFEST_VERSION = 3
 # CSV columns printed with six decimals, and columns always quoted.
 CSV_SIX_DECIMALS = ("mean_penalty", "missed_required_context_rate", "misused_context_rate")
 CSV_FORCE_QUOTE = ("caveat", "provenance")
+
+# Output format section of a one-text judge prompt.
+FLAT_PROMPT_FORMAT = """Return the annotation in exactly this text format:
+
+Critical:
+no-error | <MQM class> - "<translated span>"
+Major:
+no-error | <MQM class> - "<translated span>"
+Minor:
+no-error | <MQM class> - "<translated span>"
+contextBehavior: used_correctly | missed_required_context | ignored_irrelevant_context | misused_context | unclear
+
+- List each error under its severity heading (Critical:, Major:, Minor:).
+- Write error lines as <MQM class> - "<translated span>".
+- Write no-error under a heading that has no errors.
+- End with the contextBehavior line.
+- Do not return JSON, Markdown, prose, or extra sections."""
+
+# Language codes of translation services, by role: code, then the names it goes by.
+_KOREAN = {"ko": ("korean", "ko")}
+_THREE_TARGETS = {"en": ("en", "english"), "ja": ("ja", "japanese"), "zh-CN": ("zh-hans", "chinese simplified")}
+_SIXTEEN = {
+    "ko": ("korean", "ko"),
+    "en": ("english", "en"),
+    "ja": ("japanese", "ja"),
+    "zh-CN": ("zh-hans", "zh-cn", "chinese simplified"),
+    "zh-TW": ("zh-tw", "zh-hant", "chinese traditional"),
+    "es": ("spanish", "es"),
+    "fr": ("french", "fr"),
+    "de": ("german", "de"),
+    "ru": ("russian", "ru"),
+    "pt": ("portuguese", "pt"),
+    "it": ("italian", "it"),
+    "vi": ("vietnamese", "vi"),
+    "th": ("thai", "th"),
+    "id": ("indonesian", "id"),
+    "hi": ("hindi", "hi"),
+    "ar": ("arabic", "ar"),
+}
+SERVICE_LANGUAGES = {
+    ("deepl", "source"): {"KO": ("korean", "ko")},
+    ("deepl", "target"): {"EN": ("en", "english"), "JA": ("ja", "japanese"), "ZH-HANS": ("zh-hans", "chinese simplified")},
+    ("papago", "source"): _SIXTEEN,
+    ("papago", "target"): _SIXTEEN,
+    ("google-web", "source"): _KOREAN,
+    ("google-web", "target"): _THREE_TARGETS,
+    ("google-translate-basic", "source"): _KOREAN,
+    ("google-translate-basic", "target"): _THREE_TARGETS,
+}
+# An unknown source language is left out by these services, an error for the others.
+SERVICES_WITH_OPTIONAL_SOURCE = ("deepl",)
+# Language names of local completion models that differ from the label.
+COMPLETION_LANGUAGE_NAMES = {"Chinese Simplified": "Chinese (Simplified)"}
