@@ -15,7 +15,11 @@ from gridscore.operators.windows import previous_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # The files hold times without a zone; they are instants in UTC.
+    if name == "events" and dict(df.dtypes)["ts"] == "timestamp_ntz":
+        df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return df
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
