@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reports", "annotations", "runs", "items", "analysis", "progress")
+MODULES = ("reports", "annotations", "runs", "items", "analysis", "progress", "errors", "export", "streams")
 
 
 def load() -> None:
