@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -121,8 +121,9 @@ def rank_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Seq
     task, the counts are first summed per value range and offset by a running total.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
+    # Filtering on the count instead of the value keeps the filter above the aggregate, so a
+    # value that is computed in the same job is computed once.
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n")).where("_n > 0")
 
     # Ranges of values by a monotone, deterministic function of the value itself.
     span = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096)

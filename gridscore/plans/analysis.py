@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridscore import domain, fixtures
 from gridscore.functions.transcripts import accumulate, character_error_rate
 from gridscore.operators import analysis, reports
-from gridscore.plans.common import PEOPLE, rounded
+from gridscore.plans.common import PEOPLE, rounded, spread
 from gridscore.plans.registry import query
 from gridscore.session import small_table, strings
 
@@ -88,7 +88,7 @@ def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = F.when(F.col("event_id") % 4 == 0, reference).when(F.col("event_id") % 4 == 1, F.replace(reference, F.lit("e"), F.lit(""))).otherwise(
         F.concat(F.replace(reference, F.lit("r"), F.lit("l")), F.lit("?"))
     )
-    return fixtures.table(spark, sf_dir, "events").select("event_id", reference.alias("reference"), wrong.alias("hypothesis"))
+    return spread(fixtures.table(spark, sf_dir, "events")).select("event_id", reference.alias("reference"), wrong.alias("hypothesis"))
 
 
 _CER = """

@@ -22,11 +22,19 @@ from gridscore.streaming import runs as streams
 _EVENT = "seq bigint, ts timestamp, item_key string, bucket_key string, participant_id string, phase string, outcome string, error_class string, latency_ms bigint"
 
 
-def staged(spark: SparkSession, sf_dir: str, parts: int = 4, where: str = "true") -> str:
-    """The event log as JSON files in a shared folder, in the order of the log."""
+def staged(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+    """The event log as JSON files in a shared folder, written in the order of the log.
+
+    The parts are appended one after the other: a file stream takes files by age, and a
+    watermark would drop a part that arrives before an older one.
+    """
     path = scratch_path(spark, "events")
-    log = fixtures.attempts(spark, sf_dir).where(where)
-    log.repartitionByRange(parts, "seq").write.option("ignoreNullFields", "false").json(path)
+    log = fixtures.attempts(spark, sf_dir)
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    width = last // parts + 1
+    for part in range(parts):
+        rows = log.where(F.col("seq").between(part * width, (part + 1) * width - 1))
+        rows.write.mode("append").options(ignoreNullFields="false", timestampFormat=streams.TIMESTAMP_FORMAT).json(path)
     return path
 
 
@@ -70,7 +78,8 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "batches")
     numbered = batches(fixtures.items(spark, sf_dir), 12)
     grouped = numbered.groupBy(F.col("batch_id").alias("batchId")).agg(F.sort_array(F.collect_list(F.struct("ord", "sampleId"))).alias("items"))
-    grouped.select(F.lit("set").alias("datasetId"), "batchId", F.transform("items", lambda i: F.struct(i["sampleId"].alias("sampleId"))).alias("items")).write.json(path)
+    items = F.transform("items", lambda i: F.struct(i["sampleId"].alias("sampleId")))
+    grouped.select(F.lit("set").alias("datasetId"), "batchId", items.alias("items"), F.col("batchId").alias("folder")).write.partitionBy("folder").json(path)
     return files.read_batches(spark, path, "struct<sampleId:string>").select(F.col("sampleId").alias("sample_id"), F.col("batchId").alias("batch_id"))
 
 
@@ -194,7 +203,7 @@ def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out, checkpoint = scratch_path(spark, "events"), scratch_path(spark, "done"), scratch_path(spark, "checkpoint")
     log = fixtures.attempts(spark, sf_dir).where("phase = 'judge'")
     for half in (0, 1):
-        log.where(F.col("seq") % 4 == 1 + 2 * half).write.mode("append").json(folder)
+        log.where(F.col("seq") % 4 == 1 + 2 * half).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
         keys = event_stream(spark, folder).select(F.concat("item_key", F.lit("-"), (F.col("seq") % 7).cast("string")).alias("stable_key"))
         streams.run_append(keys, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("stable_key")

@@ -16,6 +16,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Large expressions are built from Python; recording the call site of every step costs more.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

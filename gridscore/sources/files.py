@@ -30,7 +30,7 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 def read_batches(spark: SparkSession, folder: str, item_schema: str) -> DataFrame:
     """Items of all batch files of a folder, with file name and position as order."""
     schema = f"datasetId string, batchId string, items array<{item_schema}>"
-    batches = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(folder)
+    batches = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
     named = batches.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     return named.select("datasetId", "batchId", "file", F.posexplode("items").alias("pos", "item")).select(
         "datasetId", "batchId", "file", "pos", "item.*"

@@ -18,8 +18,12 @@ from gridscore.session import path_exists
 from gridscore.sources.files import latest_version, read_version, write_version
 
 
+# The default format of JSON files would cut times to milliseconds.
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def event_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
+    reader = spark.readStream.schema(schema).options(mode="FAILFAST", timestampFormat=TIMESTAMP_FORMAT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(folder)
