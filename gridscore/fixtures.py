@@ -40,7 +40,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "ts",
         F.lit("run-1").alias("run_id"),
-        F.concat(F.lit("s"), F.lpad(F.col("src").cast("string"), 6, "0")).alias("source_id"),
+        F.format_string("s%06d", "src").alias("source_id"),
         F.when(F.col("lang_no") == 0, "en").when(F.col("lang_no") == 1, "ja").otherwise("zh-Hans").alias("target_language"),
         F.concat(F.lit("p"), (F.col("event_id") % 8).cast("string")).alias("participant_id"),
         F.when(failed, "judge_failed").otherwise("ok").alias("status"),

@@ -113,17 +113,18 @@ def bucketed(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Co
     return result
 
 
-def rank_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), error: float = 0.0) -> DataFrame:
+def rank_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Quantile values by rank ``ceil((n-1)p)`` over the sorted values, per group.
 
-    Equal values are counted first. Running counts over the distinct values of a group then
+    Equal values are counted first (or their ``weight`` summed, if rows are counts already). Running counts over the distinct values of a group then
     give each value its rank range; to keep a group with very many distinct values out of one
     task, the counts are first summed per value range and offset by a running total.
     """
     keys = list(keys)
     # Filtering on the count instead of the value keeps the filter above the aggregate, so a
     # value that is computed in the same job is computed once.
-    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n")).where("_n > 0")
+    copies = F.sum(F.when(F.col(value).isNotNull(), F.col(weight))) if weight else F.count(value)
+    counts = df.groupBy(*keys, value).agg(copies.alias("_n")).where("_n > 0")
 
     # Ranges of values by a monotone, deterministic function of the value itself.
     span = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096)

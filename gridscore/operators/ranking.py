@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 from gridscore import domain
 from gridscore.functions.keys import display_name, is_no_context_variant, is_partial_service
 
-_BY_MEAN = (F.col("mean_penalty").asc_nulls_last(), F.col("participant_id").asc())
-
-
 def ranked(rows: DataFrame, *slices: str) -> DataFrame:
     """Dense positions by mean (missing last, ties by id), inside each slice if any."""
     window = Window.partitionBy(*slices) if slices else Window.partitionBy(F.lit(0))
-    return rows.withColumn("rank", F.row_number().over(window.orderBy(*_BY_MEAN)).cast("bigint"))
+    return rows.withColumn("rank", F.row_number().over(window.orderBy(F.col("mean_penalty").asc_nulls_last(), "participant_id")).cast("bigint"))
 
 
 def caveat(valid: Column, reuse_only: Column, note: Column, unresolved_total: Column, own_valid: Column, own_expected: Column, own_unresolved: Column) -> Column:

@@ -15,20 +15,27 @@ from pyspark.sql import functions as F
 from gridscore import domain
 from gridscore.operators.grid import Participant, language_table, participant_table, with_participants
 
-SCORE = (
-    F.avg("total_penalty").alias("mean_penalty"),
-    F.count_if(F.col("status") == "ok").alias("samples"),
-    F.count_if(F.col("status") == "judge_failed").alias("failed_samples"),
-)
 PERSON = ["participant_id", "participant_display_name", "ord"]
 
-SLICES: dict[str, Column] = {
-    "context_turn_count": F.col("context_turn_count").cast("string"),
-    "speaker_mode": F.col("speaker_mode"),
-    "context_turn_count_and_speaker_mode": F.concat(F.col("context_turn_count").cast("string"), F.lit("::"), F.col("speaker_mode")),
-    "primary_phenomenon": F.col("primary_phenomenon"),
-    "context_expectation": F.col("context_expectation"),
-}
+
+def score() -> list[Column]:
+    return [
+        F.avg("total_penalty").alias("mean_penalty"),
+        F.count_if(F.col("status") == "ok").alias("samples"),
+        F.count_if(F.col("status") == "judge_failed").alias("failed_samples"),
+    ]
+
+
+def slice_keys() -> dict[str, Column]:
+    """Name and key of every standard slice."""
+    turns = F.col("context_turn_count").cast("string")
+    return {
+        "context_turn_count": turns,
+        "speaker_mode": F.col("speaker_mode"),
+        "context_turn_count_and_speaker_mode": F.concat(turns, F.lit("::"), F.col("speaker_mode")),
+        "primary_phenomenon": F.col("primary_phenomenon"),
+        "context_expectation": F.col("context_expectation"),
+    }
 
 
 def _zero(df: DataFrame, *names: str) -> DataFrame:
@@ -47,7 +54,7 @@ def language_leaderboard(
     judgments: DataFrame, people: Sequence[Participant], languages: Sequence[str] = domain.LANGUAGES
 ) -> DataFrame:
     """Mean, ok and failed counts for every configured language and participant."""
-    scores = judgments.groupBy("target_language", "participant_id").agg(*SCORE)
+    scores = judgments.groupBy("target_language", "participant_id").agg(*score())
     grid = with_participants(language_table(judgments.sparkSession, languages), people)
     return _zero(grid.join(scores, ["target_language", "participant_id"], "left"), "samples", "failed_samples")
 
@@ -84,7 +91,7 @@ def error_class_counts(judgments: DataFrame, people: Sequence[Participant], lang
 def slice_leaderboard(judgments: DataFrame, people: Sequence[Participant], key: Column) -> DataFrame:
     """Leaderboard per value of ``key``. Values come from all rows, failed ones included."""
     scores = (
-        judgments.withColumn("slice", key).where(F.col("slice").isNotNull()).groupBy("slice", "participant_id").agg(*SCORE)
+        judgments.withColumn("slice", key).where(F.col("slice").isNotNull()).groupBy("slice", "participant_id").agg(*score())
     )
     grid = with_participants(scores.select("slice").distinct(), people)
     return _zero(grid.join(scores, ["slice", "participant_id"], "left"), "samples", "failed_samples")
@@ -96,7 +103,7 @@ def all_slices(judgments: DataFrame, people: Sequence[Participant], slices: dict
     Rows are first reduced to one per participant and combination of slice values; only this
     small table is expanded by the grouping sets.
     """
-    slices = slices or SLICES
+    slices = slices or slice_keys()
     names = list(slices)
     base = (
         judgments.select("participant_id", "status", "total_penalty", *[column.alias(name) for name, column in slices.items()])

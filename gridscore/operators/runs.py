@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.functions.keys import stable_key
+from gridscore.operators.grid import MAX_DIMENSION
 from gridscore.operators.windows import latest_rows
 
 
@@ -90,12 +91,15 @@ def import_participants(target: DataFrame, source: DataFrame, participants: Sequ
     """Append the rows of named participants of another run; each must have exactly ``expected``.
 
     Counting is a small aggregate; its result rides along as a per-participant check so that
-    one job both checks and copies.
+    one job both checks and copies. It holds at most one row per name in ``participants``, which
+    bounds the broadcast.
     """
+    if len(participants) > MAX_DIMENSION:
+        raise ValueError(f"at most {MAX_DIMENSION} participants can be named")
     wanted = source.where(F.col("participant_id").isin(*participants))
     counts = wanted.groupBy("participant_id").agg(F.count(F.lit(1)).alias("_n"))
     message = F.format_string("%s has %d rows, expected %d", F.col("participant_id"), F.col("_n"), F.lit(expected))
-    checked = wanted.join(counts, "participant_id").withColumn(
+    checked = wanted.join(F.broadcast(counts), "participant_id").withColumn(
         "_ok", F.when(F.col("_n") == expected, True).otherwise(F.raise_error(message).cast("boolean"))
     )
     return target.unionByName(checked.where("_ok").drop("_n", "_ok"), allowMissingColumns=True)

@@ -117,13 +117,18 @@ SELECT count(*) AS n, ROUND(avg(cer), 6) AS mean, ROUND(min(cer), 6) AS smallest
   (SELECT count(*) FROM rate WHERE h = r) AS exact, (SELECT count(*) FROM rate WHERE contains(h, '?')) AS unclear FROM o
 """)
 def g33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = _rates(spark, sf_dir)
-    plain = rates.groupBy(F.lit(1).alias("_all")).agg(
-        F.count("cer").alias("n"), F.avg("cer").alias("mean"), F.min("cer").alias("smallest"), F.max("cer").alias("largest"),
-        F.stddev_pop("cer").alias("std"), F.count_if(F.trim("hypothesis") == F.trim("reference")).alias("exact"),
-        F.count_if(F.contains("hypothesis", F.lit("?"))).alias("unclear"),
+    """Rows are counted per rate first: the distances are computed once, all figures follow from the counts."""
+    counted = _rates(spark, sf_dir).groupBy(F.lit(1).alias("_all"), "cer").agg(
+        F.count("cer").alias("w"), F.count_if(F.trim("hypothesis") == F.trim("reference")).alias("same"),
+        F.count_if(F.contains("hypothesis", F.lit("?"))).alias("asked"),
     )
-    ranks = analysis.rank_quantiles(rates.withColumn("_all", F.lit(1)), "cer", (0.1, 0.9, 0.95), ["_all"])
+    mean = F.sum(F.col("cer") * F.col("w")) / F.sum("w")
+    square = F.sum(F.col("cer") * F.col("cer") * F.col("w")) / F.sum("w")
+    plain = counted.groupBy("_all").agg(
+        F.sum("w").alias("n"), mean.alias("mean"), F.min("cer").alias("smallest"), F.max("cer").alias("largest"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.sum("same").alias("exact"), F.sum("asked").alias("unclear"),
+    )
+    ranks = analysis.rank_quantiles(counted, "cer", (0.1, 0.9, 0.95), ["_all"], weight="w")
     joined = plain.join(ranks, "_all").drop("_all")
     return rounded(joined, "mean", "smallest", "largest", "std", "median", "p10", "p90", "p95")
 
@@ -141,17 +146,20 @@ FROM b JOIN q USING (bucket) GROUP BY 1
 def g34(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = analysis.bucketed(F.col("cer"), CER_EDGES, CER_LABELS)
     rates = _rates(spark, sf_dir).select("event_id", bucket.alias("bucket"))
-    rows = fixtures.judgments(spark, sf_dir).select("event_id", "status", "total_penalty", "context_behavior").join(rates, "event_id")
+    joined = fixtures.judgments(spark, sf_dir).select("event_id", "status", "total_penalty", "context_behavior").join(rates, "event_id")
+    # Few distinct combinations: distances and join are done once, both tables below read the counts.
+    rows = joined.groupBy("bucket", "status", "total_penalty", "context_behavior").agg(F.count(F.lit(1)).alias("w"))
+    weighed = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("w"))), F.lit(0))
+    points = F.sum(F.col("total_penalty") * F.col("w")) / weighed(F.col("total_penalty").isNotNull())
     table = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ok").alias("judged"), F.avg("total_penalty").alias("mean"),
-        F.max("total_penalty").alias("largest"),
-        *[F.count_if(F.col("context_behavior") == name).alias(name) for name in domain.BEHAVIORS],
+        F.sum("w").alias("n"), weighed(F.col("status") == "ok").alias("judged"), points.alias("mean"), F.max("total_penalty").alias("largest"),
+        *[weighed(F.col("context_behavior") == name).alias(name) for name in domain.BEHAVIORS],
     )
     from pyspark.sql import Window
 
     # Five bucket rows: the share needs their total.
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    ranks = analysis.rank_quantiles(rows, "total_penalty", (0.9,), ["bucket"])
+    ranks = analysis.rank_quantiles(rows, "total_penalty", (0.9,), ["bucket"], weight="w")
     return rounded(table.withColumn("share", F.col("n") / total).join(ranks, "bucket"), "share", "mean")
 
 

@@ -25,8 +25,8 @@ def longs(*names: str) -> list[Column]:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work all cores when the input has fewer splits than the cluster has slots.
 
-    A large table has more splits than slots and is returned as it is, without a shuffle.
+    For frames that only scan: counting their splits runs nothing. A large table has more splits
+    than slots and is returned as it is, without a shuffle.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    splits = sum(1 for _ in df.inputFiles())
-    return df.repartition(slots) if splits < slots and df.rdd.getNumPartitions() < slots else df
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

@@ -145,10 +145,22 @@ def j25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("slice", "participant_id", "mean_penalty", "samples", "failed_samples", "coverage", "rank"), "mean_penalty")
 
 
-@query("s8_keyed_report", None)
+_BOARD_TYPE = "struct<participant_id:string,participant_display_name:string,mean_penalty:double,samples:bigint,failed_samples:bigint>"
+
+
+@query("s8_keyed_report", """
+SELECT k.slice, CAST(p.ord AS BIGINT) AS position, p.participant_id, p.participant_display_name, ROUND(avg(j.total_penalty), 6) AS mean_penalty,
+  count(*) FILTER (j.status = 'ok') AS samples, count(*) FILTER (j.status = 'judge_failed') AS failed_samples
+FROM (SELECT DISTINCT context_expectation AS slice FROM judgments) k CROSS JOIN more_people p
+LEFT JOIN judgments j ON j.context_expectation = k.slice AND j.participant_id = p.participant_id GROUP BY 1, 2, 3, 4
+""")
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    board = reports.slice_leaderboard(fixtures.judgments(spark, sf_dir), PEOPLE, F.col("context_expectation"))
-    return keyed_document(board, "slice", "ord", _BOARD_FIELDS)
+    """The report as one JSON document; shown as the rows that document holds."""
+    board = reports.slice_leaderboard(fixtures.judgments(spark, sf_dir), MORE_PEOPLE, F.col("context_expectation"))
+    document = keyed_document(board, "slice", "ord", _BOARD_FIELDS)
+    slices = document.select(F.explode(F.from_json("value", f"map<string,array<{_BOARD_TYPE}>>")).alias("slice", "rows"))
+    rows = slices.select("slice", F.posexplode("rows").alias("position", "row"))
+    return rounded(rows.select("slice", F.col("position").cast("bigint").alias("position"), "row.*"), "mean_penalty")
 
 
 _CSV_COLUMNS = ["participant_id", "participant_display_name", "mean_penalty", "samples", "benchmark_valid", "caveat"]
@@ -179,8 +191,25 @@ def x15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_lines(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"]).select("doc_id", "value")
 
 
-@query("s12_run_summary", None)
+_SUMMARY_ROW = "rank:bigint,participantId:string,meanPenalty:double,caveat:string"
+_SUMMARY_TYPE = (
+    "caveats array<string>, commonCellCount bigint, sourceRuns array<struct<run_id:string>>, "
+    f"leaderboard array<struct<{_SUMMARY_ROW},samples:bigint>>, primaryCommonCellLeaderboard array<struct<{_SUMMARY_ROW},commonCellSamples:bigint>>"
+)
+
+
+@query("s12_run_summary", f"""
+WITH {_CAVEAT_SQL}, n AS (SELECT {_RENAMED_SQL} AS participant_id, count(*) FILTER (status = 'ok') AS samples FROM judgments GROUP BY 1),
+ok AS (SELECT * FROM judgments WHERE status = 'ok'), c AS (SELECT source_id, target_language FROM ok GROUP BY 1, 2 HAVING count(DISTINCT participant_id) = 8),
+cb AS (SELECT p.participant_id, avg(r.total_penalty) AS mean_penalty, count(r.event_id) AS samples FROM people p
+  LEFT JOIN (SELECT ok.* FROM ok JOIN c USING (source_id, target_language)) r USING (participant_id) GROUP BY 1),
+b AS (SELECT 'all' AS board, {_RANK.format('')}, participant_id, mean_penalty, samples, caveat FROM scored JOIN n USING (participant_id) WHERE run_id = 'main'
+  UNION ALL SELECT 'common', {_RANK.format('')}, participant_id, mean_penalty, samples, '' FROM cb)
+SELECT board, rank, participant_id, ROUND(mean_penalty, 6) AS mean_penalty, samples, caveat, (SELECT max(samples) FROM cb) AS common_cell_count,
+  CAST(5 AS BIGINT) AS caveats, CAST(2 AS BIGINT) AS runs FROM b
+""")
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary as one JSON document; shown as the leaderboard rows that document holds."""
     judged = fixtures.judgments(spark, sf_dir)
     scored = _scored(spark, sf_dir).where("source_run_id = 'main'")
     samples = judged.groupBy(_renamed().alias("participant_id")).agg(F.count_if(F.col("status") == "ok").alias("samples"))
@@ -189,7 +218,18 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", F.lit(False).alias("benchmark_valid"), F.lit("").alias("caveat"), F.lit("main").alias("source_run_id"), F.lit("common-cell").alias("coverage")
     )
     runs = run_status(spark, sf_dir).select("run_id", "limit_applied", "benchmark_valid", "reuse_only", "unresolved_total")
-    return run_summary(overall, common, runs, "2026-01-01T00:00:00Z", with_legacy=True)
+    document = run_summary(overall, common, runs, "2026-01-01T00:00:00Z", with_legacy=True)
+    summary = document.select(F.from_json("value", _SUMMARY_TYPE).alias("s")).select("s.*")
+
+    def shown(board: str, rows: str, samples: str):
+        return F.transform(rows, lambda r: F.struct(
+            F.lit(board).alias("board"), r["rank"].alias("rank"), r["participantId"].alias("participant_id"), r["meanPenalty"].alias("mean_penalty"),
+            r[samples].alias("samples"), r["caveat"].alias("caveat"),
+        ))
+
+    both = F.concat(shown("all", "leaderboard", "samples"), shown("common", "primaryCommonCellLeaderboard", "commonCellSamples"))
+    totals = [F.col("commonCellCount").alias("common_cell_count"), *[F.size(name).cast("bigint").alias(short) for name, short in (("caveats", "caveats"), ("sourceRuns", "runs"))]]
+    return rounded(summary.select(F.inline(both), *totals), "mean_penalty")
 
 
 _CHART_NAMES = (

@@ -4,7 +4,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["cells"] = """
 SELECT event_id, ts, 'run-1' AS run_id,
-  concat('s', lpad(CAST(src AS VARCHAR), 6, '0')) AS source_id,
+  printf('s%06d', src) AS source_id,
   CASE lang_no WHEN 0 THEN 'en' WHEN 1 THEN 'ja' ELSE 'zh-Hans' END AS target_language,
   concat('p', CAST(event_id % 8 AS VARCHAR)) AS participant_id,
   CASE WHEN event_type = 'error' THEN 'judge_failed' ELSE 'ok' END AS status,
@@ -99,7 +99,7 @@ FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECED
 """
 
 VIEWS["item_rows"] = """
-SELECT concat('c', lpad(CAST(conv_id AS VARCHAR), 6, '0'), '-', lpad(CAST(turn AS VARCHAR), 3, '0')) AS sample_id,
+SELECT printf('c%06d-%03d', conv_id, turn) AS sample_id,
   conv_id, turn, len(prior_roles) AS n_turns, prior_roles, prior_labels, prior_texts,
   CASE WHEN len(list_distinct(list_append(prior_roles, speaker_role))) = 1 THEN 'single' ELSE 'dyadic' END AS mode,
   CASE WHEN (conv_id + turn) % 10 < 6 THEN 'use' ELSE 'ignore' END AS expectation,

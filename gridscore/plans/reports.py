@@ -91,7 +91,7 @@ _SLICE_SQL = {
 def _slice_query(name: str, kind: str) -> None:
     @query(name, _slice_sql(_SLICE_SQL[kind]))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        board = reports.slice_leaderboard(fixtures.judgments(spark, sf_dir), MORE_PEOPLE, reports.SLICES[kind])
+        board = reports.slice_leaderboard(fixtures.judgments(spark, sf_dir), MORE_PEOPLE, reports.slice_keys()[kind])
         return rounded(_person(board, "slice", "mean_penalty", "samples", "failed_samples"), "mean_penalty")
 
 
@@ -284,7 +284,7 @@ def o6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slice keys in natural order: 2::x before 10::x."""
     from pyspark.sql import Window
 
-    source_no = F.substring("source_id", 2, 6).cast("bigint") % 12
+    source_no = F.substring("source_id", 2, 20).cast("bigint") % 12
     keys = (
         fixtures.judgments(spark, sf_dir)
         .select(F.concat(source_no.cast("string"), F.lit("::"), F.col("speaker_mode")).alias("slice"))

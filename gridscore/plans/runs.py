@@ -47,14 +47,14 @@ def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j1_cell_grid", """
-WITH it AS (SELECT DISTINCT source_id FROM cells ORDER BY source_id LIMIT 40)
+WITH it AS (SELECT DISTINCT source_id FROM cells)
 SELECT it.source_id, l.target_language, p.participant_id, CAST(p.ord AS BIGINT) AS ord,
   concat('run-9::', it.source_id, '::', l.target_language, '::', p.participant_id) AS stable_key
 FROM it CROSS JOIN langs l CROSS JOIN people p
 """)
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 items are the run's item limit, as in a limited run."""
-    items = grid.first_items(fixtures.cells(spark, sf_dir).select("source_id").distinct(), "source_id", 40)
+    """All items; a run with an item limit takes them from ``o7_first_items``."""
+    items = fixtures.cells(spark, sf_dir).select("source_id").distinct()
     cells = grid.cell_grid(items, domain.LANGUAGES, PEOPLE, "run-9")
     return cells.select("source_id", "target_language", "participant_id", F.col("ord").cast("bigint").alias("ord"), "stable_key")
 
@@ -80,7 +80,7 @@ SELECT stable_key, source_id, CASE WHEN CAST(substring(source_id, 2) AS BIGINT)
   ELSE concat('item ', source_id) END AS item FROM judgments
 """)
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.substring("source_id", 2, 6).cast("bigint")
+    number = F.substring("source_id", 2, 20).cast("bigint")
     cells = fixtures.judgments(spark, sf_dir).select("stable_key", "source_id", (number % 7 != 0).alias("is_context"))
     items = cells.where("is_context").select("source_id", F.concat(F.lit("item "), "source_id").alias("item")).distinct()
     return runs.with_items(cells, items, F.col("is_context")).select("stable_key", "source_id", "item")

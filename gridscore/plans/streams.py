@@ -51,16 +51,17 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_jsonl(spark, path, schema).unionByName(files.read_jsonl(spark, scratch_path(spark, "absent"), schema))
 
 
-@query("s2_json_array_scan", "SELECT sample_id, mode AS speaker_mode, CAST(n_turns AS BIGINT) AS turns, array_to_string(prior_roles, ',') AS roles FROM item_rows WHERE conv_id < 100000000")
+@query("s2_json_array_scan", "SELECT sample_id, mode AS speaker_mode, CAST(n_turns AS BIGINT) AS turns, array_to_string(prior_roles, ',') AS roles FROM item_rows")
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items written as array documents, one per conversation, and read back."""
+    """Items written as array documents of about ten thousand items each, and read back."""
     path = scratch_path(spark, "dataset")
     entry = F.struct("sampleId", "speakerMode", "contextTurns")
-    documents = runtime_items(fixtures.authored_items(spark, sf_dir)).withColumn("conversation", F.substring("sampleId", 1, 7))
-    # A dataset file holds the items of one conversation; larger ones are cut at 1,000 turns.
-    part = F.floor(F.substring("sampleId", 9, 12).cast("bigint") / 1000)
-    arrays = documents.groupBy("conversation", part.alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    arrays.select("conversation", "value").write.partitionBy("conversation").text(path)
+    items = runtime_items(fixtures.authored_items(spark, sf_dir))
+    # Ids are unique, so a hash of them fills the documents evenly; their number grows with the data.
+    documents = fixtures.table(spark, sf_dir, "conversations").count() // 10_000 + 1
+    part = F.pmod(F.xxhash64("sampleId"), F.lit(documents))
+    arrays = items.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    arrays.write.partitionBy("part").text(path)
     turn = "struct<speakerRole:string,relativeTimeLabel:string,sourceText:string>"
     rows = files.read_json_array(spark, path, f"sampleId string, speakerMode string, contextTurns array<{turn}>")
     return rows.select(F.col("sampleId").alias("sample_id"), F.col("speakerMode").alias("speaker_mode"), F.size("contextTurns").cast("bigint").alias("turns"), F.array_join("contextTurns.speakerRole", ",").alias("roles"))
@@ -74,13 +75,13 @@ FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY n_turns, mode ORDER
 
 @query("s3_batch_folder_scan", _BATCH_SQL)
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of twelve items written as one object each, flattened again."""
+    """Batches of twelve items written as one object per line, flattened again."""
     path = scratch_path(spark, "batches")
     numbered = batches(fixtures.items(spark, sf_dir), 12)
     grouped = numbered.groupBy(F.col("batch_id").alias("batchId")).agg(F.sort_array(F.collect_list(F.struct("ord", "sampleId"))).alias("items"))
     items = F.transform("items", lambda i: F.struct(i["sampleId"].alias("sampleId")))
-    grouped.select(F.lit("set").alias("datasetId"), "batchId", items.alias("items"), F.col("batchId").alias("folder")).write.partitionBy("folder").json(path)
-    return files.read_batches(spark, path, "struct<sampleId:string>").select(F.col("sampleId").alias("sample_id"), F.col("batchId").alias("batch_id"))
+    grouped.select(F.lit("set").alias("datasetId"), "batchId", items.alias("items")).write.json(path)
+    return files.read_batches(spark, path, "struct<sampleId:string>", multi_line=False).select(F.col("sampleId").alias("sample_id"), F.col("batchId").alias("batch_id"))
 
 
 @query("s6_append_sink", "SELECT participant_id, 2 * count(*) AS n, 2 * count(latency_ms) AS with_latency FROM attempts GROUP BY 1")
@@ -126,13 +127,14 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches written to folders; a second try over edited items is refused, by force it is not."""
     root = scratch_path(spark, "scaffold")
-    numbered = batches(fixtures.items(spark, sf_dir), 12).select("sampleId", "batch_id")
-    files.write_scaffold(numbered, None, root)
+    numbered = batches(fixtures.items(spark, sf_dir), 12).select("sampleId", "batch_id", F.regexp_replace("batch_id", "-batch-.*", "").alias("bucket"))
+    files.write_scaffold(numbered, None, root, by="bucket")
     try:
-        files.write_scaffold(numbered, scaffold(spark, sf_dir), root)
-        raise RuntimeError("edited batches were overwritten")
+        files.write_scaffold(numbered, scaffold(spark, sf_dir), root, by="bucket")
     except ValueError:
-        files.write_scaffold(numbered, scaffold(spark, sf_dir), root, force=True)
+        files.write_scaffold(numbered, scaffold(spark, sf_dir), root, force=True, by="bucket")
+    else:
+        raise RuntimeError("edited batches were overwritten")
     return spark.read.schema("sampleId string, batch_id string").json(root).select(F.col("sampleId").alias("sample_id"), "batch_id")
 
 
@@ -223,8 +225,12 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f"Critical:\nno-error\n{line}\ncontextBehavior: unclear"
 
     judged = fixtures.judgments(spark, sf_dir)
-    pending = runs.pending(judged.select("stable_key", "event_id", *METADATA), judged.where("event_id % 3 = 0"))
-    raw = annotating.annotate(spread(pending), annotator, ["event_id"])
+    # Annotators are slow per row: an explicit number of partitions is not merged by size. They are
+    # partitioned by the key of the anti join, which then needs no shuffle of its own.
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = judged.select("stable_key", "event_id", *METADATA).repartition(slots, "stable_key")
+    pending = runs.pending(cells, judged.where("event_id % 3 = 0"))
+    raw = annotating.annotate(pending, annotator, ["event_id"])
     scored = normalize(raw.select("*", *[F.lit(None).cast("int" if name == "context_turn_count" else "string").alias(name) for name in METADATA]))
     return scored.select("stable_key", "status", F.col("error").isNotNull().alias("failed"), F.col("summary.total_penalty").alias("total_penalty"))
 

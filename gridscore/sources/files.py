@@ -27,10 +27,14 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
     return texts.select(F.posexplode(rows).alias("pos", "item")).select("pos", "item.*")
 
 
-def read_batches(spark: SparkSession, folder: str, item_schema: str) -> DataFrame:
-    """Items of all batch files of a folder, with file name and position as order."""
+def read_batches(spark: SparkSession, folder: str, item_schema: str, multi_line: bool = True) -> DataFrame:
+    """Items of all batches of a folder, with file name and position as order.
+
+    Files hold one pretty-printed batch each, or (``multi_line=False``) one batch per line, which
+    keeps the number of files independent of the number of batches.
+    """
     schema = f"datasetId string, batchId string, items array<{item_schema}>"
-    batches = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
+    batches = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
     named = batches.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     return named.select("datasetId", "batchId", "file", F.posexplode("items").alias("pos", "item")).select(
         "datasetId", "batchId", "file", "pos", "item.*"
@@ -98,12 +102,13 @@ def write_csv(lines: DataFrame, columns: list[str], path: str, order: list[str])
     header.unionByName(body).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_scaffold(items: DataFrame, existing: DataFrame | None, root: str, force: bool = False) -> None:
-    """One folder per batch; existing batches that are not pristine are only replaced by force."""
+def write_scaffold(items: DataFrame, existing: DataFrame | None, root: str, force: bool = False, by: str = "batch_id") -> None:
+    """One folder per batch, or per coarser column ``by`` when batches are many; existing batches
+    that are not pristine are only replaced by force."""
     from gridscore.operators.items import pristine_rules, violations
 
     if existing is not None and not force:
         touched = violations(existing, pristine_rules()).where(F.size("violations") > 0)
         if not touched.isEmpty():
             raise ValueError("existing batches are not a pristine scaffold; use force to replace them")
-    items.write.mode("overwrite").partitionBy("batch_id").option("ignoreNullFields", "false").json(root)
+    items.write.mode("overwrite").partitionBy(by).option("ignoreNullFields", "false").json(root)
