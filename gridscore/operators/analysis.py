@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,12 +107,12 @@ def one_to_one(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
     return single(left, "left").join(single(right, "right"), list(key))
 
 
-def bucketed(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
-    """Left-closed buckets between ``edges``; the last one is open."""
-    result = F.when(value >= edges[-1], labels[-1])
-    for low, high, label in list(zip(edges, edges[1:], labels))[::-1]:
-        result = F.when((value >= low) & (value < high), label).otherwise(result)
-    return result
+def bucketed(value: Column, edges: Sequence[float], labels: Sequence[str], other: str) -> Column:
+    """Left-closed buckets between ``edges``, the last one open; ``other`` without a value."""
+    chain = F.when(value < edges[0], other)
+    for high, label in zip(edges[1:], labels):
+        chain = chain.when(value < high, label)
+    return chain.when(value >= edges[-1], labels[-1]).otherwise(other)
 
 
 def rank_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -128,17 +130,22 @@ def rank_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Seq
 
     # Ranges of values by a monotone, deterministic function of the value itself.
     span = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096)
+    names = [*keys, "_span"]
     spanned = counts.withColumn("_span", span)
     per_span = spanned.groupBy(*keys, "_span").agg(F.sum("_n").alias("_spanned"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = per_span.select(
-        *keys, "_span", F.coalesce(F.sum("_spanned").over(before), F.lit(0)).alias("_offset"), F.sum("_spanned").over(whole).alias("_total")
+        *[F.col(name).alias(f"_other_{name}") for name in names],
+        F.coalesce(F.sum("_spanned").over(before), F.lit(0)).alias("_offset"), F.sum("_spanned").over(whole).alias("_total"),
     )
+    # A null-safe match: an ordinary one makes the optimizer test the keys for null in the scan,
+    # which would compute the value there once more and keep the two sides from sharing a shuffle.
+    same = [F.col(name).eqNullSafe(F.col(f"_other_{name}")) for name in names]
     inside = Window.partitionBy(*keys, "_span").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         spanned.withColumn("_upto", F.sum("_n").over(inside))
-        .join(offsets, [*keys, "_span"])
+        .join(offsets, reduce(and_, same))
         .withColumn("_last", F.col("_upto") + F.col("_offset") - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )
@@ -147,11 +154,11 @@ def rank_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Seq
         index = F.ceil((F.col("_total") - 1) * F.lit(share))
         return F.max(F.when((F.col("_first") <= index) & (index <= F.col("_last")), F.col(value)))
 
-    names = [f"p{round(share * 100)}" for share in shares]
+    labels = [f"p{round(share * 100)}" for share in shares]
     middle = [F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)]
     halves = [F.max(F.when((F.col("_first") <= m) & (m <= F.col("_last")), F.col(value))) for m in middle]
     return ranked.groupBy(*keys).agg(
-        ((halves[0] + halves[1]) / 2).alias("median"), *[at(share).alias(name) for share, name in zip(shares, names)]
+        ((halves[0] + halves[1]) / 2).alias("median"), *[at(share).alias(label) for share, label in zip(shares, labels)]
     )
 
 

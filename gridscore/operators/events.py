@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscore import domain
-from gridscore.functions.errors import persisted_error_text
+from gridscore.functions.errors import cooldown_scope, error_class, http_status, is_retryable, persisted_error_text
 from gridscore.functions.text import truncated
 from gridscore.operators.windows import running_streak, trailing_count
 
@@ -53,6 +53,20 @@ def sanitize(raw: DataFrame) -> DataFrame:
     return raw.select(*[columns[name].alias(name) for name in EVENT_COLUMNS])
 
 
+def classified(messages: DataFrame, provider: str = "provider", message: str = "message") -> DataFrame:
+    """Add ``error_class, retryable, cooldown_scope``.
+
+    Status and lower-cased text are columns of their own first, so that the many rules that look
+    at them do not compute them again.
+    """
+    person = F.col(provider)
+    prepared = messages.withColumns({"_status": http_status(F.col(message)), "_lowered": F.lower(message)})
+    classed = prepared.withColumn("error_class", error_class(person, F.col("_lowered"), F.col("_status"))).drop("_status", "_lowered")
+    return classed.withColumns(
+        {"retryable": is_retryable(person, F.col("error_class")), "cooldown_scope": cooldown_scope(person, F.col("error_class"))}
+    )
+
+
 def recent_throttle_failures(failures: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Rate-limit and overload failures of the key in the last minute, per failure."""
     counted = F.col("error_class").isin("rate_limit", "server_overload")

@@ -144,7 +144,7 @@ SELECT bucket, count(*) AS n, ROUND(count(*) * 1.0 / (SELECT count(*) FROM b), 6
 FROM b JOIN q USING (bucket) GROUP BY 1
 """)
 def g34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bucket = analysis.bucketed(F.col("cer"), CER_EDGES, CER_LABELS)
+    bucket = analysis.bucketed(F.col("cer"), CER_EDGES, CER_LABELS, "no reference")
     rates = _rates(spark, sf_dir).select("event_id", bucket.alias("bucket"))
     joined = fixtures.judgments(spark, sf_dir).select("event_id", "status", "total_penalty", "context_behavior").join(rates, "event_id")
     # Few distinct combinations: distances and join are done once, both tables below read the counts.

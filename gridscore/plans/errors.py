@@ -79,15 +79,11 @@ SELECT seq, error_class, CASE WHEN provider = 'openrouter-batch' THEN false WHEN
 """)
 def x13(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, number: F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
-    rows = fixtures.attempts(spark, sf_dir).select(
+    rows = spread(fixtures.attempts(spark, sf_dir)).select(
         "seq", pick(_PROVIDERS, F.col("seq") % 11).alias("provider"),
         pick([text for text, _ in _MESSAGES], F.floor(F.col("seq") / 11) % 12).alias("message"),
     )
-    classed = rows.withColumn("error_class", errors.error_class(F.col("provider"), F.col("message"), errors.http_status(F.col("message"))))
-    return classed.select(
-        "seq", "error_class", errors.is_retryable(F.col("provider"), F.col("error_class")).alias("retryable"),
-        errors.cooldown_scope(F.col("provider"), F.col("error_class")).alias("scope"),
-    )
+    return events.classified(rows).select("seq", "error_class", "retryable", F.col("cooldown_scope").alias("scope"))
 
 
 @query("x12_status_and_retry_after", """
