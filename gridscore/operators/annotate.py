@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridscore import domain
+from gridscore.functions.text import ANY, SPACE, SPACE_CHARACTERS
 
 
 def annotate(cells: DataFrame, annotator: Callable[[dict], str], inputs: list[str], key: str = "stable_key") -> DataFrame:
@@ -56,7 +57,8 @@ def register_error_table_function(spark: SparkSession, name: str = "annotation_e
     ``explode`` does the same without Python.
     """
     names = {spelling: klass for klass in domain.ERROR_CLASSES for spelling in (klass, klass.replace("/", "-"))}
-    behaviors = tuple(domain.BEHAVIORS)
+    behaviors, severities, spaces = tuple(domain.BEHAVIORS), tuple(domain.SEVERITY_POINTS), SPACE_CHARACTERS
+    stated_form = rf"contextBehavior{SPACE}*[=:]{SPACE}*({ANY}+)\Z"
 
     class AnnotationErrors:
         def eval(self, text: str):
@@ -64,19 +66,19 @@ def register_error_table_function(spark: SparkSession, name: str = "annotation_e
 
             longest = sorted(names, key=len, reverse=True)
             severity, behavior, found = None, None, []
-            for line in (part.strip() for part in (text or "").split("\n")):
-                word = line[:-1].strip().lower() if line.endswith(":") else ""
-                stated = re.match(r"contextBehavior\s*[=:]\s*(.+)$", line, re.I)
+            for line in (part.strip(spaces) for part in (text or "").split("\n")):
+                word = line[:-1].strip(spaces).lower() if line.endswith(":") else ""
+                stated = re.match(stated_form, line, re.I)
                 if not line or line.startswith("```") or line.lower() == "no-error":
                     continue
                 if stated:
-                    if behavior is not None or stated.group(1).strip().lower() not in behaviors:
+                    if behavior is not None or stated.group(1).strip(spaces).lower() not in behaviors:
                         return
                     behavior = stated.group(1)
-                elif word in ("critical", "major", "minor"):
+                elif word in severities:
                     severity = word
                 elif severity is not None:
-                    field = line.split(' - "')[0].strip().lower() if ' - "' in line else ""
+                    field = line.split(' - "')[0].strip(spaces).lower() if ' - "' in line else ""
                     klass = names.get(field) or next(
                         (names[n] for n in longest if re.search(rf"(?<![a-z0-9]){re.escape(n)}(?![a-z0-9])", line.lower())), None
                     )

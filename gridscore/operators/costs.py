@@ -49,21 +49,22 @@ def with_cost(metrics: DataFrame) -> DataFrame:
 
 
 def cost_rollup(costed: DataFrame) -> DataFrame:
-    """Cost and unknown records by phase (both phases always), by model and overall.
+    """Cost and unknown records by phase and overall (always there), and by model.
 
     Rows are summed per phase and model first; the three views only read that small table.
     """
     base = costed.groupBy("phase", "model").agg(
         F.sum(F.coalesce("cost_usd", F.lit(Decimal(0)))).alias("cost"), F.count_if(F.col("cost_usd").isNull()).alias("unknown")
     )
-    phases = costed.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in domain.PHASES])).alias("phase"))
+    views = [("phase", name) for name in domain.PHASES] + [("overall", None)]
+    fixed = F.array(*[F.struct(F.lit(view).alias("view"), F.lit(value).cast("string").alias("value")) for view, value in views])
     grouped = base.groupingSets([["phase"], ["model"], []], "phase", "model").agg(
         F.grouping_id().alias("_gid"), F.sum("cost").alias("cost"), F.sum("unknown").alias("unknown")
     )
     view = F.when(F.col("_gid") == 1, "phase").when(F.col("_gid") == 2, "model").otherwise("overall")
     value = F.when(F.col("_gid") == 1, F.col("phase")).when(F.col("_gid") == 2, F.col("model"))
     rows = grouped.select(view.alias("view"), value.alias("value"), "cost", "unknown")
-    always = phases.select(F.lit("phase").alias("view"), F.col("phase").alias("value"), F.lit(0).alias("cost"), F.lit(0).alias("unknown"))
+    always = costed.sparkSession.range(1).select(F.inline(fixed)).select("view", "value", F.lit(0).alias("cost"), F.lit(0).alias("unknown"))
     return (
         rows.unionByName(always)
         .groupBy("view", "value")
