@@ -19,7 +19,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A file that holds one array of objects; anything else stops the job."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     is_array = F.substring(F.trim(F.regexp_replace("value", r"\A\s+", "")), 1, 1) == "["
     checked = F.when(is_array, F.col("value")).otherwise(F.raise_error(F.lit("the dataset must be an array")).cast("string"))
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
@@ -95,11 +95,12 @@ def rewrite_repaired(repaired: DataFrame, root: str) -> int | None:
 
 
 def write_csv(lines: DataFrame, columns: list[str], path: str, order: list[str]) -> None:
-    """Header and lines as one text file. Reports are bounded by participants and slices."""
-    spark = lines.sparkSession
-    header = spark.range(1).select(F.lit(",".join(columns)).alias("value"))
-    body = lines.orderBy(*order).select("value")
-    header.unionByName(body).coalesce(1).write.mode("overwrite").text(path)
+    """Header and lines as one text file. Reports are bounded by participants and slices, so one
+    task may sort and write them."""
+    body = lines.select("value", F.lit(1).alias("_part"), *order)
+    header = lines.sparkSession.range(1).select(F.lit(",".join(columns)).alias("value"), F.lit(0).alias("_part"))
+    whole = header.unionByName(body, allowMissingColumns=True).repartition(1).sortWithinPartitions("_part", *order)
+    whole.select("value").write.mode("overwrite").text(path)
 
 
 def write_scaffold(items: DataFrame, existing: DataFrame | None, root: str, force: bool = False, by: str = "batch_id") -> None:

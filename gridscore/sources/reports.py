@@ -38,7 +38,7 @@ def leaderboard_fields(row: Column) -> list[Column]:
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("document"))
+    return spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("document"))
 
 
 def read_keyed_report(spark: SparkSession, path: str) -> DataFrame:

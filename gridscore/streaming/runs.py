@@ -6,6 +6,7 @@ restart after a lost executor or driver cannot count anything twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,15 +86,21 @@ def latest_updates(spark: SparkSession, folder: str, keys: Sequence[str]) -> Dat
 
 
 def run_append(stream: DataFrame, folder: str, checkpoint: str, key: str = "stable_key", every: str | None = None) -> StreamingQuery:
-    """Append rows whose key was not written by an earlier micro-batch (also of earlier runs)."""
+    """Append rows whose key was not written by an earlier micro-batch, also of earlier runs.
+
+    Batches are kept per ``query`` (the id Spark stores in the checkpoint), so that a query that
+    starts anew, without its checkpoint, counts from zero beside the old batches.
+    """
 
     def each_batch(rows: DataFrame, batch_id: int) -> None:
-        fresh = rows.dropDuplicates([key])
-        if path_exists(rows.sparkSession, folder):
-            written = rows.sparkSession.read.option("basePath", folder).schema(f"{key} string, batch_id int").parquet(folder)
+        spark, fresh = rows.sparkSession, rows.dropDuplicates([key])
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        if path_exists(spark, folder):
+            written = spark.read.option("basePath", folder).schema(f"{key} string, query string, batch_id bigint").parquet(folder)
             # A replayed batch must see what was there before it, not its own first try.
-            fresh = fresh.join(written.where(F.col("batch_id") < batch_id).select(key).distinct(), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+            own_try = (F.col("query") == query) & (F.col("batch_id") >= batch_id)
+            fresh = fresh.join(written.where(~own_try).select(key).distinct(), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/query={query}/batch_id={batch_id}")
 
     return _start(stream, each_batch, checkpoint, "append", every)
 
