@@ -68,7 +68,8 @@ def _class_anywhere(line: Column) -> Column:
     """Longest class that stands as a word anywhere in the line."""
     lowered = F.lower(line)
     found = F.lit(None).cast("string")
-    for name in sorted(domain.ERROR_CLASSES, key=len):
+    # The longest name decides; of equally long ones the first in the list, hence the reversal.
+    for name in sorted(reversed(domain.ERROR_CLASSES), key=len):
         spelled = name.replace("/", "[/-]")
         found = F.when(lowered.rlike(f"(?<![a-z0-9]){spelled}(?![a-z0-9])"), name).otherwise(found)
     return found

@@ -120,3 +120,8 @@ def test_repair(spark):
     assert found == {"a": ("ok", True, True), "b": ("judge_failed", False, False), "c": ("ok", False, True)}
     failures = spark.createDataFrame([("a",), ("b",), ("c",), ("gone",)], "stable_key string")
     assert [r.stable_key for r in remaining_failures(failures, fixed).collect()] == ["b"]
+
+
+def test_equally_long_classes_go_by_list_order(spark):
+    row = spark.createDataFrame([("Minor:\nspelling: fluency/spelling or fluency-register",)], "text string")
+    assert row.select(parse_annotation(F.col("text"))["errors"][0]["class"]).first()[0] == "fluency/register"
