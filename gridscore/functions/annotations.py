@@ -92,12 +92,14 @@ def _severity(line: Column) -> Column:
     return F.when(line.endswith(":") & word.isin(*domain.SEVERITY_POINTS), word)
 
 
+# The two tests below run on every line; a cheap look at the bytes settles most lines.
 def _is_no_error(line: Column) -> Column:
-    return F.lower(line) == "no-error"
+    return (F.octet_length(line) == 8) & (F.lower(line) == "no-error")
 
 
 def _is_behavior(line: Column) -> Column:
-    return F.lower(F.substring(line, 1, 15)).eqNullSafe("contextbehavior") & line.rlike(_BEHAVIOR)
+    has_sign = F.contains(line, F.lit(":")) | F.contains(line, F.lit("="))
+    return F.coalesce(has_sign, F.lit(False)) & (F.lower(F.substring(line, 1, 15)) == "contextbehavior") & line.rlike(_BEHAVIOR)
 
 
 def _sections(lines: Column) -> Column:
