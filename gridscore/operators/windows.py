@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 SLOT_WIDTH = 1 << 18
 
 
-def row_numbers(df: DataFrame, keys: list[str], seq: str, out: str, width: int = SLOT_WIDTH) -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: list[str], seq: str, out: str, width: int = SLOT_WIDTH, facts: DataFrame | None = None, on: list[str] | None = None
+) -> DataFrame:
     """``row_number()`` per ``keys`` ordered by the unique integer column ``seq``.
 
     Slots span ``width`` values of ``seq``, so no task ever sorts more than ``width`` rows
     of a group. Slot counts are summed to offsets; the join back is on the very columns
-    the rows are already partitioned by.
+    the rows are already partitioned by. ``facts`` about coarser groups (one row per value of
+    the key columns ``on``) travel with the offsets, which saves moving the rows to them.
     """
     slotted = df.withColumn("_slot", F.floor(F.col(seq) / F.lit(width)))
     in_slot = Window.partitionBy(*keys, "_slot").orderBy(seq)
@@ -30,6 +33,8 @@ def row_numbers(df: DataFrame, keys: list[str], seq: str, out: str, width: int =
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    if facts is not None:
+        offsets = offsets.join(facts, on)
     return (
         local.join(offsets, [*keys, "_slot"])
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
@@ -137,12 +142,13 @@ def round_robin(df: DataFrame, bucket: list[str], lane: str, lane_order: str, se
     """Positions of rows when the lanes of a bucket are served in turn.
 
     The position follows from the row's number in its lane and the lane sizes alone, so no
-    sort over a whole bucket is needed. Lanes (participants) are a bounded dimension.
+    sort over a whole bucket is needed, and its rows never meet in one task. Lanes
+    (participants) are a bounded dimension.
     """
-    numbered = row_numbers(df, [*bucket, lane], seq, "round", width)
     sizes = df.groupBy(*bucket, lane, lane_order).agg(F.count(F.lit(1)).alias("_n"))
     lanes = sizes.groupBy(*bucket).agg(F.collect_list(F.struct(F.col(lane_order).alias("ord"), F.col("_n").alias("n"))).alias("_lanes"))
+    numbered = row_numbers(df, [*bucket, lane], seq, "round", width, facts=lanes, on=bucket)
     turn = F.col("round")
     whole_rounds = F.aggregate("_lanes", F.lit(0).cast("bigint"), lambda acc, x: acc + F.least(x["n"], turn - 1))
     this_round = F.size(F.filter("_lanes", lambda x: (x["ord"] < F.col(lane_order)) & (x["n"] >= turn)))
-    return numbered.join(lanes, bucket).withColumn("position", whole_rounds + this_round + 1).drop("_lanes")
+    return numbered.withColumn("position", whole_rounds + this_round + 1).drop("_lanes")
