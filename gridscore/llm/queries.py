@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import decontamination, quality
+from gridscore.llm import decontamination, quality, sharding, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(f"ledger.{name}" for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         (~quality.passes(bits, quality.POLICIES[0])).alias("base_failed"), quality.passes(bits).alias("kept"), bits.alias("failures"),
     )
+
+
+BASE32_SQL = " || ".join(
+    f"substr('{warc.BASE32}', 1 + ((('0x' || substr(sha1(coalesce(html, '')), {5 * group + 1}, 5))::BIGINT >> {shift}) & 31)::INT, 1)"
+    for group in range(8) for shift in (15, 10, 5, 0)
+)
+
+
+@query("op1_warc_chunks", f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (payload_digest)
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id", "html")
+    urn = lambda key: F.concat(F.lit("urn:page:"), F.coalesce(key.cast("string"), F.lit("none")))
+    chunks = warc.chunk_rows(
+        pages, urn(F.col("page_id")), F.col("url"), F.col("html"), F.when(F.col("first_key").isNotNull(), urn(F.col("first_key"))),
+        F.col("payload_digest"), F.col("payload_bytes"),
+    )
+    back = warc.read_chunks(warc.write_archives(chunks, warc.archive_folder(spark))).where("is_last")
+    whole = F.col("record_type") == "response"
+    intact = (F.col("declared_digest") == F.col("payload_digest")) & (F.col("declared_bytes") == F.col("payload_bytes"))
+    page = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+    digest = F.when(~whole | intact, F.col("declared_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))
+    return back.select(
+        page("record_id").alias("page_id"), F.col("declared_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "counts.n_bytes", "counts.n_tokens", (F.col("counts.n_tokens") > 512).alias("over_limit"))
+
+
+@query("op6_minimax_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), F.crc32(content).alias("text_crc32"))
+    placed = sharding.assign(rows, 16, F.col("content"), F.octet_length("content") + 1, ["doc_id"], drop=["content"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
