@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridscore.llm.components import stored
 from gridscore.session import scratch_path
 
 CHUNK_BYTES = 64 << 10
@@ -55,9 +56,8 @@ CHUNKS = T.StructType([
 ])
 
 
-def sha1_base32(payload: Column) -> Column:
-    """The SHA-1 digest of a binary column in base32, as native expression: 5 hex digits give 4 letters."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """A SHA-1 digest in hex as base32, as native expression: 5 hex digits give 4 letters."""
     letters = []
     for group in range(8):
         value = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
@@ -74,13 +74,13 @@ def with_revisits(records: DataFrame, key: str, payload: str, least_bytes: int =
     records gathers nowhere.
     """
     content = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit("").cast("binary"))
-    rows = records.withColumn(payload, content).withColumns({
-        "payload_bytes": F.octet_length(content).cast("bigint"), "payload_digest": sha1_base32(content),
-    })
-    narrow = rows.where(F.col("payload_bytes") >= least_bytes).select(F.col(f"`{key}`").alias("_key"), F.col("payload_digest").alias("_digest"))
+    rows = records.withColumn(payload, content).withColumns({"payload_bytes": F.octet_length(content).cast("bigint"), "_sha1": F.sha1(content)})
+    narrow = rows.where(F.col("payload_bytes") >= least_bytes).select(F.col(f"`{key}`").alias("_key"), F.col("_sha1").alias("_digest"))
+    narrow = stored(narrow, "digests")
     shared = narrow.groupBy("_digest").agg(F.min("_key").alias("first_key"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = narrow.join(shared, "_digest").where("not (_key <=> first_key)").distinct()
-    return rows.join(later, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_key", "_digest")
+    found = rows.join(later, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_sha1") == F.col("_digest")), "left")
+    return found.withColumn("payload_digest", base32(F.col("_sha1"))).drop("_key", "_digest", "_sha1")
 
 
 def chunk_rows(records: DataFrame, record_id: Column, uri: Column, payload: Column, refers_to: Column, digest: Column, n_bytes: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
