@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from gridscore.session import scratch_path
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write are not needed after it
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def lowest(edges: DataFrame) -> DataFrame:

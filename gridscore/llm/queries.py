@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import decontamination, near_dup, quality, sharding, token_counts, warc
+from gridscore.llm import components, decontamination, near_dup, quality, ragged, sharding, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,14 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 """)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), settings=near_dup.Settings(percent=85))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, texts = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
+    cut = ragged.annotate(texts, "text", suffix_dedup.KEPT, suffix_dedup.compute_kept, ["text_key", "spans"], "kept", ["spans"])
+    cut = cut.select("text_key", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept.kept", 256).alias("kept_sha256"))
+    result = rows.join(components.stored(cut, "cut"), "text_key", "left")
+    none = F.lit(0).cast("bigint")
+    return result.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))

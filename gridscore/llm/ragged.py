@@ -171,19 +171,35 @@ def spare_name(taken: Sequence[str], name: str) -> str:
 
 
 def annotate(
-    docs: DataFrame, column: str, result: T.StructType, compute: Callable[[pa.Array], list[pa.Array]], carry: Sequence[str], into: str,
+    docs: DataFrame, column: str, result: T.StructType, compute: Callable[..., list[pa.Array]], carry: Sequence[str], into: str, also: Sequence[str] = (),
 ) -> DataFrame:
-    """Columns ``carry`` of ``docs`` and a struct ``into`` that ``compute`` gives for the texts in ``column``. No shuffle."""
-    carried = [docs.schema[name] for name in carry]
-    schema = T.StructType([*carried, T.StructField(into, result, False)])
-    names = list(carry)
-    frame = docs.select(*[docs[f"`{name}`"] for name in dict.fromkeys([*names, column])])
-    fields = [field.name for field in result]
+    """Columns ``carry`` of ``docs`` and a struct ``into`` that ``compute`` gives for the texts in ``column`` (and the columns
+    ``also``). No shuffle."""
+    schema = T.StructType([*(docs.schema[name] for name in carry), T.StructField(into, result, False)])
+    names, fields = list(carry), [field.name for field in result]
+    frame = docs.select(*[docs[f"`{name}`"] for name in dict.fromkeys([*names, column, *also])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, column):
-                made = pa.StructArray.from_arrays(compute(piece.column(column)), fields)
+                made = pa.StructArray.from_arrays(compute(*(piece.column(name) for name in (column, *also))), fields)
                 yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in names), made], [*names, into])
 
     return frame.mapInArrow(run, schema)
+
+
+def expand(
+    docs: DataFrame, column: str, result: T.StructType, compute: Callable[..., tuple[np.ndarray, list[pa.Array]]], carry: Sequence[str], also: Sequence[str] = (),
+) -> DataFrame:
+    """Any number of rows per text: ``compute`` gives the text's index in the batch for each row, and the columns of ``result``."""
+    schema = T.StructType([*(docs.schema[name] for name in carry), *result])
+    frame = docs.select(*[docs[f"`{name}`"] for name in dict.fromkeys([*carry, column, *also])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, column):
+                rows, made = compute(*(piece.column(name) for name in (column, *also)))
+                taken = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(piece.column(name).take(taken) for name in carry), *made], schema.names)
+
+    return frame.mapInArrow(run, schema)
