@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import components, decontamination, near_dup, quality, ragged, sharding, suffix_dedup, token_counts, warc
+from gridscore.llm import components, decontamination, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = rows.join(components.stored(cut, "cut"), "text_key", "left")
     none = F.lit(0).cast("bigint")
     return result.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+
+
+@query("op9_suffix_array_pieces")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    plain = F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")  # the blank letter itself comes back as a blank
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(plain).alias("print"))
+    back = pieces.with_decoded(pieces.encoded(docs, model, carry=["doc_id", "print"]).select("doc_id", "print", "encoded.*"), model, "ids")
+    return back.select(
+        "doc_id", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.size("ids").cast("bigint").alias("n_pieces"), "n_byte_pieces",
+        "ids", (F.xxhash64("decoded") == F.col("print")).alias("round_trip"),
+    )
