@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import components, decontamination, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc
+from gridscore.llm import components, decontamination, hmm, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.size("ids").cast("bigint").alias("n_pieces"), "n_byte_pieces",
         "ids", (F.xxhash64("decoded") == F.col("print")).alias("round_trip"),
     )
+
+
+@query("op7_hidden_markov_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(table(spark, sf_dir, "documents"))
