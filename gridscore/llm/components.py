@@ -20,7 +20,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
         frame.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later table reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lowest(edges: DataFrame) -> DataFrame:
@@ -42,11 +52,14 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        larger = both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        nearest = lowest(both)
+        larger = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         larger = stored(larger, "edges")
+        discard(edges, nearest)
         least = lowest(larger)
         hooked = larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(hooked.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(larger, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscore.llm import ragged
-from gridscore.llm.components import components, stored
+from gridscore.llm.components import components, discard, stored
 
 TOKENS = 64
 
@@ -146,10 +146,11 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
     rows = sets.select("key", "tokens", roots.alias("tree")).select(
         "key", F.xxhash64("tree", F.element_at("tokens", F.pmod(F.col("tree") * 5, F.lit(TOKENS)) + 1)).alias("node"),
     )
-    pairs = []
+    pairs, used = [], []
     for level in range(1, settings.levels + 1):
         rows = stored(rows, "nodes")
         counts = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        used += [rows, counts]
         small = rows.join(counts.where(F.col("n") <= settings.small), "node").select("node", "key").join(sets, "key")
         grouped = small.groupBy("node").agg(F.collect_list(F.struct("key", "n_shingles", "tokens")).alias("members")).select("members")
         pairs.append(grouped.mapInArrow(lambda b, least=settings.least_equal, percent=settings.percent: compare(b, least, percent), PAIR))
@@ -158,24 +159,29 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
             break
         crowd = rows.join(large.select("node"), "node")
         if level == settings.levels:
-            pairs.append(led(crowd, sets, settings))
+            more, leaders = led(crowd, sets, settings)
+            pairs.append(more)
+            used.append(leaders)
         else:
             rows = crowd.join(sets, "key").select("key", F.explode(branch(F.col("node"), F.col("tokens"), settings.percent)).alias("node"))
     found = pairs[0]
     for more in pairs[1:]:
         found = found.union(more)
     ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal").where("a <> b")
-    return ordered.groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    result = stored(ordered.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
+    discard(*used)
+    return result
 
 
-def led(crowd: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """For nodes that no token divides: each document with a few leaders, so pairs grow with documents, not their square."""
+def led(crowd: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes that no token divides, each document with a few leaders, so that pairs grow with documents, not their
+    square; and the table of leaders."""
     chosen = crowd.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(k)), "key")).key.alias(f"k{k}") for k in range(settings.leaders)])
     leaders = stored(chosen.select("node", F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(settings.leaders)]))).alias("leader")), "leaders")
     pairs = crowd.join(leaders, "node").where("key <> leader").select("key", "leader").distinct()
     full = pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("tokens").alias("others")), "leader")
     equal = F.aggregate(F.arrays_zip("tokens", "others"), F.lit(0), lambda n, z: n + F.when(z.tokens == z.others, 1).otherwise(0))
-    return full.select(F.col("key").alias("a"), F.col("leader").alias("b"), equal.alias("equal")).where(F.col("equal") >= settings.least_equal)
+    return full.select(F.col("key").alias("a"), F.col("leader").alias("b"), equal.alias("equal")).where(F.col("equal") >= settings.least_equal), leaders
 
 
 def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -211,28 +217,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.first("first_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"),
         ), "classes",
     )
-    pairs = stored(candidates(classes, settings), "pairs")
+    pairs = candidates(classes, settings)
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = ends.join(classes, "key").select("first_id", F.col("key").alias("wanted"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
     shingles = ragged.annotate(found, "text", SHINGLES, compute_shingles(settings.shingle), ["wanted"], "s").where("s.key = wanted").select("s.*")
     shingles = stored(shingles.dropDuplicates(["key"]), "shingles")
 
-    links, open_pairs, roots = None, pairs, None
+    links, open_pairs, roots, used = None, pairs, None, [pairs, shingles]
     for last in (False, False, True):
         chosen = open_pairs if last else strongest(open_pairs)
         fresh = stored(confirmed(chosen, shingles, settings.percent), "links")
         links = fresh if links is None else links.union(fresh)
         roots = stored(components(links), "roots")
+        used += [fresh, roots]
         if not last:
             a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
             apart = open_pairs.join(chosen, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
             open_pairs = stored(apart.where("not coalesce(root_a = root_b, false)").select("a", "b", "equal"), "open")
+            used.append(open_pairs)
             if open_pairs.isEmpty():
                 break
     member = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = stored(member.join(lowest, "root").select("key", "component_id"), "members")
+    discard(*used, classes)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     result = known.select("doc_id", "n_shingles", "key").join(placed, "key", "left")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import components, decontamination, hmm, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc
+from gridscore.llm import components, decontamination, hmm, language_id, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hidden_markov_scores")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op5_bayesian_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.withColumn("probability", F.round("probability", 6))

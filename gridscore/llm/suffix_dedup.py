@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscore.llm import ragged
-from gridscore.llm.components import stored
+from gridscore.llm.components import discard, stored
 from gridscore.llm.suffix_sorting import suffix_array
 
 #: Bytes hashed at once; longer texts are taken in overlapping blocks.
@@ -286,7 +286,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Windows that can repeat at all: those whose long-slack core occurs at two places.
     anchors = stored(ragged.expand(long, "text", ANCHOR, compute_anchors(length, coarse), ["text_key"]), "anchors")
     twice = anchors.groupBy("core").agg(F.min(place("at")).alias("p"), F.max(place("at")).alias("q")).where("p <> q").select("core")
-    near = anchors.join(stored(twice, "cores"), "core")
+    twice = stored(twice, "cores")
+    near = anchors.join(twice, "core")
     starts = F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + 1).alias("end"))
     open_ = near.groupBy("text_key").agg(F.collect_set(starts).alias("ranges"))
     first = rows.where(F.col("n_bytes") >= length).groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
@@ -295,6 +296,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chosen = stored(chosen.select(F.col("text_key").alias("k"), "first_id", "copies", F.coalesce("ranges", none).alias("ranges")), "open")
     taken = long.join(chosen, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("k", "first_id", "doc_id")
     taken = stored(taken, "candidates")
+    discard(anchors, twice, chosen)
 
     found = ragged.expand(taken, "text", SEGMENT, compute_segments(length, fine), ["text_key"], ["ranges"])
     named = found.withColumn("segment", F.xxhash64("core", "low", "sides"))
@@ -304,6 +306,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sorted_ = variants.join(crowded, "core", "left_anti").repartition("core").sortWithinPartitions("core").select("core", "low", "sides", "several", "segment")
     repeated = sorted_.mapInArrow(lambda batches: sort_segments(batches, fine), REPEATED).union(divided(variants.join(crowded, "core", "left_semi"), fine))
     repeated = stored(repeated.select("segment", F.col("low").alias("l"), F.col("high").alias("h")), "repeated")
+    discard(variants, crowded)
 
     span = F.struct((F.col("at") - F.col("h")).alias("start"), (F.col("at") - F.col("l") + length).alias("end"))
     spans = named.select("text_key", "at", "segment").join(repeated, "segment").groupBy("text_key").agg(F.collect_set(span).alias("spans"))
@@ -311,6 +314,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end")))
     joined = taken.join(spans, F.col("text_key") == F.col("k"), "left")
     texts = joined.select("text_key", "text", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    texts = stored(texts, "repeating")
+    discard(taken, repeated)
     return rows, texts
 
 
