@@ -155,9 +155,11 @@ def identify(
         read = F.when(F.col("text_language").isNotNull(), F.col("likelihood")[k]).otherwise(0.0)
         logs.append(F.log(in_host) + said + read)
     names = F.array(*map(F.lit, model.languages))
-    rows = rows.withColumn("evidence", F.array(*logs)).withColumn("most", F.array_max("evidence"))
-    total = F.aggregate("evidence", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("most")))
+    ranked = [F.struct(log.alias("log"), F.lit(-k).alias("order"), F.lit(name).alias("lang")) for k, (log, name) in enumerate(zip(logs, model.languages))]
+    rows = rows.withColumn("evidence", F.array(*ranked))
+    best = F.array_max("evidence")
+    total = F.aggregate("evidence", F.lit(0.0), lambda acc, x: acc + F.exp(x.log - best.log))
     return rows.select(
-        "page_id", names[F.array_position("evidence", F.col("most")).cast("int") - 1].alias("lang"), (1 / total).alias("probability"),
-        names[F.col("text_language").cast("int")].alias("text_lang"), "declared", "host", "suffix", "text_bytes",
+        "page_id", best.lang.alias("lang"), (1 / total).alias("probability"), F.get(names, F.col("text_language").cast("int")).alias("text_lang"), "declared", "host", "suffix",
+        "text_bytes",
     )
