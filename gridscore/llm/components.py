@@ -33,9 +33,8 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lowest(edges: DataFrame) -> DataFrame:
-    """Per ``u`` the smallest ``v``, stored so that a join on ``u`` can be split where one ``u`` has very many rows."""
-    return stored(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+#: Links up to which one task works on them, without shuffles.
+ONE_TASK = 200_000
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -45,21 +44,25 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     each component is a star around its root; the number of rounds grows with the logarithm of its size. Links may repeat,
     point to themselves or be null (ignored). No links give no rows.
     """
-    links = links.where("a is not null and b is not null")
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stored(edges, "edges")
+    links = stored(links.where("a is not null and b is not null").select("a", "b"), "links")
+    few = links.count() <= ONE_TASK
+    kept = lambda frame: stored(frame, "edges").coalesce(1) if few else stored(frame, "edges")
+    links_in = links.coalesce(1) if few else links
+    pair = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
+    turned = lambda frame, x, y: frame.select(F.explode(F.array(pair(x, y), pair(y, x))).alias("e")).select("e.u", "e.v")
+    # The smallest neighbour is stored before it is joined, so that a join on ``u`` can be split where one ``u`` has very many rows.
+    nearest = lambda frame: kept(frame.groupBy("u").agg(F.min("v").alias("m")))
+
+    nodes = turned(links_in, "a", "b").select(F.col("u").alias("node")).distinct()
+    edges = kept(links_in.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = lowest(both)
-        larger = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        larger = stored(larger, "edges")
-        discard(edges, nearest)
-        least = lowest(larger)
-        hooked = larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(hooked.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(larger, least)
+        both = turned(edges, "u", "v")
+        larger = kept(both.join(nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        least = nearest(larger)
+        # The neighbours of ``u`` are hooked to the smallest of them, and so is ``u``.
+        moved = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        edges = kept(larger.join(least, "u").select(moved.alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -32,9 +32,9 @@ class Settings:
     percent: int = 80  # link if 100 * intersection >= percent * union
     shingle: int = 5
     trees: int = 12
-    small: int = 24  # nodes compared exhaustively
-    levels: int = 8
-    leaders: int = 4  # a node still large at the last level is compared with so many of its documents
+    small: int = 64  # nodes compared exhaustively
+    levels: int = 4
+    leaders: int = 4  # a node still large after the last level: so many of its documents are compared with all others
 
     @property
     def least_equal(self) -> int:
@@ -109,12 +109,16 @@ def compute_shingles(width: int):
     return compute
 
 
-def branch(path: Column, tokens: Column, percent: int) -> Column:
-    """Child nodes: by the token at one position chosen by the path, and by a second one as often as keeps one of
-    ``percent`` similar pairs alive per level."""
-    child = lambda salt: F.xxhash64(path, F.element_at(tokens, (F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(TOKENS)) + 1).cast("int")), F.lit(salt))
-    second = F.pmod(F.xxhash64(path, F.lit("second")), F.lit(percent)) < 100 - percent
-    return F.when(second, F.array(child("first"), child("other"))).otherwise(F.array(child("first")))
+def branched(rows: DataFrame, percent: int) -> DataFrame:
+    """Child nodes of rows (node, key, tokens): by the token at one position chosen by the path, and by a second one as often
+    as keeps one of ``percent`` similar pairs alive per level."""
+
+    def child(salt: str) -> Column:
+        position = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)) + 1
+        return F.xxhash64("node", F.element_at("tokens", position.cast("int")), F.lit(salt)).alias("node")
+
+    second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(percent)) < 100 - percent
+    return rows.select("key", child("first")).union(rows.where(second).select("key", child("other")))
 
 
 def compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -151,19 +155,20 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
         rows = stored(rows, "nodes")
         counts = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "counts")
         used += [rows, counts]
-        small = rows.join(counts.where(F.col("n") <= settings.small), "node").select("node", "key").join(sets, "key")
-        grouped = small.groupBy("node").agg(F.collect_list(F.struct("key", "n_shingles", "tokens")).alias("members")).select("members")
-        pairs.append(grouped.mapInArrow(lambda b, least=settings.least_equal, percent=settings.percent: compare(b, least, percent), PAIR))
+        pairs.append(exhausted(rows.join(counts.where(F.col("n") <= settings.small), "node"), sets, settings))
         large = counts.where(F.col("n") > settings.small)
         if large.isEmpty():
             break
-        crowd = rows.join(large.select("node"), "node")
-        if level == settings.levels:
-            more, leaders = led(crowd, sets, settings)
-            pairs.append(more)
-            used.append(leaders)
-        else:
-            rows = crowd.join(sets, "key").select("key", F.explode(branch(F.col("node"), F.col("tokens"), settings.percent)).alias("node"))
+        crowd = rows.join(large, "node")
+        if level < settings.levels:
+            rows = branched(crowd.join(sets, "key"), settings.percent)
+            continue
+        more, leaders = led(crowd, sets, settings)
+        pairs.append(more)
+        used.append(leaders)
+        # Besides, each document meets the others of a random small part of its node; other trees draw other parts.
+        part = F.pmod(F.xxhash64("key", "node"), F.ceil(2 * F.col("n") / settings.small))
+        pairs.append(exhausted(crowd.select(F.xxhash64("node", part).alias("node"), "key"), sets, settings))
     found = pairs[0]
     for more in pairs[1:]:
         found = found.union(more)
@@ -173,6 +178,13 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
     return result
 
 
+def exhausted(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """All pairs of each (small) node of rows (node, key) that are worth confirming."""
+    members = rows.select("node", "key").join(sets, "key")
+    grouped = members.groupBy("node").agg(F.collect_list(F.struct("key", "n_shingles", "tokens")).alias("members")).select("members")
+    return grouped.mapInArrow(lambda batches: compare(batches, settings.least_equal, settings.percent), PAIR)
+
+
 def led(crowd: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Pairs of nodes that no token divides, each document with a few leaders, so that pairs grow with documents, not their
     square; and the table of leaders."""
@@ -225,7 +237,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingles = stored(shingles.dropDuplicates(["key"]), "shingles")
 
     links, open_pairs, roots, used = None, pairs, None, [pairs, shingles]
-    for last in (False, False, True):
+    for last in (False, True):
         chosen = open_pairs if last else strongest(open_pairs)
         fresh = stored(confirmed(chosen, shingles, settings.percent), "links")
         links = fresh if links is None else links.union(fresh)
