@@ -69,9 +69,15 @@ def split_participant_language(key: Column | str) -> Column:
 
 
 def natural_key(key: Column | str) -> Column:
-    """Sort key under which digit runs compare as numbers: zero-padded to 20 digits."""
-    padded = F.regexp_replace(_col(key), r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
+    """Sort key under which digit runs compare as numbers of any length: each run, without leading zeros, follows its
+    number of digits in ten places."""
+    parts = F.regexp_extract_all(_col(key), F.lit(r"\d+|\D+"), F.lit(0))
+
+    def numbered(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, numbered), "")
 
 
 def is_context_blind(participant: Column | str) -> Column:

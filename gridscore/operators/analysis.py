@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 
 def pairs(first: DataFrame, second: DataFrame, key: Sequence[str] = ("source_id", "target_language")) -> DataFrame:
-    """Cells that are ok under both conditions, with both penalties."""
+    """Cells that are ok under both conditions, with both penalties. A cell recorded twice stops the job."""
     a = first.where("status = 'ok'").select(*key, F.col("total_penalty").alias("a"), *[c for c in first.columns if c not in (*key, "total_penalty", "status")])
     b = second.where("status = 'ok'").select(*key, F.col("total_penalty").alias("b"))
-    return a.join(b, list(key))
+    return one_to_one(a, b, key)
 
 
 def outcome_aggregates(a: str = "a", b: str = "b") -> list[Column]:
@@ -77,10 +77,10 @@ def subset_comparison(judgments: DataFrame, subset_cells: DataFrame, key: Sequen
 
 
 def judge_deltas(old: DataFrame, new: DataFrame, bucket: str, key: Sequence[str] = ("source_id", "target_language", "participant_id")) -> DataFrame:
-    """Mean difference of two judges on the cells both scored, per bucket."""
+    """Mean difference of two judges on the cells both scored, per bucket. A cell recorded twice stops the job."""
     a = old.select(*key, F.col("total_penalty").alias("old_penalty"))
     b = new.select(*key, bucket, F.col("total_penalty").alias("new_penalty"))
-    both = b.join(a, list(key))
+    both = one_to_one(b, a, key)
     return both.groupBy(bucket).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("old_penalty").alias("old_mean"),

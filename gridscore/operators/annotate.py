@@ -40,7 +40,7 @@ def register_sql_functions(spark: SparkSession) -> None:
     """Temporary SQL functions made of native expressions; nothing leaves the JVM."""
     points = " ".join(f"WHEN '{name}' THEN {value}L" for name, value in domain.SEVERITY_POINTS.items())
     error = "STRUCT<severity: STRING, class: STRING, target_span_text: STRING, source_span_text: STRING, explanation: STRING>"
-    space = "'\\t\\n\\r\\f \\u00a0\\u3000\\ufeff'"
+    space = "'" + "".join(f"\\u{ord(character):04x}" for character in SPACE_CHARACTERS) + "'"
     statements = {
         "annotation_penalty": f"(errors ARRAY<{error}>) RETURNS BIGINT RETURN aggregate(errors, 0L, (total, e) -> total + CASE e.severity {points} ELSE 0L END)",
         "character_error_rate": f"(reference STRING, hypothesis STRING) RETURNS DOUBLE RETURN levenshtein(btrim(hypothesis, {space}), btrim(reference, {space})) / nullif(char_length(btrim(reference, {space})), 0)",

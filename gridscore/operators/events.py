@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gridscore import domain
 from gridscore.functions.errors import cooldown_scope, error_class, http_status, is_retryable, persisted_error_text
@@ -22,15 +23,16 @@ EVENT_COLUMNS = (
 
 def sanitize(raw: DataFrame) -> DataFrame:
     """Events as they may be stored: columns a scope does not own are null, numbers are finite,
-    previews and error texts are cut and cleaned. Absent input columns count as null."""
-    have = set(raw.columns)
+    previews and error texts are cut and cleaned. Absent input columns count as null, and so does a text
+    where a number belongs."""
+    have, kinds = set(raw.columns), {f.name: f.dataType for f in raw.schema}
     column = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
     scope = F.coalesce(column("scope"), F.lit("phase"))
     item, person = scope == "item", scope.isin("item", "participant")
     preview = F.coalesce(column("source_preview"), column("sourcePreview"), column("source")).cast("string")
 
     def number(name: str):
-        value = column(name).try_cast("double")
+        value = column(name).cast("double") if isinstance(kinds.get(name), NumericType) else F.lit(None).cast("double")
         return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value).alias(name)
 
     columns = {
@@ -67,9 +69,9 @@ def classified(messages: DataFrame, provider: str = "provider", message: str = "
     )
 
 
-def recent_throttle_failures(failures: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Rate-limit and overload failures of the key in the last minute, per failure."""
-    counted = F.col("error_class").isin("rate_limit", "server_overload")
+def recent_throttle_failures(failures: DataFrame, keys: list[str], ts: str = "ts", retryable: str = "retryable") -> DataFrame:
+    """Retryable rate-limit and overload failures of the key (an item) in the last minute, per failure."""
+    counted = F.col("error_class").isin("rate_limit", "server_overload") & F.col(retryable)
     return trailing_count(failures, keys, ts, counted, domain.FAILURE_WINDOW_SECONDS, "recent_failures")
 
 

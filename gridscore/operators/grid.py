@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.keys import stable_key
 
-MAX_DIMENSION = 4096
-
 
 class Participant(NamedTuple):
     participant_id: str
@@ -28,22 +27,13 @@ def participants(entries: Sequence[str | Participant | Mapping[str, str]]) -> li
             result.append(Participant(entry["participantId"], entry["displayName"]))
         else:
             result.append(Participant(*entry))
-    if len(result) > MAX_DIMENSION:
-        raise ValueError(f"{len(result)} participants: a dimension given in code holds at most {MAX_DIMENSION}")
     return result
 
 
 def participant_array(people: Sequence[Participant]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(person.participant_id).alias("participant_id"),
-                F.lit(person.display_name).alias("participant_display_name"),
-                F.lit(ord_).alias("ord"),
-            )
-            for ord_, person in enumerate(people)
-        ]
-    )
+    """The dimension as one constant, however many participants there are."""
+    rows = [{"participant_id": p.participant_id, "participant_display_name": p.display_name, "ord": ord_} for ord_, p in enumerate(people)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<participant_id:string,participant_display_name:string,ord:int>>")
 
 
 def participant_table(spark: SparkSession, people: Sequence[Participant]) -> DataFrame:

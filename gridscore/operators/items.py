@@ -108,15 +108,27 @@ def duplicate_ids(items: DataFrame, column: str = "sampleId") -> DataFrame:
 
 
 def bucket_balance(items: DataFrame) -> DataFrame:
-    """Expected against actual items per bucket; buckets without items show up with zero."""
+    """Expected against actual items per bucket; buckets without items and buckets that are not planned show up with zero."""
     key = ["contextTurnCount", "speakerMode", "contextExpectation", "primaryPhenomenon"]
     expected = authoring_grid(items.sparkSession).groupBy(*key).agg(F.count(F.lit(1)).alias("expected"))
     actual = items.groupBy(*key).agg(F.count(F.lit(1)).alias("actual"))
-    return expected.join(actual, key, "left").select(
-        bucket_key(*key).alias("bucket"), "expected", F.coalesce("actual", F.lit(0)).alias("actual")
+    both = expected.join(actual, [expected[k].eqNullSafe(actual[k]) for k in key], "full")
+    names = [F.coalesce(expected[k], actual[k]) for k in key]
+    return both.select(
+        bucket_key(*names).alias("bucket"), F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual")
     ).withColumn("balanced", F.col("expected") == F.col("actual"))
 
 
+def scaffold_totals(items: DataFrame) -> DataFrame:
+    """One row: planned and actual items, buckets that are not balanced, ids that repeat, and whether all is well."""
+    balance = bucket_balance(items).agg(
+        F.sum("expected").alias("expected"), F.sum("actual").alias("actual"), F.count_if(~F.col("balanced")).alias("unbalanced"),
+    )
+    repeated = duplicate_ids(items).agg(F.count(F.lit(1)).alias("repeated"))
+    both = balance.withColumn("_one", F.lit(1)).join(repeated.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumn("complete", (F.col("expected") == F.col("actual")) & (F.col("unbalanced") == 0) & (F.col("repeated") == 0))
+
+
 def locked_mismatches(items: DataFrame, manifest: DataFrame) -> DataFrame:
     """Items whose locked metadata differ from the manifest, or that it does not know."""
     planned = manifest.select("sampleId", F.col("locked").alias("_planned"))
@@ -136,7 +148,15 @@ def coverage(manifest: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def in_manifest_order(manifest: DataFrame, items: DataFrame, order: str = "ord") -> DataFrame:
-    return items.join(manifest.select("sampleId", order), "sampleId").orderBy(order)
+    """Items in the order of the manifest. An id that is missing, recorded twice or not planned stops the job."""
+    copies = items.groupBy("sampleId").agg(F.count(F.lit(1)).alias("_copies"))
+    planned = manifest.select("sampleId", order).withColumn("_planned", F.lit(True)).join(copies, "sampleId", "full")
+    problem = (
+        F.when(F.col("_planned").isNull(), "unexpected").when(F.col("_copies").isNull(), "missing").when(F.col("_copies") > 1, "duplicate")
+    )
+    stop = F.raise_error(F.concat(problem, F.lit(" item "), F.coalesce("sampleId", F.lit("null")))).cast("boolean")
+    checked = planned.where(F.when(problem.isNull(), True).otherwise(stop)).select("sampleId", order)
+    return checked.join(items, "sampleId").select(*items.columns, order).orderBy(order)
 
 
 def is_filled() -> Column:

@@ -112,18 +112,20 @@ def focus_list(snapshots: DataFrame, threshold: int) -> DataFrame:
     participants are all listed.
     """
     def branch(df: DataFrame, number: int, *order: Column) -> DataFrame:
-        from pyspark.sql import Window
-
         # At most ten rows reach this window.
         return df.select("participant_id", F.lit(number).alias("branch"), F.row_number().over(Window.orderBy(*order)).alias("place"))
 
-    if len(snapshots.limit(threshold + 1).collect()) <= threshold:
-        return snapshots.select("participant_id", F.lit(0).alias("branch"), (F.col("ord") + 1).alias("place"))
+    from pyspark.sql import Window
+
+    # Participants are a bounded dimension: one row each.
+    snapshots = snapshots.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) <= threshold)
+    everyone = snapshots.where("_all").select("participant_id", F.lit(0).alias("branch"), (F.col("ord") + 1).alias("place"))
+    snapshots = snapshots.where("not _all")
     inflight = snapshots.where("inflight > 0").select("participant_id", F.lit(0).alias("branch"), (F.col("ord") + 1).alias("place"))
     failed_order = (F.desc_nulls_last("last_failure_at"), F.desc("failed"), F.asc("ord"))
     failed = snapshots.where("failed > 0").orderBy(*failed_order).limit(10)
     left_order = (F.desc("remaining"), F.asc("ord"))
     left = snapshots.where("remaining > 0").orderBy(*left_order).limit(5)
-    ranked = inflight.unionByName(branch(failed, 1, *failed_order)).unionByName(branch(left, 2, *left_order))
+    ranked = everyone.unionByName(inflight).unionByName(branch(failed, 1, *failed_order)).unionByName(branch(left, 2, *left_order))
     best = ranked.groupBy("participant_id").agg(F.min(F.struct("branch", "place")).alias("b"))
     return best.select("participant_id", "b.branch", "b.place")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.functions.keys import stable_key
-from gridscore.operators.grid import MAX_DIMENSION
 from gridscore.operators.windows import latest_rows
 
 
@@ -91,15 +90,12 @@ def import_participants(target: DataFrame, source: DataFrame, participants: Sequ
     """Append the rows of named participants of another run; each must have exactly ``expected``.
 
     Counting is a small aggregate; its result rides along as a per-participant check so that
-    one job both checks and copies. It holds at most one row per name in ``participants``, which
-    bounds the broadcast.
+    one job both checks and copies. Its size decides how it is joined.
     """
-    if len(participants) > MAX_DIMENSION:
-        raise ValueError(f"at most {MAX_DIMENSION} participants can be named")
     wanted = source.where(F.col("participant_id").isin(*participants))
     counts = wanted.groupBy("participant_id").agg(F.count(F.lit(1)).alias("_n"))
     message = F.format_string("%s has %d rows, expected %d", F.col("participant_id"), F.col("_n"), F.lit(expected))
-    checked = wanted.join(F.broadcast(counts), "participant_id").withColumn(
+    checked = wanted.join(counts, "participant_id").withColumn(
         "_ok", F.when(F.col("_n") == expected, True).otherwise(F.raise_error(message).cast("boolean"))
     )
     return target.unionByName(checked.where("_ok").drop("_n", "_ok"), allowMissingColumns=True)
@@ -137,22 +133,15 @@ def with_condition(rows: DataFrame, conditions: DataFrame) -> DataFrame:
     )
 
 
-def nested_results(outputs: DataFrame, part_rows: int = 10_000) -> DataFrame:
+def nested_results(outputs: DataFrame) -> DataFrame:
     """Item documents: languages with their outputs, sorted by label.
 
     Input columns: ``item_ord, source_id, target_language, label, output, latency_ms`` for
-    known items and conditions. An item with more outputs than ``part_rows`` is written as
-    several documents (``part``), so no task ever builds an unbounded one.
+    known items and conditions. The outputs of an item are bounded by languages and conditions,
+    and each item is one document.
     """
-    sizes = outputs.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
-    parts = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / part_rows)
-    parted = outputs.join(sizes, "source_id", "left").withColumn(
-        "part", F.pmod(F.xxhash64("target_language", "label", "output", "latency_ms"), parts)
-    )
     entry = F.struct("label", "output", "latency_ms")
-    by_language = parted.groupBy("item_ord", "source_id", "part", "target_language").agg(
-        F.sort_array(F.collect_list(entry)).alias("outputs")
-    )
-    return by_language.groupBy("item_ord", "source_id", "part").agg(
+    by_language = outputs.groupBy("item_ord", "source_id", "target_language").agg(F.sort_array(F.collect_list(entry)).alias("outputs"))
+    return by_language.groupBy("item_ord", "source_id").agg(
         F.sort_array(F.collect_list(F.struct("target_language", "outputs"))).alias("translations")
     )

@@ -14,17 +14,19 @@ SLOT_WIDTH = 1 << 18
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], seq: str, out: str, width: int = SLOT_WIDTH, facts: DataFrame | None = None, on: list[str] | None = None
+    df: DataFrame, keys: list[str], seq: str | list[str], out: str, width: int = SLOT_WIDTH, facts: DataFrame | None = None, on: list[str] | None = None
 ) -> DataFrame:
-    """``row_number()`` per ``keys`` ordered by the unique integer column ``seq``.
+    """``row_number()`` per ``keys`` ordered by the unique integer column ``seq``, or by several columns that are unique
+    together, of which the first (an integer) gives the slots.
 
     Slots span ``width`` values of ``seq``, so no task ever sorts more than ``width`` rows
     of a group. Slot counts are summed to offsets; the join back is on the very columns
     the rows are already partitioned by. ``facts`` about coarser groups (one row per value of
     the key columns ``on``) travel with the offsets, which saves moving the rows to them.
     """
-    slotted = df.withColumn("_slot", F.floor(F.col(seq) / F.lit(width)))
-    in_slot = Window.partitionBy(*keys, "_slot").orderBy(seq)
+    order = [seq] if isinstance(seq, str) else seq
+    slotted = df.withColumn("_slot", F.floor(F.col(order[0]) / F.lit(width)))
+    in_slot = Window.partitionBy(*keys, "_slot").orderBy(*order)
     local = slotted.withColumn("_local", F.row_number().over(in_slot))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

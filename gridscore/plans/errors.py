@@ -14,13 +14,13 @@ from gridscore.plans.registry import query
 
 
 @query("w5_recent_throttle_failures", """
-SELECT seq, CAST(count(*) FILTER (error_class IN ('rate_limit','server_overload')) OVER
-  (PARTITION BY bucket_key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures
+SELECT seq, CAST(count(*) FILTER (error_class IN ('rate_limit','server_overload') AND seq % 7 <> 0) OVER
+  (PARTITION BY item_key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures
 FROM attempts WHERE error_class IS NOT NULL
 """)
 def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failures = fixtures.attempts(spark, sf_dir).where("error_class IS NOT NULL")
-    return events.recent_throttle_failures(failures, ["bucket_key"]).select("seq", "recent_failures")
+    failures = fixtures.attempts(spark, sf_dir).where("error_class IS NOT NULL").withColumn("retryable", F.col("seq") % 7 != 0)
+    return events.recent_throttle_failures(failures, ["item_key"]).select("seq", "recent_failures")
 
 
 @query("w6_invalid_streak", """
@@ -35,16 +35,16 @@ def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w7_cooldown_verdict", """
-WITH f AS (SELECT seq, error_class, (seq % 5) * 4000 AS retry_after, count(*) FILTER (error_class IN ('rate_limit','server_overload')) OVER
-    (PARTITION BY bucket_key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent
+WITH f AS (SELECT seq, error_class, (seq % 5) * 4000 AS retry_after, count(*) FILTER (error_class IN ('rate_limit','server_overload') AND seq % 7 <> 0) OVER
+    (PARTITION BY item_key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent
   FROM attempts WHERE error_class IS NOT NULL)
 SELECT seq, CASE WHEN error_class = 'rate_limit' THEN 'provider_signal' WHEN retry_after >= 10000 THEN 'retry_after' WHEN recent >= 3 THEN 'failure_streak' END AS reason,
   CASE WHEN error_class = 'rate_limit' OR retry_after >= 10000 OR recent >= 3 THEN CAST(greatest(30000, retry_after) AS BIGINT) END AS delay_ms
 FROM f
 """)
 def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failures = fixtures.attempts(spark, sf_dir).where("error_class IS NOT NULL")
-    recent = events.recent_throttle_failures(failures, ["bucket_key"])
+    failures = fixtures.attempts(spark, sf_dir).where("error_class IS NOT NULL").withColumn("retryable", F.col("seq") % 7 != 0)
+    recent = events.recent_throttle_failures(failures, ["item_key"])
     scope = errors.cooldown_scope(F.lit("gemini"), F.col("error_class"))
     verdict = errors.cooldown(scope, F.col("seq") % 5 * 4000, F.col("recent_failures"))
     return recent.select("seq", verdict.alias("v")).select("seq", "v.reason", "v.delay_ms")
@@ -130,7 +130,7 @@ SELECT seq, CASE seq % 6
   WHEN 2 THEN concat('x authorization: ***', chr(10), item_key)
   WHEN 3 THEN concat('got Bearer *** and api_key: ***, ', item_key)
   WHEN 4 THEN concat('call request body: [redacted] after ', item_key)
-  ELSE concat('{"requestBody":"[redacted]","id":"', item_key, '"} system prompt: [redacted]') END AS text FROM attempts
+  ELSE concat('{"requestBody":"[redacted]" ,"id":"', item_key, '"} system prompt: [redacted]') END AS text FROM attempts
 """)
 def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, case = F.col("item_key"), F.col("seq") % 6
@@ -144,9 +144,7 @@ def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"requestBody": {"deep":["]",{}]} ,"id":"'), key, F.lit('"} systemPrompt: '), secret, F.lit(" to the end")))
     )
     rows = spread(fixtures.attempts(spark, sf_dir).select("seq", message.alias("message")))
-    # The sixth form leaves a blank before the comma, which belongs to the text around the value.
-    cleaned = F.replace(errors.persisted_error_text(F.col("message")), F.lit('" ,"'), F.lit('","'))
-    return rows.select("seq", cleaned.alias("text"))
+    return rows.select("seq", errors.persisted_error_text(F.col("message")).alias("text"))
 
 
 @query("x11_truncate", """
@@ -167,15 +165,15 @@ def x16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a client would log them: scopes in turn, numbers as text, some not finite."""
+    """Events as a client would log them: scopes in turn, numbers of which some are not finite, one that is a text."""
     seq = F.col("seq")
     scope = F.when(seq % 4 == 0, "item").when(seq % 4 == 1, "participant").when(seq % 4 == 2, "throttle_bucket")
     return fixtures.attempts(spark, sf_dir).select(
         scope.alias("scope"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), "phase",
         F.col("outcome").alias("event_type"), F.col("bucket_key").alias("throttle_bucket_key"),
         F.concat(F.lit("key-"), seq.cast("string")).alias("stable_key"), "participant_id",
-        F.repeat(F.lit("é"), F.lit(200)).alias("source"), F.when(seq % 3 == 0, "NaN").otherwise((seq % 5).cast("string")).alias("attempt"),
-        F.lit("5").alias("max_attempts"), F.col("latency_ms").cast("string").alias("latency_ms"), "error_class",
+        F.repeat(F.lit("é"), F.lit(200)).alias("source"), F.when(seq % 3 == 0, float("nan")).otherwise((seq % 5).cast("double")).alias("attempt"),
+        F.lit(5).alias("max_attempts"), "latency_ms", F.lit("250").alias("next_delay_ms"), "error_class",
         F.when(F.col("error_class").isNotNull(), F.concat(F.lit("failed with api_key=abc"), seq.cast("string"))).alias("error_summary"),
         seq.alias("seq"),
     )
@@ -205,8 +203,7 @@ WITH {_EVENT_SQL} SELECT concat_ws(' | ', concat(phase, ' ', event_type), 'bucke
 """)
 def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = events.sanitize(raw_events(spark, sf_dir).drop("seq"))
-    whole = [F.col(name).cast("bigint").alias(name) if name in events.NUMBERS else F.col(name) for name in events.EVENT_COLUMNS]
-    return clean.select(F.struct(*whole).alias("event")).select(errors.event_line(F.col("event")).alias("line"))
+    return clean.select(F.struct(*events.EVENT_COLUMNS).alias("event")).select(errors.event_line(F.col("event")).alias("line"))
 
 
 @query("x26_answer_text", """

@@ -239,7 +239,7 @@ _CHART_SQL = "CASE participant_id " + " ".join(f"WHEN 'p{i}' THEN '{name}'" for
 
 
 def _chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.element_at(F.array(*[F.lit(name) for name in _CHART_NAMES]), F.substring("participant_id", 2, 1).cast("int") + 1)
+    names = F.element_at(F.array(*[F.lit(name) for name in _CHART_NAMES]), F.substring("participant_id", F.lit(2), F.length("participant_id")).cast("int") + 1)
     board = fixtures.judgments(spark, sf_dir).groupBy("participant_id").agg(F.avg("total_penalty").alias("m"))
     return board.select(
         names.alias("participant_id"), F.concat(F.lit("Show "), names).alias("participant_display_name"),
@@ -467,8 +467,12 @@ def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.orphaned_attempts(attempts, recorded)
 
 
-@query("s10_fingerprint", """
-SELECT source, count(*) AS n, bit_xor(CAST(('0x' || substring(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), text)), 1, 15)) AS BIGINT)) AS digest FROM documents GROUP BY 1
+_DIGEST_PARTS = ", ".join(f"CAST(sum(CAST(CAST(('0x' || substring(h, {16 * k + 1}, 16)) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("s10_fingerprint", f"""
+SELECT source, count(*) AS n, concat_ws('-', CAST(count(*) AS VARCHAR), {_DIGEST_PARTS}) AS digest
+FROM (SELECT source, sha256(concat(CAST(doc_id AS VARCHAR), chr(31), text)) AS h FROM documents) GROUP BY 1
 """)
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "documents")

@@ -149,7 +149,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         fixtures.authored_items(spark, sf_dir)
         .where(number % 29 != 0)
         .select("sampleId", F.when(number % 23 == 0, changed).otherwise(F.col("locked")).alias("locked"),
-                (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+                F.struct("conv_id", "turn").alias("ord"))
     )
 
 
@@ -177,10 +177,11 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.coverage(_manifest(spark, sf_dir), batches).select(F.col("sampleId").alias("sample_id"), "verdict")
 
 
-@query("j15_manifest_order", "SELECT sample_id, conv_id * 1000 + turn AS ord FROM item_rows WHERE number % 29 <> 0")
+@query("j15_manifest_order", "SELECT sample_id, conv_id, turn FROM item_rows WHERE number % 29 <> 0")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = rules.in_manifest_order(_manifest(spark, sf_dir), fixtures.authored_items(spark, sf_dir).select("sampleId", "status"))
-    return ordered.select(F.col("sampleId").alias("sample_id"), "ord")
+    manifest = _manifest(spark, sf_dir)
+    planned = fixtures.authored_items(spark, sf_dir).select("sampleId", "status").join(manifest.select("sampleId"), "sampleId", "left_semi")
+    return rules.in_manifest_order(manifest, planned).select(F.col("sampleId").alias("sample_id"), "ord.conv_id", "ord.turn")
 
 
 @query("w4_batches", """
@@ -193,10 +194,8 @@ def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(items: DataFrame, size: int) -> DataFrame:
     """Batch id per item: structural bucket plus a running number, ``size`` items each."""
-    ordered = items.withColumn("bucket", structural_bucket("contextTurnCount", "speakerMode")).withColumn(
-        "ord", F.col("conv_id") * 1000 + F.col("turn")
-    )
-    numbered = row_numbers(ordered, ["bucket"], "ord", "rn")
+    ordered = items.withColumn("bucket", structural_bucket("contextTurnCount", "speakerMode")).withColumn("ord", F.struct("conv_id", "turn"))
+    numbered = row_numbers(ordered, ["bucket"], ["conv_id", "turn"], "rn")
     number = F.floor((F.col("rn") - 1) / size) + 1
     return numbered.withColumn("batch_id", F.format_string("%s-batch-%02d", F.col("bucket"), number))
 

@@ -33,15 +33,13 @@ def g23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g24_cost_rollup", f"""
-WITH {_COST_SQL}, f AS (SELECT * FROM cost WHERE phase = 'judge')
+WITH {_COST_SQL}, f AS (SELECT * FROM cost)
 SELECT 'phase' AS view, phase AS value, ROUND(sum(coalesce(cost_usd, 0)), 6) AS total_cost_usd, count(*) FILTER (cost_usd IS NULL) AS unknown_cost_records FROM f GROUP BY 2
-UNION ALL SELECT 'phase', 'translation', 0, 0
 UNION ALL SELECT 'model', model, ROUND(sum(coalesce(cost_usd, 0)), 6), count(*) FILTER (cost_usd IS NULL) FROM f GROUP BY 2
 UNION ALL SELECT 'overall', NULL, ROUND(sum(coalesce(cost_usd, 0)), 6), count(*) FILTER (cost_usd IS NULL) FROM f
 """)
 def g24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that so far only judged: the other phase must still be listed."""
-    costed = costs.with_cost(fixtures.usage_metrics(spark, sf_dir).where("phase = 'judge'"))
+    costed = costs.with_cost(fixtures.usage_metrics(spark, sf_dir))
     return costs.cost_rollup(costed).withColumn("total_cost_usd", F.col("total_cost_usd").cast("double"))
 
 
@@ -250,7 +248,7 @@ def o5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("outcome") == "failure", F.col("ts"))).alias("last_failure_at"),
         F.greatest(100 - F.count(F.lit(1)), F.lit(0)).alias("remaining"),
     )
-    snapshots = snapshots.withColumn("ord", F.substring("participant_id", 2, 12).cast("bigint"))
+    snapshots = snapshots.withColumn("ord", F.substring("participant_id", F.lit(2), F.length("participant_id")).cast("bigint"))
     return progress.focus_list(snapshots, 10).select("participant_id", F.col("branch").cast("bigint").alias("branch"), F.col("place").cast("bigint").alias("place"))
 
 
@@ -259,5 +257,5 @@ SELECT bucket_key, participant_id, seq, row_number() OVER (PARTITION BY bucket_k
 FROM (SELECT *, row_number() OVER (PARTITION BY bucket_key, participant_id ORDER BY seq) AS round, CAST(substring(participant_id, 2) AS INT) AS ord FROM attempts)
 """)
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.attempts(spark, sf_dir).select("bucket_key", "participant_id", "seq").withColumn("ord", F.substring("participant_id", 2, 3).cast("int"))
+    rows = fixtures.attempts(spark, sf_dir).select("bucket_key", "participant_id", "seq").withColumn("ord", F.substring("participant_id", F.lit(2), F.length("participant_id")).cast("int"))
     return round_robin(rows, ["bucket_key"], "participant_id", "ord", "seq").select("bucket_key", "participant_id", "seq", "position")

@@ -22,6 +22,10 @@ from gridscore.streaming import runs as streams
 _EVENT = "seq bigint, ts timestamp, item_key string, bucket_key string, participant_id string, phase string, outcome string, error_class string, latency_ms bigint"
 
 
+#: A micro-batch takes files of about this size together, however many they are.
+BYTES_PER_BATCH = 128 << 20
+
+
 def staged(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
     """The event log as JSON files in a shared folder, written in the order of the log.
 
@@ -39,7 +43,7 @@ def staged(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return streams.event_stream(spark, folder, _EVENT, files_per_batch=1)
+    return streams.event_stream(spark, folder, _EVENT, bytes_per_batch=BYTES_PER_BATCH)
 
 
 @query("s1_jsonl_scan", "SELECT stable_key, participant_id, seq, error_class FROM run_failures")
@@ -57,9 +61,8 @@ def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "dataset")
     entry = F.struct("sampleId", "speakerMode", "contextTurns")
     items = runtime_items(fixtures.authored_items(spark, sf_dir))
-    # Ids are unique, so a hash of them fills the documents evenly; their number grows with the data.
-    documents = fixtures.table(spark, sf_dir, "conversations").count() // 10_000 + 1
-    part = F.pmod(F.xxhash64("sampleId"), F.lit(documents))
+    # A document holds the items of 5,000 conversations, so the number of documents grows with the data.
+    part = F.floor(F.regexp_extract("sampleId", r"\d+", 0).cast("bigint") / 5_000)
     arrays = items.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
     arrays.write.partitionBy("part").text(path)
     turn = "struct<speakerRole:string,relativeTimeLabel:string,sourceText:string>"
@@ -152,9 +155,8 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that come back in every micro-batch are stored once."""
     folder, out = staged(spark, sf_dir), scratch_path(spark, "keys")
-    keyed = event_stream(spark, folder).select(F.col("item_key").alias("stable_key"), "ts")
-    fresh = streams.without_repeats(keyed, horizon="1 hour").select("stable_key")
-    streams.run_append(fresh, out, scratch_path(spark, "checkpoint")).awaitTermination()
+    keyed = event_stream(spark, folder).select(F.col("item_key").alias("stable_key"))
+    streams.run_append(keyed, out, scratch_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("stable_key")
 
 
@@ -199,13 +201,13 @@ def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_version(spark, out, schema).select("seq", "item_key", "error_class")
 
 
-@query("t7_resume", "SELECT DISTINCT concat(item_key, '-', CAST(seq % 7 AS VARCHAR)) AS stable_key FROM attempts WHERE phase = 'judge'")
+@query("t7_resume", "SELECT DISTINCT concat(item_key, '-', CAST(seq % 7 AS VARCHAR)) AS stable_key FROM attempts")
 def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run handles half of the log; the second goes on from its checkpoint and output."""
     folder, out, checkpoint = scratch_path(spark, "events"), scratch_path(spark, "done"), scratch_path(spark, "checkpoint")
-    log = fixtures.attempts(spark, sf_dir).where("phase = 'judge'")
+    log = fixtures.attempts(spark, sf_dir)
     for half in (0, 1):
-        log.where(F.col("seq") % 4 == 1 + 2 * half).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
+        log.where(F.col("seq") % 4 >= 2 if half else F.col("seq") % 4 < 2).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
         keys = event_stream(spark, folder).select(F.concat("item_key", F.lit("-"), (F.col("seq") % 7).cast("string")).alias("stable_key"))
         streams.run_append(keys, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("stable_key")

@@ -52,9 +52,13 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_digest(rows: DataFrame, *text: Column) -> Column:
-    """Order-free digest of a table: the exclusive or of 60 bits of each row's SHA-256."""
+    """Order-free digest of a table: the sum of each row's whole SHA-256, in four parts, after the number of rows.
+
+    A sum tells how often a row occurs, so repeated rows do not cancel out.
+    """
     digest = F.sha2(F.concat_ws("\x1f", *text), 256)
-    return F.bit_xor(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+    parts = [F.sum(F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return F.concat_ws("-", F.count(F.lit(1)).cast("string"), *parts)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -71,6 +75,21 @@ def latest_version(spark: SparkSession, root: str) -> int:
     return max((int(name.split("=")[1].split(".")[0]) for name in names if name.startswith("committed=")), default=0)
 
 
+def folder_names(spark: SparkSession, root: str) -> list[str]:
+    fs, path = _file_system(spark, root)
+    return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def prune_versions(spark: SparkSession, root: str, keep: int = 3) -> None:
+    """Delete committed versions but the last ``keep``; a reader of the newest is not disturbed."""
+    last = latest_version(spark, root)
+    for name in folder_names(spark, root):
+        kind, _, number = name.removesuffix(".marker").partition("=")
+        if kind in ("version", "committed") and int(number) <= last - keep:
+            fs, path = _file_system(spark, f"{root}/{name}")
+            fs.delete(path, True)
+
+
 def read_version(spark: SparkSession, root: str, schema: StructType | str, version: int | None = None) -> DataFrame:
     number = latest_version(spark, root) if version is None else version
     return read_jsonl(spark, f"{root}/version={number}", schema)
@@ -112,4 +131,4 @@ def write_scaffold(items: DataFrame, existing: DataFrame | None, root: str, forc
         touched = violations(existing, pristine_rules()).where(F.size("violations") > 0)
         if not touched.isEmpty():
             raise ValueError("existing batches are not a pristine scaffold; use force to replace them")
-    items.write.mode("overwrite").partitionBy(by).option("ignoreNullFields", "false").json(root)
+    items.repartition(by).write.mode("overwrite").partitionBy(by).option("ignoreNullFields", "false").json(root)

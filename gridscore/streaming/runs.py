@@ -15,18 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gridscore.operators.windows import latest_rows
-from gridscore.session import path_exists
-from gridscore.sources.files import latest_version, read_version, write_version
+from gridscore.sources.files import folder_names, latest_version, prune_versions, read_version, write_version
 
 
 # The default format of JSON files would cut times to milliseconds.
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def event_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema: StructType | str, bytes_per_batch: int | None = None) -> DataFrame:
+    """Events of all files below ``folder``; micro-batches of about ``bytes_per_batch``."""
     reader = spark.readStream.schema(schema).options(mode="FAILFAST", timestampFormat=TIMESTAMP_FORMAT)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.json(folder)
 
 
@@ -49,7 +49,8 @@ def cooldown_ends(events: DataFrame, delay_ms: Column) -> DataFrame:
 
 
 def failure_windows(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Failures that throttle, per bucket and sliding minute."""
+    """Failures that throttle, per bucket and sliding minute. How many rows came too late for their
+    windows is in the progress of the query (``late_rows``)."""
     throttled = events.where(F.col("error_class").isin("rate_limit", "server_overload"))
     return (
         throttled.withWatermark("ts", watermark)
@@ -59,17 +60,17 @@ def failure_windows(events: DataFrame, watermark: str = "10 minutes") -> DataFra
     )
 
 
-def without_repeats(events: DataFrame, key: str = "stable_key", ts: str = "ts", horizon: str = "1 hour") -> DataFrame:
-    """Each key once within the horizon; older repeats are left to the append sink."""
-    return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
-
-
 def _start(stream: DataFrame, each_batch, checkpoint: str, mode: str, every: str | None) -> StreamingQuery:
     writer = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful operators of a query dropped behind their watermark, over its recent progress."""
+    return sum(int(state.numRowsDroppedByWatermark) for progress in query.recentProgress for state in progress.stateOperators)
+
+
 def run_updates(stream: DataFrame, folder: str, checkpoint: str, every: str | None = None, mode: str = "update") -> StreamingQuery:
     """Write changed rows of every micro-batch below ``folder/batch_id=N``."""
 
@@ -88,21 +89,22 @@ def latest_updates(spark: SparkSession, folder: str, keys: Sequence[str]) -> Dat
 def run_append(stream: DataFrame, folder: str, checkpoint: str, key: str = "stable_key", every: str | None = None) -> StreamingQuery:
     """Append rows whose key was not written by an earlier micro-batch, also of earlier runs.
 
-    Batches are kept per ``query`` (the id Spark stores in the checkpoint), so that a query that
-    starts anew, without its checkpoint, counts from zero beside the old batches.
+    The keys this query has seen are its keyed state, kept in the checkpoint without a watermark: a key
+    is never forgotten, however late its first event comes, and no micro-batch reads what was written before.
+    Batches are kept per ``query`` (the id Spark stores in the checkpoint), so that a query that starts anew,
+    without its checkpoint, counts from zero beside the old batches; only keys of such other queries are looked up.
     """
 
     def each_batch(rows: DataFrame, batch_id: int) -> None:
-        spark, fresh = rows.sparkSession, rows.dropDuplicates([key])
+        spark, fresh = rows.sparkSession, rows
         query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
-        if path_exists(spark, folder):
-            written = spark.read.option("basePath", folder).schema(f"{key} string, query string, batch_id bigint").parquet(folder)
-            # A replayed batch must see what was there before it, not its own first try.
-            own_try = (F.col("query") == query) & (F.col("batch_id") >= batch_id)
-            fresh = fresh.join(written.where(~own_try).select(key).distinct(), key, "left_anti")
+        others = [name for name in folder_names(spark, folder) if name.startswith("query=") and name != f"query={query}"]
+        if others:
+            written = spark.read.schema(f"{key} string").parquet(*[f"{folder}/{name}/*" for name in others])
+            fresh = fresh.join(written.distinct(), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{folder}/query={query}/batch_id={batch_id}")
 
-    return _start(stream, each_batch, checkpoint, "append", every)
+    return _start(stream.dropDuplicates([key]), each_batch, checkpoint, "append", every)
 
 
 def run_snapshots(stream: DataFrame, folder: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
@@ -111,6 +113,7 @@ def run_snapshots(stream: DataFrame, folder: str, checkpoint: str, every: str |
 
     def each_batch(rows: DataFrame, batch_id: int) -> None:
         write_version(rows, folder)
+        prune_versions(spark=rows.sparkSession, root=folder)
 
     return _start(stream, each_batch, checkpoint, "complete", every)
 
@@ -125,5 +128,6 @@ def run_feed(stream: DataFrame, folder: str, checkpoint: str, limit: int, schema
         if latest_version(spark, folder):
             newest = newest.unionByName(read_version(spark, folder, schema)).dropDuplicates([tie]).orderBy(*order).limit(limit)
         write_version(newest, folder)
+        prune_versions(spark, folder)
 
     return _start(stream, each_batch, checkpoint, "append", every)

@@ -45,12 +45,14 @@ def test_conditions_and_latency(spark):
     assert {r.stable_key: r.latency_ms for r in runs.with_latency(rows, metrics).collect()} == {"k1": 9, "k2": 0, "k3": 0}
 
 
-def test_nested_results_split_large_items(spark):
-    schema = "item_ord int, source_id string, target_language string, label string, output string, latency_ms bigint"
-    outputs = spark.createDataFrame([(1, "s", "en", f"m{i:03d}", "x", 0) for i in range(50)] + [(2, "t", "en", "m", "x", 0)], schema)
-    documents = runs.nested_results(outputs, part_rows=10).collect()
-    assert sum(len(entry.outputs) for d in documents for entry in d.translations if d.source_id == "s") == 50
-    assert len([d for d in documents if d.source_id == "s"]) > 1 and len([d for d in documents if d.source_id == "t"]) == 1
+def test_an_item_is_one_document_whatever_its_size(spark):
+    outputs = spark.range(20_000).select(
+        F.lit(1).alias("item_ord"), F.lit("a").alias("source_id"), F.concat(F.lit("l"), F.col("id") % 3).alias("target_language"),
+        F.format_string("%05d", "id").alias("label"), F.lit("text").alias("output"), F.lit(0).alias("latency_ms"),
+    )
+    (document,) = runs.nested_results(outputs).collect()
+    assert [t.target_language for t in document.translations] == ["l0", "l1", "l2"]
+    assert sum(len(t.outputs) for t in document.translations) == 20_000
 
 
 def test_costs(spark):

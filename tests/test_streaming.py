@@ -48,3 +48,37 @@ def test_feed_keeps_the_newest(spark, tmp_path):
         stream = streams.event_stream(spark, folder, SCHEMA).select("seq", "ts")
         streams.run_feed(stream, out, checkpoint, 3, "seq bigint, ts timestamp").awaitTermination()
     assert sorted(r.seq for r in read_version(spark, out, "seq bigint, ts timestamp").collect()) == [8, 9, 10]
+
+
+def test_a_first_key_is_kept_however_late(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    for hour, key in ((12, "a"), (18, "b"), (9, "late-first"), (9, "a")):
+        at = datetime.datetime(2026, 1, 1, hour, tzinfo=datetime.timezone.utc)
+        row = spark.createDataFrame([(hour, at, key, "judge", "p", "success")], SCHEMA)
+        row.coalesce(1).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
+        streams.run_append(streams.event_stream(spark, folder, SCHEMA).select("stable_key"), out, checkpoint).awaitTermination()
+    assert sorted(r.stable_key for r in spark.read.parquet(out).collect()) == ["a", "b", "late-first"]
+
+
+def test_late_failures_are_counted(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    schema, late = "ts timestamp, bucket_key string, error_class string", []
+    for hour in (12, 18, 9):
+        at = datetime.datetime(2026, 1, 1, hour, tzinfo=datetime.timezone.utc)
+        row = spark.createDataFrame([(at, "b", "rate_limit")], schema)
+        row.coalesce(1).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
+        query = streams.run_updates(streams.failure_windows(streams.event_stream(spark, folder, schema)), out, checkpoint)
+        query.awaitTermination()
+        late.append(streams.late_rows(query))
+    assert late[:2] == [0, 0] and late[2] > 0
+
+
+def test_old_snapshots_are_pruned(spark, tmp_path):
+    from gridscore.sources.files import folder_names, latest_version, prune_versions, write_version
+
+    root = str(tmp_path / "versions")
+    for n in range(6):
+        write_version(spark.range(n + 1), root)
+    prune_versions(spark, root, keep=2)
+    assert latest_version(spark, root) == 6 and read_version(spark, root, "id bigint").count() == 6
+    assert sorted(folder_names(spark, root)) == ["committed=5.marker", "committed=6.marker", "version=5", "version=6"]
