@@ -32,9 +32,10 @@ class Settings:
     percent: int = 80  # link if 100 * intersection >= percent * union
     shingle: int = 5
     trees: int = 12
-    small: int = 64  # nodes compared exhaustively
+    small: int = 24  # nodes compared exhaustively
     levels: int = 4
     leaders: int = 4  # a node still large after the last level: so many of its documents are compared with all others
+    hubs: int = 16  # and so many of those with the most likely candidates
 
     @property
     def least_equal(self) -> int:
@@ -143,14 +144,15 @@ def compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(equal.astype(np.int32))], PAIR.names)
 
 
-def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of class keys that some tree brought together, with their number of equal tokens."""
+def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of class keys that some tree brought together, with their number of equal tokens; and
+    the rows (node, key) of nodes that are still large after the last level."""
     sets = classes.select("key", "n_shingles", "tokens")
     roots = F.explode(F.sequence(F.lit(1), F.lit(settings.trees)))
     rows = sets.select("key", "tokens", roots.alias("tree")).select(
         "key", F.xxhash64("tree", F.element_at("tokens", F.pmod(F.col("tree") * 5, F.lit(TOKENS)) + 1)).alias("node"),
     )
-    pairs, used = [], []
+    pairs, used, crowd = [], [], None
     for level in range(1, settings.levels + 1):
         rows = stored(rows, "nodes")
         counts = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "counts")
@@ -159,10 +161,10 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
         large = counts.where(F.col("n") > settings.small)
         if large.isEmpty():
             break
-        crowd = rows.join(large, "node")
         if level < settings.levels:
-            rows = branched(crowd.join(sets, "key"), settings.percent)
+            rows = branched(rows.join(large, "node").join(sets, "key"), settings.percent)
             continue
+        crowd = stored(rows.join(large, "node"), "crowd")
         more, leaders = led(crowd, sets, settings)
         pairs.append(more)
         used.append(leaders)
@@ -175,7 +177,7 @@ def candidates(classes: DataFrame, settings: Settings) -> DataFrame:
     ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal").where("a <> b")
     result = stored(ordered.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
     discard(*used)
-    return result
+    return result, crowd
 
 
 def exhausted(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -190,10 +192,35 @@ def led(crowd: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFram
     square; and the table of leaders."""
     chosen = crowd.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(k)), "key")).key.alias(f"k{k}") for k in range(settings.leaders)])
     leaders = stored(chosen.select("node", F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(settings.leaders)]))).alias("leader")), "leaders")
-    pairs = crowd.join(leaders, "node").where("key <> leader").select("key", "leader").distinct()
-    full = pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("tokens").alias("others")), "leader")
+    pairs = crowd.join(leaders, "node").where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    return worth_confirming(pairs, sets, settings), leaders
+
+
+def worth_confirming(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs with enough equal tokens."""
+    full = pairs.join(sets.select(F.col("key").alias("a"), "tokens"), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("others")), "b")
     equal = F.aggregate(F.arrays_zip("tokens", "others"), F.lit(0), lambda n, z: n + F.when(z.tokens == z.others, 1).otherwise(0))
-    return full.select(F.col("key").alias("a"), F.col("leader").alias("b"), equal.alias("equal")).where(F.col("equal") >= settings.least_equal), leaders
+    return full.select("a", "b", equal.alias("equal")).where(F.col("equal") >= settings.least_equal)
+
+
+def hub_pairs(crowd: DataFrame, candidates: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """In nodes that no token divides: each document that is still apart from the node's hubs, with these. Hubs are the
+    documents with the most candidates whose estimate reaches the threshold.
+
+    Of very many copies of one original each may be similar to the original alone, which is then such a hub.
+    """
+    likely = candidates.where(100 * F.col("equal") >= settings.percent * TOKENS)
+    ends = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key")))
+    degrees = ends.groupBy("key").agg(F.count("*").alias("degree"))
+    placed = crowd.select("node", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(degrees, "key", "left")
+    placed = stored(placed.select("node", "key", F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
+    part = F.pmod(F.xxhash64("key"), F.lit(settings.hubs))
+    best = placed.where("degree > 0").groupBy("node", part.alias("part")).agg(F.max(F.struct("degree", "key", "root")).alias("hub"))
+    hubs = stored(best.select("node", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
+    apart = placed.join(hubs, "node").where("root <> hub_root").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    result = stored(worth_confirming(apart, sets, settings), "hub_pairs")
+    discard(placed, hubs)
+    return result
 
 
 def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -229,8 +256,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.first("first_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"),
         ), "classes",
     )
-    pairs = candidates(classes, settings)
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    pairs, crowd = candidates(classes, settings)
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+    ends = (ends.union(crowd.select("key")) if crowd is not None else ends).distinct()
     wanted = ends.join(classes, "key").select("first_id", F.col("key").alias("wanted"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
     shingles = ragged.annotate(found, "text", SHINGLES, compute_shingles(settings.shingle), ["wanted"], "s").where("s.key = wanted").select("s.*")
@@ -250,6 +278,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             used.append(open_pairs)
             if open_pairs.isEmpty():
                 break
+    if crowd is not None:
+        apart = hub_pairs(crowd, pairs, roots, classes.select("key", "tokens"), settings)
+        fresh = stored(confirmed(apart, shingles, settings.percent), "links")
+        used += [crowd, apart, fresh]
+        if not fresh.isEmpty():
+            roots = stored(components(links.union(fresh)), "roots")
+            used.append(roots)
     member = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = stored(member.join(lowest, "root").select("key", "component_id"), "members")
