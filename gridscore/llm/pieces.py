@@ -46,6 +46,10 @@ class Vocabulary:
     sorted_ids: np.ndarray  # pieces that can be a result of merging, in order of their bytes
     prefix: bool
 
+    def __post_init__(self) -> None:
+        self.sizes = np.array([*map(len, self.surface), 0])
+        self.sorted_pieces = [self.surface[i] for i in self.sorted_ids]
+
 
 @lru_cache(maxsize=2)
 def load_vocabulary(path: str) -> Vocabulary:
@@ -129,18 +133,37 @@ def stay_apart(vocabulary: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarr
     return apart
 
 
-def big_endian_words(text: np.ndarray, depth: int) -> list[np.ndarray]:
-    """``depth`` arrays: the 8 bytes from each position, from 8 further on, … as numbers that sort like the bytes."""
+def big_endian_words(text: np.ndarray, rest: np.ndarray, depth: int) -> list[np.ndarray]:
+    """``depth`` arrays: the 8 bytes from each position, from 8 further on, … as numbers that sort like the bytes. Bytes
+    beyond the ``rest`` of a position's word are zero."""
     padded = np.concatenate([text, np.zeros(8 * depth + 8, np.uint8)])
     view = np.ndarray((len(text) + 8 * depth,), ">u8", padded, strides=(1,)).astype(np.uint64)
-    return [view[8 * k : 8 * k + len(text)] for k in range(depth)]
+    keep = np.array([0, *((1 << 64) - (1 << 64 - 8 * n) for n in range(1, 9))], np.uint64)
+    return [view[8 * k : 8 * k + len(text)] & keep[np.clip(rest - 8 * k, 0, 8)] for k in range(depth)]
+
+
+def suffix_order(words: list[np.ndarray]) -> np.ndarray:
+    """Positions in the order of their suffixes. Only where the first 8 bytes are equal and go on, the others are looked at."""
+    order = np.argsort(words[0], kind="stable")
+    first = words[0][order]
+    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    sizes = np.diff(np.append(starts, len(order)))
+    longer = words[1][order] if len(words) > 1 else np.zeros(len(order), np.uint64)
+    tied = np.flatnonzero(np.repeat((sizes > 1) & (np.maximum.reduceat(longer, starts) > 0), sizes))
+    run = np.repeat(np.arange(len(starts)), sizes)[tied]
+    among = order[tied]
+    order[tied] = among[np.lexsort([*(w[among] for w in words[:0:-1]), run])]
+    return order
 
 
 def matches(text: np.ndarray, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and numbers of all occurrences of ``pieces``."""
+    """Positions and numbers of all occurrences of ``pieces`` in ``text``, whose words are separated by a byte 255 that no
+    piece contains."""
     depth = max(1, -(-max(map(len, pieces)) // 8))
-    words = big_endian_words(text, depth)
-    order = np.lexsort(words[::-1])
+    ends = np.flatnonzero(text == 255)
+    stop = np.append(ends, len(text))[np.searchsorted(ends, np.arange(len(text)))]
+    words = big_endian_words(text, stop - np.arange(len(text)), depth)
+    order = suffix_order(words)
     words = [w[order] for w in words]
     lengths = np.array([len(p) for p in pieces])
     low = np.zeros((len(pieces), 8 * depth), np.uint8)
@@ -181,8 +204,8 @@ def segment(words: Sequence[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray,
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     text = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)  # a byte that is in no text
     base = np.cumsum(lengths + 1) - lengths - 1
-    at, number = matches(text, [vocabulary.surface[i] for i in vocabulary.sorted_ids])
-    size = np.array([len(vocabulary.surface[i]) for i in vocabulary.sorted_ids])[number]
+    at, number = matches(text, vocabulary.sorted_pieces)
+    size = vocabulary.sizes[vocabulary.sorted_ids][number]
     piece = vocabulary.sorted_ids[number]
 
     starts = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF))
@@ -195,7 +218,7 @@ def segment(words: Sequence[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray,
 
     word = np.repeat(np.arange(len(words)), lengths + 1)
     rank = at + size - base[word[at]]  # how far into its word an edge ends
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank.astype(np.int16) if rank.max(initial=0) < 1 << 15 else rank, kind="stable")
     at, piece, size, rank = at[order], piece[order], size[order], rank[order]
     before = np.full(len(text) + 1, -1, np.int64)  # the piece that ends at a position
     wave = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, np.int64)
@@ -211,7 +234,7 @@ def segment(words: Sequence[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray,
             good = linked[stay_apart(vocabulary, before[a[linked]], p[linked])]
             before[stop[good]] = p[good]
 
-    sizes = np.append(np.array([len(s) for s in vocabulary.surface]), 0)
+    sizes = vocabulary.sizes
     owner, position = np.arange(len(words)), base + lengths
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     keep = lengths > 0
