@@ -68,20 +68,21 @@ def may_reuse_judgments(prompt_mismatch_allowed: bool, source: tuple[str | None,
     return not prompt_mismatch_allowed and source[0] is not None and source == wanted
 
 
-def reused_judgments(judgments: DataFrame, copied: DataFrame, judge_model: str, new_run: str) -> DataFrame:
-    """Ok judgments of copied translations by the same judge, moved to the new run."""
-    keys = copied.select(F.col("source_stable_key").alias("stable_key"), F.col("stable_key").alias("_new")).distinct()
+def reused_keys(judgments: DataFrame, copied: DataFrame, judge_model: str) -> DataFrame:
+    """Old and new key (``source_stable_key``, ``stable_key``) of copied translations with an ok judgment by the same judge."""
     good = judgments.where((F.col("status") == "ok") & (F.col("judge_model_id") == judge_model))
-    return (
-        good.join(keys, "stable_key")
-        .withColumn("stable_key", F.col("_new"))
-        .withColumn("run_id", F.lit(new_run))
-        .drop("_new")
-    )
+    keys = copied.select("source_stable_key", "stable_key").distinct()
+    return keys.join(good.select(F.col("stable_key").alias("source_stable_key")).distinct(), "source_stable_key", "left_semi")
+
+
+def reused_judgments(judgments: DataFrame, copied: DataFrame, judge_model: str, new_run: str) -> DataFrame:
+    """Judgments of the reused keys, moved to the new run."""
+    return rekey_metrics(judgments, reused_keys(judgments, copied, judge_model)).withColumn("run_id", F.lit(new_run))
 
 
 def rekey_metrics(metrics: DataFrame, copied: DataFrame) -> DataFrame:
-    """Usage rows of copied keys under their new keys; others are dropped."""
+    """Rows of copied keys under their new keys; others are dropped. With :func:`reused_keys` as ``copied`` the same serves
+    the raw rows and the usage rows of a judge."""
     keys = copied.select(F.col("source_stable_key").alias("stable_key"), F.col("stable_key").alias("_new")).distinct()
     return metrics.join(keys, "stable_key").withColumn("stable_key", F.col("_new")).drop("_new")
 

@@ -149,6 +149,29 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("stable_key", "run_id", "judge_model_id")
 
 
+_REUSED_SQL = """
+SELECT c.new_key AS stable_key, l.seq{more} FROM ledger l JOIN led_copied c ON c.source_stable_key = l.stable_key
+WHERE l.stable_key IN (SELECT stable_key FROM led_judgments WHERE status = 'ok' AND judge_model_id = 'judge-a'){where}
+"""
+
+
+def _reused(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return runs.rekey_metrics(rows, runs.reused_keys(fixtures.ledger_judgments(spark, sf_dir), _copied(spark, sf_dir), "judge-a"))
+
+
+@query("j9_reused_raw_rows", _REUSED_SQL.format(more="", where=""))
+def j9_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw judge rows of reused keys only."""
+    return _reused(spark, sf_dir, fixtures.ledger(spark, sf_dir).select("stable_key", "seq"))
+
+
+@query("j9_reused_judge_metrics", _REUSED_SQL.format(more=", l.latency_ms", where=" AND l.latency_ms IS NOT NULL"))
+def j9_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge usage of reused keys only."""
+    metrics = fixtures.ledger(spark, sf_dir).where("latency_ms IS NOT NULL").select("stable_key", "seq", "latency_ms")
+    return _reused(spark, sf_dir, metrics)
+
+
 @query("j10_rekey_metrics", """
 SELECT c.new_key AS stable_key, l.seq, l.latency_ms FROM ledger l JOIN led_copied c ON c.source_stable_key = l.stable_key
 """)

@@ -117,6 +117,25 @@ def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ok").alias("ok"))
 
 
+@query("s7_pruned_failures", """
+SELECT 1 AS version, count(*) AS n FROM judgments WHERE event_id % 4 = 0 OR status <> 'ok'
+UNION ALL SELECT 2, count(*) FROM judgments WHERE status <> 'ok'
+""")
+def s7_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure rows of repaired keys go with the same rewrite; the version before is kept."""
+    root, failure_root = scratch_path(spark, "judgments"), scratch_path(spark, "failures")
+    rows = parsed(spark, sf_dir).select("stable_key", "raw_judge_output", "event_id", "status", "errors", "summary", "context_behavior", *METADATA, "problem")
+    lost = F.col("event_id") % 4 == 0
+    stored = rows.withColumn("status", F.when(lost, "judge_failed").otherwise(F.col("status"))).withColumn("summary", F.when(~lost, F.col("summary")))
+    files.write_version(stored, root)
+    kept = files.read_version(spark, root, stored.schema)
+    files.write_version(kept.where("status <> 'ok'").select("stable_key", "event_id"), failure_root)
+    schema = "stable_key string, event_id bigint"
+    files.rewrite_repaired(repair(kept), root, files.read_version(spark, failure_root, schema), failure_root)
+    both = [files.read_version(spark, failure_root, schema, n).select(F.lit(n).cast("bigint").alias("version")) for n in (1, 2)]
+    return both[0].unionByName(both[1]).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s11_event_log_source", "SELECT phase, outcome, count(*) AS n FROM attempts GROUP BY 1, 2")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log read as a stream of files and stored batch by batch."""

@@ -106,11 +106,17 @@ def write_version(rows: DataFrame, root: str) -> int:
     return number
 
 
-def rewrite_repaired(repaired: DataFrame, root: str) -> int | None:
-    """Store repaired judgments as a new version; nothing is written if nothing was repaired."""
+def rewrite_repaired(repaired: DataFrame, root: str, failures: DataFrame | None = None, failure_root: str | None = None) -> int | None:
+    """Store repaired judgments, and the failures that remain, as new versions; the versions before are the backups. Nothing
+    is written if nothing was repaired."""
+    from gridscore.operators.normalize import remaining_failures
+
     if repaired.where("repaired").isEmpty():
         return None
-    return write_version(repaired.drop("repaired"), root)
+    number = write_version(repaired.drop("repaired"), root)
+    if failures is not None:
+        write_version(remaining_failures(failures, repaired), failure_root)
+    return number
 
 
 def write_csv(lines: DataFrame, columns: list[str], path: str, order: list[str]) -> None:
