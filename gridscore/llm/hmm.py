@@ -13,7 +13,7 @@ expected counts within all stretches follow at once. Likelihoods are those of th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,9 @@ from gridscore.llm import ragged
 from gridscore.llm.components import stored
 
 #: Bytes of text of one block, unless a single text is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 6 << 20
+#: Tokens whose states are worked out at once.
+PART_TOKENS = 200_000
 STRETCH = 64
 ENDING = 3  # bytes of a word that give its class
 DISCOUNT = 0.75
@@ -151,14 +153,14 @@ def products(s: Stretches, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Product of the step matrices of every stretch, scaled, and the logarithm of the scale."""
     states = len(model.start)
     emit = np.ascontiguousarray(model.emit.T)
-    matrix = np.where((s.order == 0)[:, None, None], np.eye(states), model.step)
+    matrix = np.where((s.order == 0)[:, None, None], np.eye(states, dtype=model.step.dtype), model.step)
     scale = np.zeros(len(s.begin))
     for t, live in enumerate(s.live):
         part = matrix[:live]
         if t:
             part = (part.reshape(-1, states) @ model.step).reshape(-1, states, states)
         part = part * emit[s.kinds[s.begin[:live] + t]][:, None, :]
-        if t % 4 == 3 or t + 1 == len(s.live):
+        if t % 2 or t + 1 == len(s.live):
             top = part.max((1, 2))
             part /= top[:, None, None]
             scale[:live] += np.log(top)
@@ -170,7 +172,7 @@ def forward(s: Stretches, model: Model, matrix: np.ndarray, scale: np.ndarray, t
     """State vectors before each stretch, and the log likelihood of every text."""
     vector = np.tile(model.start, (texts, 1))
     likelihood = np.zeros(texts)
-    before = np.empty((len(s.begin), len(model.start)))
+    before = np.empty((len(s.begin), len(model.start)), model.start.dtype)
     by_order = np.argsort(s.order, kind="stable")
     cuts = np.searchsorted(s.order[by_order], np.arange(1, int(s.order.max(initial=-1)) + 1))
     for at in np.split(by_order, cuts):
@@ -185,8 +187,8 @@ def forward(s: Stretches, model: Model, matrix: np.ndarray, scale: np.ndarray, t
 
 def backward(s: Stretches, matrix: np.ndarray, texts: int) -> np.ndarray:
     """Vectors of what follows each stretch, scaled."""
-    vector = np.ones((texts, matrix.shape[1]))
-    after = np.empty((len(s.begin), matrix.shape[1]))
+    vector = np.ones((texts, matrix.shape[1]), matrix.dtype)
+    after = np.empty((len(s.begin), matrix.shape[1]), matrix.dtype)
     by_order = np.argsort(-s.order, kind="stable")
     cuts = np.searchsorted(-s.order[by_order], -np.arange(int(s.order.max(initial=-1)) - 1, -1, -1))
     for at in np.split(by_order, cuts):
@@ -208,7 +210,7 @@ def expected_counts(sizes: np.ndarray, kinds: np.ndarray, model: Model) -> np.nd
     behind = backward(s, matrix, len(sizes))
     emit = np.ascontiguousarray(model.emit.T)
     first = s.order == 0
-    alphas = np.empty((len(s.kinds), states))
+    alphas = np.empty((len(s.kinds), states), model.step.dtype)
     vector = before
     for t, live in enumerate(s.live):
         at = s.begin[:live] + t
@@ -229,14 +231,11 @@ def expected_counts(sizes: np.ndarray, kinds: np.ndarray, model: Model) -> np.nd
         posterior[at] = weight / norm
         came = alphas[at - 1] if t else before[:live]
         ahead = emit[s.kinds[at]] * vector[:live]
-        share = came * (ahead @ model.step.T)
-        total = share.sum(1)[:, None]
+        moved = ahead @ model.step.T
+        total = (came * moved).sum(1)[:, None]
         inner = slice(None) if t else ~first[:live]
         steps += (came / total)[inner].T @ ahead[inner]
-        moved = ahead @ model.step.T
-        full = np.array(vector)
-        full[:live] = moved / moved.sum(1)[:, None]
-        vector = full
+        vector[:live] = moved / moved.sum(1)[:, None]
     steps *= model.step
     starts = posterior[s.begin[first]].sum(0)
     emissions = np.stack([np.bincount(s.kinds, weights=posterior[:, k], minlength=classes) for k in range(states)])
@@ -270,6 +269,16 @@ def updated(model: Model, counts: np.ndarray) -> Model:
     return Model(start / start.sum(), step / step.sum(1)[:, None], emit / emit.sum(1)[:, None], model.class_tokens, model.class_words, model.tokens, model.words)
 
 
+def parts(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Consecutive texts (and their words) of about ``PART_TOKENS`` words."""
+    ends = np.append(0, np.cumsum(sizes))
+    start = 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PART_TOKENS, side="right")) - 1)
+        yield slice(start, stop), slice(int(ends[start]), int(ends[stop]))
+        start = stop
+
+
 def lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     column = batch.column(name)
     for i in range(batch.num_rows):
@@ -278,7 +287,9 @@ def lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 
 def round_counts(encoded: DataFrame, model: Model) -> np.ndarray:
     """Baum-Welch counts of all training texts. Tasks send one vector each; Spark adds the entries."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    # Single precision is enough for counts; scores are computed in double precision.
+    single = replace(model, start=model.start.astype(np.float32), step=model.step.astype(np.float32), emit=model.emit.astype(np.float32))
+    shared = encoded.sparkSession.sparkContext.broadcast(single)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(model_size(shared.value))
@@ -286,7 +297,9 @@ def round_counts(encoded: DataFrame, model: Model) -> np.ndarray:
             for sizes, held, tokens, kinds in zip(*(lists(batch, name) for name in ("sizes", "held_out", "tokens", "classes"))):
                 held = held.astype(bool)
                 chosen = np.repeat(~held, sizes)
-                total += expected_counts(sizes[~held].astype(np.int64), kinds[tokens[chosen]].astype(np.int64), shared.value)
+                sizes, words = sizes[~held].astype(np.int64), kinds[tokens[chosen]].astype(np.int64)
+                for texts, of_texts in parts(sizes):
+                    total += expected_counts(sizes[texts], words[of_texts], shared.value)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["entry", "count"])
 
     rows = encoded.select("sizes", "held_out", "tokens", "classes").mapInArrow(run, "entry bigint, count double")
@@ -312,7 +325,8 @@ def block_scores(sizes: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, known
     add = lambda values: np.bincount(owner, weights=values[tokens], minlength=len(sizes))
     n_known = add((known > 0).astype(float)).astype(np.int64) + (ends > 0)
     base_score = add(base) + np.log10((ends + 1) / (model.tokens + model.words + 1))
-    score = add(given_class) + log_likelihoods(sizes, kinds[tokens], model) / np.log(10)
+    states = [log_likelihoods(sizes[texts], kinds[tokens[words]], model) for texts, words in parts(sizes)]
+    score = add(given_class) + np.concatenate([*states, np.zeros(0)]) / np.log(10)
     return n_known, base_score, score
 
 
@@ -340,6 +354,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings
 
     wanted = encoded.select("block", F.posexplode("words").alias("at", "word"))
     found = wanted.join(vocabulary.select("word", "known"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "known")).alias("known"))
+    found = stored(found, "known")
     full = encoded.select("block", "doc_ids", "held_out", "sizes", "tokens", "classes").join(found, "block", "left").drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
