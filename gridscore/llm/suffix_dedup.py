@@ -290,12 +290,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = anchors.join(twice, "core")
     starts = F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + 1).alias("end"))
     open_ = near.groupBy("text_key").agg(F.collect_set(starts).alias("ranges"))
-    first = rows.where(F.col("n_bytes") >= length).groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    ids = rows.where(F.col("n_bytes") >= length).groupBy("text_key", "doc_id").agg(F.count("*").alias("n"))
+    first = ids.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.sum("n").alias("copies"), F.max("n").alias("same_id"))
     chosen = first.join(open_, "text_key", "left").where("copies > 1 or ranges is not null")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    chosen = stored(chosen.select(F.col("text_key").alias("k"), "first_id", "copies", F.coalesce("ranges", none).alias("ranges")), "open")
-    taken = long.join(chosen, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("k", "first_id", "doc_id")
+    chosen = stored(chosen.select(F.col("text_key").alias("k"), "first_id", "copies", "same_id", F.coalesce("ranges", none).alias("ranges")), "open")
+    taken = long.join(chosen, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("k", "first_id", "doc_id", "same_id")
     taken = stored(taken, "candidates")
+    if not chosen.where("same_id > 1").isEmpty():  # rows that repeat id and text: each text is still taken once
+        taken = stored(taken.dropDuplicates(["text_key"]), "candidates")
     discard(anchors, twice, chosen)
 
     found = ragged.expand(taken, "text", SEGMENT, compute_segments(length, fine), ["text_key"], ["ranges"])
