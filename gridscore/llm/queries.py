@@ -179,3 +179,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
     return found.withColumn("probability", F.round("probability", 6))
+
+
+_GRID = ", ".join(
+    f"({p.version}, {p.mask}, '{r.name}', {1 << r.bit})" for p in quality.POLICIES for r in quality.RULES if r.name in p.rules
+)
+
+
+@query("quality_ablation", f"""
+WITH q AS ({ORACLES["op10_quality_ledger"]}), g(policy, mask, rule, bit) AS (VALUES {_GRID})
+SELECT policy, rule, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failures & mask <> 0) AS BIGINT) AS n_rejected,
+       CAST(count(*) FILTER (failures & mask = bit) AS BIGINT) AS n_only_this, bit_or(failures) AS bits_seen
+FROM q, g GROUP BY policy, rule
+""")
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects alone, from the stored bits."""
+    rows = quality.ledger(table(spark, sf_dir, "documents")).select(F.col("ledger.failures").alias("failures"))
+    return quality.ablation(rows)
