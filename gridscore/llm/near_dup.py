@@ -34,8 +34,8 @@ class Settings:
     trees: int = 12
     small: int = 24  # nodes compared exhaustively
     levels: int = 4
-    leaders: int = 4  # a node still large after the last level: so many of its documents are compared with all others
-    hubs: int = 16  # and so many of those with the most likely candidates
+    leaders: int = 4  # random documents that all others of a node still large after the last level are compared with
+    hubs: int = 16  # of a node still large after the last level, so many documents are compared with all others
 
     @property
     def least_equal(self) -> int:
@@ -165,12 +165,13 @@ def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
             rows = branched(rows.join(large, "node").join(sets, "key"), settings.percent)
             continue
         crowd = stored(rows.join(large, "node"), "crowd")
-        more, leaders = led(crowd, sets, settings)
-        pairs.append(more)
-        used.append(leaders)
-        # Besides, each document meets the others of a random small part of its node; other trees draw other parts.
+        # Each document meets the node's leaders and the others of a random small part; other trees draw other parts.
         part = F.pmod(F.xxhash64("key", "node"), F.ceil(2 * F.col("n") / settings.small))
-        pairs.append(exhausted(crowd.select(F.xxhash64("node", part).alias("node"), "key"), sets, settings))
+        parted = crowd.select("node", part.alias("part"), "key")
+        drawn = crowd.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(k)), "key")).key.alias(f"k{k}") for k in range(settings.leaders)])
+        leaders = drawn.select("node", F.explode(F.array(*[f"k{k}" for k in range(settings.leaders)])).alias("key"))
+        led = parted.select("node", "part").distinct().join(leaders, "node").select("node", "part", "key")
+        pairs.append(exhausted(parted.union(led).distinct().select(F.xxhash64("node", "part").alias("node"), "key"), sets, settings))
     found = pairs[0]
     for more in pairs[1:]:
         found = found.union(more)
@@ -187,15 +188,6 @@ def exhausted(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     return grouped.mapInArrow(lambda batches: compare(batches, settings.least_equal, settings.percent), PAIR)
 
 
-def led(crowd: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Pairs of nodes that no token divides, each document with a few leaders, so that pairs grow with documents, not their
-    square; and the table of leaders."""
-    chosen = crowd.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(k)), "key")).key.alias(f"k{k}") for k in range(settings.leaders)])
-    leaders = stored(chosen.select("node", F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(settings.leaders)]))).alias("leader")), "leaders")
-    pairs = crowd.join(leaders, "node").where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-    return worth_confirming(pairs, sets, settings), leaders
-
-
 def worth_confirming(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Pairs with enough equal tokens."""
     full = pairs.join(sets.select(F.col("key").alias("a"), "tokens"), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("others")), "b")
@@ -265,7 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingles = stored(shingles.dropDuplicates(["key"]), "shingles")
 
     links, open_pairs, roots, used = None, pairs, None, [pairs, shingles]
-    for last in (False, True):
+    for last in (False, False, True):
         chosen = open_pairs if last else strongest(open_pairs)
         fresh = stored(confirmed(chosen, shingles, settings.percent), "links")
         links = fresh if links is None else links.union(fresh)
