@@ -27,7 +27,6 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("n_byte_pieces", T.LongType(), False)])
-DECODED = T.StructType([T.StructField("text", T.StringType(), False)])
 _NEVER = np.int64(1 << 40)
 
 
@@ -297,8 +296,9 @@ def encode(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     return ids[place], total[ranges.first]
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ("doc_id",), into: str = "encoded") -> DataFrame:
-    """``carry`` columns and struct ``into``: piece ``ids`` of each whole text and how many are byte pieces.
+def encoded(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ("doc_id",), into: str = "encoded", decoded: bool = False) -> DataFrame:
+    """``carry`` columns and struct ``into``: piece ``ids`` of each whole text and how many are byte pieces; with
+    ``decoded`` also the text that the ids decode to, in the same pass.
 
     ``path``: a merge vocabulary with byte pieces, on every machine. Null and empty texts have no ids; repeated rows stay.
     Equal to the ``sentencepiece`` library without begin and end tokens.
@@ -310,9 +310,12 @@ def encoded(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str]
         is_byte = np.zeros(len(vocabulary.surface), bool)
         is_byte[vocabulary.byte_ids] = True
         total = np.append(0, np.cumsum(is_byte[ids]))
-        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(total[offsets[1:]] - total[offsets[:-1]])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        back = [pa.array(decode(lists, vocabulary), pa.string())] if decoded else []
+        return [lists, pa.array(total[offsets[1:]] - total[offsets[:-1]]), *back]
 
-    return ragged.annotate(docs, text, RESULT, compute, carry, into)
+    result = T.StructType([*RESULT, *([T.StructField("decoded", T.StringType(), False)] if decoded else [])])
+    return ragged.annotate(docs, text, result, compute, carry, into)
 
 
 def decode(ids: pa.ListArray, vocabulary: Vocabulary) -> list[str]:

@@ -163,7 +163,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     plain = F.translate(F.coalesce("text", F.lit("")), pieces.BLANK, " ")  # the blank letter itself comes back as a blank
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(plain).alias("print"))
-    back = pieces.with_decoded(pieces.encoded(docs, model, carry=["doc_id", "print"]).select("doc_id", "print", "encoded.*"), model, "ids")
+    back = pieces.encoded(docs, model, carry=["doc_id", "print"], decoded=True).select("doc_id", "print", "encoded.*")
     return back.select(
         "doc_id", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.size("ids").cast("bigint").alias("n_pieces"), "n_byte_pieces",
         "ids", (F.xxhash64("decoded") == F.col("print")).alias("round_trip"),
