@@ -6,6 +6,11 @@ similarity s follows the same branch with probability s. Nodes that became small
 on. Estimated similarities choose which pairs are confirmed on the full sets, and pairs that are already connected by
 confirmed links need no confirmation, so a group of many near copies costs about one confirmation per copy.
 
+Documents of nodes that stay large for some levels first meet a few of the others only, which connects most of a large group.
+Then every tree is gone through again from its first nodes: one that holds documents of more than one group branches until it
+is compared exhaustively across these groups, when it became small enough for one task, or as it is, in pairs of blocks, when
+branching would not make the comparisons much fewer. Only nodes of one group are left out.
+
 Equal sets are one class from the start, so copies never meet pair by pair.
 """
 
@@ -33,9 +38,10 @@ class Settings:
     shingle: int = 5
     trees: int = 12
     small: int = 24  # nodes compared exhaustively
-    levels: int = 4
-    leaders: int = 4  # random documents that all others of a node still large after the last level are compared with
-    hubs: int = 16  # of a node still large after the last level, so many documents are compared with all others
+    levels: int = 4  # after which larger nodes are first connected by leaders, parts and hubs
+    leaders: int = 4  # random documents that all others of a node still large after these levels are compared with
+    hubs: int = 16  # of a node still large after these levels, so many documents are compared with all others
+    block: int = 1000  # nodes compared exhaustively by one task after that; larger ones branch on or are cut into blocks
 
     @property
     def least_equal(self) -> int:
@@ -110,16 +116,25 @@ def compute_shingles(width: int):
     return compute
 
 
-def branched(rows: DataFrame, percent: int) -> DataFrame:
-    """Child nodes of rows (node, key, tokens): by the token at one position chosen by the path, and by a second one as often
-    as keeps one of ``percent`` similar pairs alive per level."""
+def choices(nodes: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``position``, ``used`` of the children of nodes (node, used): one token position chosen by the path, and a second
+    one as often as keeps one of ``percent`` similar pairs alive per level. ``used`` has a bit for each position of a path; no
+    position is taken twice on it."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda p: F.getbit("used", p) == 0)
+    drawn = lambda left, salt: F.element_at(left, (F.pmod(F.xxhash64("node", F.lit(salt)), F.size(left)) + 1).cast("int"))
+    first = nodes.select("node", "used", free.alias("free")).where("size(free) > 1").withColumn("p", drawn(F.col("free"), "first"))
+    second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(percent)) < 100 - percent
+    both = F.when(second, F.array("p", drawn(F.array_remove("free", F.col("p")), "other"))).otherwise(F.array("p"))
+    return first.select("node", "used", F.explode(both).alias("position")).withColumn("used", F.expr("used | shiftleft(1L, position)"))
 
-    def child(salt: str) -> Column:
-        position = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)) + 1
-        return F.xxhash64("node", F.element_at("tokens", position.cast("int")), F.lit(salt)).alias("node")
 
-    second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(percent)) < 100 - percent
-    return rows.select("key", child("first")).union(rows.where(second).select("key", child("other")))
+def branched(rows: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (parent, node, used, ...) of the children of ``nodes``, a few of the nodes of rows (node, key, ...)."""
+    chosen = choices(nodes, settings.percent)
+    child = F.xxhash64("node", "position", F.element_at("tokens", F.col("position") + 1))
+    carry = [c for c in rows.columns if c not in ("parent", "node", "used")]
+    joined = rows.drop("parent", "used").join(chosen, "node").join(sets.select("key", "tokens"), "key")
+    return joined.select(F.col("node").alias("parent"), child.alias("node"), "used", *carry)
 
 
 def compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -144,27 +159,30 @@ def compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(equal.astype(np.int32))], PAIR.names)
 
 
-def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs ``a`` < ``b`` of class keys that some tree brought together, with their number of equal tokens; and
-    the rows (node, key) of nodes that are still large after the last level."""
+def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of class keys that some tree brought together, with their number of equal tokens; the
+    rows (node, key, used, n) of nodes that are still large after the last of ``levels``; and those of large first nodes."""
     sets = classes.select("key", "n_shingles", "tokens")
     roots = F.explode(F.sequence(F.lit(1), F.lit(settings.trees)))
-    rows = sets.select("key", "tokens", roots.alias("tree")).select(
-        "key", F.xxhash64("tree", F.element_at("tokens", F.pmod(F.col("tree") * 5, F.lit(TOKENS)) + 1)).alias("node"),
+    rows = sets.select("key", "tokens", roots.alias("tree")).withColumn("position", F.pmod(F.col("tree") * 5, F.lit(TOKENS))).select(
+        "key", F.xxhash64("tree", F.element_at("tokens", F.col("position") + 1)).alias("node"), F.expr("shiftleft(1L, position)").alias("used"),
     )
-    pairs, used, crowd = [], [], None
-    for level in range(1, settings.levels + 1):
+    pairs, used, crowd, large_first = [], [], None, None
+    levels = min(settings.levels, TOKENS - 2)  # the root and each level take a position
+    for level in range(1, levels + 1):
         rows = stored(rows, "nodes")
-        counts = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        counts = stored(rows.groupBy("node").agg(F.count("*").alias("n"), F.first("used").alias("used")).where("n > 1"), "counts")
         used += [rows, counts]
         pairs.append(exhausted(rows.join(counts.where(F.col("n") <= settings.small), "node"), sets, settings))
         large = counts.where(F.col("n") > settings.small)
         if large.isEmpty():
             break
-        if level < settings.levels:
-            rows = branched(rows.join(large, "node").join(sets, "key"), settings.percent)
+        if level == 1:
+            large_first = stored(rows.join(large.select("node", "n"), "node"), "large_first")
+        if level < levels:
+            rows = branched(rows, large, sets, settings).drop("parent")
             continue
-        crowd = stored(rows.join(large, "node"), "crowd")
+        crowd = stored(rows.join(large.select("node", "n"), "node"), "crowd")
         # Each document meets the node's leaders and the others of a random small part; other trees draw other parts.
         part = F.pmod(F.xxhash64("key", "node"), F.ceil(2 * F.col("n") / settings.small))
         parted = crowd.select("node", part.alias("part"), "key")
@@ -178,7 +196,7 @@ def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal").where("a <> b")
     result = stored(ordered.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
     discard(*used)
-    return result, crowd
+    return result, crowd, large_first
 
 
 def exhausted(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -215,6 +233,85 @@ def hub_pairs(crowd: DataFrame, candidates: DataFrame, roots: DataFrame, sets: D
     return result
 
 
+def compare_block(settings: Settings):
+    """Pairs of one block, or of two blocks with each other, that are in different groups and worth confirming."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys, roots = table.column("key").combine_chunks(), table.column("root").combine_chunks()
+        size, block = table.column("n_shingles").to_numpy(), table.column("block").to_numpy()
+        tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+        group = roots.dictionary_encode().indices.to_numpy()
+        # All pairs of different groups have a member outside the largest group.
+        outside = group != np.bincount(group).argmax()
+        order = np.concatenate([np.flatnonzero(outside), np.flatnonzero(~outside)])
+        size, block, tokens, group = size[order], block[order], tokens[order], group[order]
+        two = block.min() != block.max()
+        found = [np.zeros((3, 0), np.int64)]
+        for at in range(0, int(outside.sum()), 32):
+            rows = slice(at, min(at + 32, int(outside.sum())))
+            here = np.arange(rows.start, rows.stop)[:, None]
+            fit = (np.arange(at, len(order)) > here) & (group[rows, None] != group[at:])
+            fit &= settings.percent * np.maximum(size[rows, None], size[at:]) <= 100 * np.minimum(size[rows, None], size[at:])
+            if two:
+                fit &= block[rows, None] != block[at:]
+            i, j = np.nonzero(fit)
+            equal = np.concatenate([np.zeros(0, np.int64), *((tokens[at + i[k : k + 8192]] == tokens[at + j[k : k + 8192]]).sum(1) for k in range(0, len(i), 8192))])
+            likely = equal >= settings.least_equal
+            found.append(np.stack([at + i[likely], at + j[likely], equal[likely]]))
+        i, j, equal = np.concatenate(found, 1)
+        return pa.table([keys.take(pa.array(order[i])), keys.take(pa.array(order[j])), pa.array(equal.astype(np.int32))], PAIR.names)
+
+    return pairs
+
+
+def blocked(rows: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """All pairs of the ``nodes`` (node, n) of rows (node, key, root) that ``compare_block`` finds; nodes of more than a block
+    are dealt out as pairs of blocks."""
+    blocks = F.ceil(F.col("n") / settings.block).cast("int")
+    dealt = rows.join(nodes.select("node", blocks.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
+    met = dealt.select("node", "key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    part = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("part")
+    return met.select(part, "key", "root", "block").join(sets, "key").groupBy("part").applyInArrow(compare_block(settings), PAIR)
+
+
+def crowd_pairs(large_first: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct pairs of different groups that large first nodes bring together: these branch until they are in blocks.
+
+    A node that branching hardly divides is compared as it is, which finds all of its pairs: its children would need more than
+    four fifths of its comparisons.
+    """
+    rows = large_first.select("node", "key", "used").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rows = stored(rows.select(F.lit(0).cast("bigint").alias("parent"), "node", "used", "key", F.coalesce("root", "key").alias("root")), "crowd_rows")
+    mixed = lambda rows: stored(rows.groupBy("parent", "node").agg(
+        F.first("used").alias("used"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+    ).where("low <> high").drop("low", "high"), "crowd_nodes")
+    nodes, pairs = mixed(rows), []
+    used = [rows, nodes]
+    while True:
+        whole = (F.col("n") <= settings.block) | (F.bit_count("used") >= TOKENS - 1)
+        pairs.append(blocked(rows, nodes.where(whole), sets, settings))
+        large = nodes.where(~whole)
+        if large.isEmpty():
+            break
+        children = stored(branched(rows, large, sets, settings), "crowd_rows")
+        below = mixed(children)
+        work = below.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+        judged = stored(large.join(work, "node", "left").withColumn("divided", F.coalesce("work", F.lit(0.0)) <= 0.8 * F.col("n") * F.col("n")), "judged")
+        pairs.append(blocked(rows, judged.where("not divided"), sets, settings))
+        going = judged.where("divided").select(F.col("node").alias("parent"))
+        rows = children
+        nodes = stored(below.join(going, "parent"), "crowd_nodes")
+        used += [children, below, judged, nodes]
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.union(more)
+    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal")
+    result = stored(ordered.groupBy("a", "b").agg(F.max("equal").alias("equal")), "crowd_pairs")
+    discard(*used)
+    return result
+
+
 def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = shingles.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
@@ -231,6 +328,25 @@ def strongest(pairs: DataFrame) -> DataFrame:
     return best.select("p.a", "p.b").distinct()
 
 
+def connected(pairs: DataFrame, links: DataFrame | None, shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The links with those that confirming ``pairs`` adds, the roots they give, and the tables to discard in the end."""
+    used, open_pairs = [], pairs
+    for last in (False, False, True):
+        chosen = open_pairs if last else strongest(open_pairs)
+        fresh = stored(confirmed(chosen, shingles, percent), "links")
+        links = fresh if links is None else links.union(fresh)
+        roots = stored(components(links), "roots")
+        used += [fresh, roots]
+        if not last:
+            a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+            apart = open_pairs.join(chosen, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+            open_pairs = stored(apart.where("not coalesce(root_a = root_b, false)").select("a", "b", "equal"), "open")
+            used.append(open_pairs)
+            if open_pairs.isEmpty():
+                break
+    return links, roots, used
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -248,35 +364,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.first("first_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"),
         ), "classes",
     )
-    pairs, crowd = candidates(classes, settings)
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
-    ends = (ends.union(crowd.select("key")) if crowd is not None else ends).distinct()
-    wanted = ends.join(classes, "key").select("first_id", F.col("key").alias("wanted"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
-    shingles = ragged.annotate(found, "text", SHINGLES, compute_shingles(settings.shingle), ["wanted"], "s").where("s.key = wanted").select("s.*")
-    shingles = stored(shingles.dropDuplicates(["key"]), "shingles")
-
-    links, open_pairs, roots, used = None, pairs, None, [pairs, shingles]
-    for last in (False, False, True):
-        chosen = open_pairs if last else strongest(open_pairs)
-        fresh = stored(confirmed(chosen, shingles, settings.percent), "links")
-        links = fresh if links is None else links.union(fresh)
-        roots = stored(components(links), "roots")
-        used += [fresh, roots]
-        if not last:
-            a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-            apart = open_pairs.join(chosen, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-            open_pairs = stored(apart.where("not coalesce(root_a = root_b, false)").select("a", "b", "equal"), "open")
-            used.append(open_pairs)
-            if open_pairs.isEmpty():
-                break
+    pairs, crowd, large_first = candidates(classes, settings)
+    ends = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+
+    def shingles_of(keys: DataFrame) -> DataFrame:
+        wanted = keys.distinct().join(classes, "key").select("first_id", F.col("key").alias("wanted"))
+        found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        read = ragged.annotate(found, "text", SHINGLES, compute_shingles(settings.shingle), ["wanted"], "s").where("s.key = wanted").select("s.*")
+        return stored(read.dropDuplicates(["key"]), "shingles")
+
+    shingles = shingles_of(ends(pairs).union(crowd.select("key")) if crowd is not None else ends(pairs))
+    links, roots, used = connected(pairs, None, shingles, settings.percent)
+    used += [pairs, shingles]
     if crowd is not None:
         apart = hub_pairs(crowd, pairs, roots, classes.select("key", "tokens"), settings)
         fresh = stored(confirmed(apart, shingles, settings.percent), "links")
         used += [crowd, apart, fresh]
         if not fresh.isEmpty():
-            roots = stored(components(links.union(fresh)), "roots")
+            links = links.union(fresh)
+            roots = stored(components(links), "roots")
             used.append(roots)
+    if large_first is not None:
+        apart = crowd_pairs(large_first, roots, classes.select("key", "n_shingles", "tokens"), settings)
+        used += [large_first, apart]
+        if not apart.isEmpty():
+            shingles = shingles_of(ends(apart))
+            _, roots, more = connected(apart, links, shingles, settings.percent)
+            used += [shingles, *more]
     member = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = stored(member.join(lowest, "root").select("key", "component_id"), "members")

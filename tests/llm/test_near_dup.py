@@ -75,3 +75,61 @@ def test_equals_all_pairs(spark, percent, small, levels):
     lowest = {r: min((m for m in ms if m is not None), default=None) for r, ms in members.items()}
     expected = sorted((str(ids[i]), len(sets[i]), lowest[root[i]], ids[i] == lowest[root[i]]) for i in [*range(len(texts)), 20])
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in rows) == expected
+
+
+def family(n, planted, chains, seed=5):
+    """``n`` texts of one template, too different to be linked, with close copies of the first ones: ``planted`` alone, ``chains`` of
+    five in which each is close to the one before. Also the links."""
+    rnd = random.Random(seed)
+    base = [f"t{i}" for i in range(110)]
+
+    def edited(words, k):
+        words = list(words)
+        for at in rnd.sample(range(len(words)), k):
+            words[at] = f"x{rnd.random()}"
+        return words
+
+    texts, links = [edited(base, 3) for _ in range(n)], []
+    for i in range(planted + chains):
+        last = i
+        for step in range(1 if i < planted else 4):
+            copy = list(texts[last])
+            copy[1], copy[20 + 18 * step] = (f"y{rnd.random()}" for _ in range(2))
+            links.append((last, len(texts)))
+            last = len(texts)
+            texts.append(copy)
+    return [" ".join(words) for words in texts], links
+
+
+def test_pairs_in_a_large_family_are_found(spark):
+    texts, links = family(700, 120, 10)
+    number = {}
+    sets = [{number.setdefault(s, len(number)) for s in shingles(t)} for t in texts]
+
+    def close(i, j):
+        shared = len(sets[i] & sets[j])
+        return 100 * shared >= 85 * (len(sets[i]) + len(sets[j]) - shared)
+
+    assert all(close(i, j) for i, j in links)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if close(i, j)]
+    root = plain_components(links, range(len(sets)))
+    found = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), settings=near_dup.Settings(percent=85)).collect()
+    lowest = {}
+    for i, r in root.items():
+        lowest[r] = min(lowest.get(r, i), i)
+    wrong = [r.doc_id for r in found if r.component_id != lowest[root[r.doc_id]]]
+    assert not wrong
+
+
+@pytest.mark.parametrize("block", [7, 50])
+def test_nodes_that_do_not_divide_are_compared_in_blocks(spark, block):
+    rnd = random.Random(block)
+    tokens = [[1] * 56 + [k] * 8 for k in range(40)] * 2
+    rows = [(str(i).encode(), 100 + i // 40, t) for i, t in enumerate(tokens)]
+    rnd.shuffle(rows)
+    sets = spark.createDataFrame(rows, near_dup.T.StructType([near_dup.T.StructField("key", near_dup.T.BinaryType()), near_dup.SET["n_shingles"], near_dup.SET["tokens"]]))
+    crowd = sets.selectExpr("5L as node", "key", "0L as used")
+    roots = spark.createDataFrame([(b"0", b"0"), (b"1", b"0")], "node binary, root binary")
+    found = near_dup.crowd_pairs(crowd, roots, sets, near_dup.Settings(percent=85, block=block)).collect()
+    expected = {tuple(sorted((str(i).encode(), str(j).encode()))): 64 if i % 40 == j % 40 else 56 for i in range(80) for j in range(i) if (j, i) != (0, 1)}
+    assert {(bytes(r.a), bytes(r.b)): r.equal for r in found} == expected
