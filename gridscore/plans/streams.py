@@ -26,19 +26,24 @@ _EVENT = "seq bigint, ts timestamp, item_key string, bucket_key string, particip
 BYTES_PER_BATCH = 128 << 20
 
 
-def staged(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+#: About the bytes of an event as JSON, and of a file of events.
+EVENT_BYTES, FILE_BYTES = 256, 32 << 20
+
+
+def staged(spark: SparkSession, sf_dir: str, rows_per_file: int = FILE_BYTES // EVENT_BYTES) -> str:
     """The event log as JSON files in a shared folder, written in the order of the log.
 
-    The parts are appended one after the other: a file stream takes files by age, and a
-    watermark would drop a part that arrives before an older one.
+    Each file is one range of ``seq`` and a write of its own, so the age of files follows the log: a file stream takes files
+    by age, and a watermark would drop a file that arrives after later ones.
     """
     path = scratch_path(spark, "events")
     log = fixtures.attempts(spark, sf_dir)
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    width = last // parts + 1
+    low, high, n = log.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0)), F.count("*")).first()
+    parts = max(1, -(-n // rows_per_file))
+    width = (high - low) // parts + 1
     for part in range(parts):
-        rows = log.where(F.col("seq").between(part * width, (part + 1) * width - 1))
-        rows.write.mode("append").options(ignoreNullFields="false", timestampFormat=streams.TIMESTAMP_FORMAT).json(path)
+        rows = log.where(F.col("seq").between(low + part * width, low + (part + 1) * width - 1))
+        rows.repartition(1).sortWithinPartitions("seq").write.mode("append").options(ignoreNullFields="false", timestampFormat=streams.TIMESTAMP_FORMAT).json(path)
     return path
 
 
@@ -194,9 +199,16 @@ WITH f AS (SELECT bucket_key, CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) * 1
 SELECT bucket_key, slot - k * 10000000 AS window_start_us, count(*) AS failures FROM f, (VALUES (0),(1),(2),(3),(4),(5)) v(k) GROUP BY 1, 2
 """)
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding minutes; the update with the highest batch holds the final count of a window."""
-    folder, out = staged(spark, sf_dir), scratch_path(spark, "windows")
-    streams.run_updates(streams.failure_windows(event_stream(spark, folder)), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    """Sliding minutes; the update with the highest batch holds the final count of a window. Rows too late for theirs are an error."""
+    return failure_windows_of(spark, staged(spark, sf_dir), BYTES_PER_BATCH)
+
+
+def failure_windows_of(spark: SparkSession, folder: str, bytes_per_batch: int) -> DataFrame:
+    out = scratch_path(spark, "windows")
+    windows = streams.failure_windows(streams.event_stream(spark, folder, _EVENT, bytes_per_batch=bytes_per_batch))
+    late = streams.late_rows_to_the_end(spark, lambda: streams.run_updates(windows, out, scratch_path(spark, "checkpoint")))
+    if late:
+        raise RuntimeError(f"{late} rows came too late for their windows")
     return streams.latest_updates(spark, out, ["bucket_key", "window_start_us"])
 
 

@@ -7,11 +7,13 @@ restart after a lost executor or driver cannot count anything twice.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import threading
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from gridscore.operators.windows import latest_rows
@@ -71,6 +73,45 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(state.numRowsDroppedByWatermark) for progress in query.recentProgress for state in progress.stateOperators)
 
 
+class _Late(StreamingQueryListener):
+    """Rows that came too late, by run, over all micro-batches; ``recentProgress`` holds the last ones only."""
+
+    def __init__(self) -> None:
+        self.late: Counter[str] = Counter()
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self.changed:
+            self.late[str(event.progress.runId)] += sum(int(state.numRowsDroppedByWatermark) for state in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+
+def late_rows_to_the_end(spark: SparkSession, start: Callable[[], StreamingQuery]) -> int:
+    """Run a query to its end; the rows that its stateful operators dropped behind their watermark in all micro-batches."""
+    listener = _Late()
+    spark.streams.addListener(listener)
+    try:
+        query = start()
+        query.awaitTermination()
+        with listener.changed:
+            if not listener.changed.wait_for(lambda: str(query.runId) in listener.ended, timeout=120):
+                raise RuntimeError("the end of the stream was not reported")
+            return listener.late[str(query.runId)]
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def run_updates(stream: DataFrame, folder: str, checkpoint: str, every: str | None = None, mode: str = "update") -> StreamingQuery:
     """Write changed rows of every micro-batch below ``folder/batch_id=N``."""
 

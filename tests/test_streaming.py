@@ -82,3 +82,23 @@ def test_old_snapshots_are_pruned(spark, tmp_path):
     prune_versions(spark, root, keep=2)
     assert latest_version(spark, root) == 6 and read_version(spark, root, "id bigint").count() == 6
     assert sorted(folder_names(spark, root)) == ["committed=5.marker", "committed=6.marker", "version=5", "version=6"]
+
+
+def test_a_log_of_many_files_keeps_its_order_and_late_failures_fail(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from gridscore import fixtures
+    from gridscore.plans import streams as plans
+
+    start = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, start + datetime.timedelta(hours=i), "b", "rate_limit") for i in range(24)]
+    log = spark.createDataFrame(rows, "seq bigint, ts timestamp, bucket_key string, error_class string").repartition(4)
+    monkeypatch.setattr(fixtures, "attempts", lambda spark, sf_dir: log)
+    folder = plans.staged(spark, "", rows_per_file=8)
+    found = plans.failure_windows_of(spark, folder, bytes_per_batch=1)
+    assert found.count() == 24 * 6 and {r.failures for r in found.collect()} == {1}
+    late = str(tmp_path / "late")
+    for hours in (range(12, 18), range(18, 24), range(12)):
+        log.where(log.seq.isin(*hours)).coalesce(1).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(late)
+    with pytest.raises(RuntimeError, match="too late"):
+        plans.failure_windows_of(spark, late, bytes_per_batch=1)
