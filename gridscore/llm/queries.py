@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import components, decontamination, hmm, language_id, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc
+from gridscore.llm import (
+    clustering, collocations, components, decontamination, hmm, language_id, merge_replay, near_dup, pieces, quality, ragged, sharding, suffix_dedup, token_counts, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,6 +183,84 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("probability", F.round("probability", 6))
 
 
+@query("op11_merge_replay")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    back = merge_replay.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    ids = F.col("encoded.ids")
+    return back.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("encoded.decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments ``a0``, ``a1``, ... of vectors to the centroids ``c0``, ``c1``, ..."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (
+  SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT i, c, list_sum(list_transform(list_zip(v.e, k.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c{n} AS k
+  ) GROUP BY i
+)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS (
+  SELECT c, coalesce(m.e, k.e) AS e FROM c{n} AS k LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS e
+    FROM (SELECT c, p, sum(e[p])::BIGINT AS s, count(*) AS n FROM a{n} JOIN v USING (i), unnest(range(1, 65)) AS r(p) GROUP BY c, p) GROUP BY c
+  ) AS m USING (c)
+)""")
+    return ",\n".join(steps)
+
+
+@query("op12_pca_filtered_clusters", f"""
+WITH v AS (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), false)
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c, e FROM v WHERE vec_id IS NOT NULL ORDER BY c LIMIT 16
+),
+{_rounds_sql(3)},
+s AS (SELECT c, sum(d)::BIGINT AS inertia FROM a3 GROUP BY c)
+SELECT vec_id, a3.c::INT AS cluster, d AS distance, s.inertia AS cluster_inertia, (SELECT sum(inertia)::BIGINT FROM s) AS inertia,
+       sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (i) JOIN c3 ON c3.c = a3.c JOIN s ON s.c = a3.c
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, about = clustering.clusters(table(spark, sf_dir, "embeddings"))
+    whole = about.agg(F.sum("inertia").cast("bigint")).first()[0]
+    about = about.select("cluster", F.col("inertia").alias("cluster_inertia"), F.lit(whole).cast("bigint").alias("inertia"), "centroid_sha256")
+    return found.join(about, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op13_stream_collocations", r"""
+WITH t AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), piece AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+f AS (
+  SELECT lang, s, len(s) AS k, count(*)::HUGEINT AS f
+  FROM (SELECT lang, k, w[p:p + k - 1] AS s FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, range(1, 6) AS r(k) WHERE len(w) >= k)) GROUP BY lang, s
+  HAVING count(*) >= 100
+), total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.s, c.f AS a, c.k, l.f AS l, r.f AS r, n, (1000 * c.f * n) // (l.f * r.f) AS score, row_number() OVER (PARTITION BY c.lang, c.s ORDER BY (1000 * c.f * n) // (l.f * r.f), j) AS cheapest
+  FROM f AS c, range(1, 5) AS g(j), f AS l, f AS r, total
+  WHERE c.k > j AND l.lang = c.lang AND r.lang = c.lang AND total.lang = c.lang AND l.s = c.s[1:j] AND r.s = c.s[j + 1:c.k]
+), inside AS (
+  SELECT DISTINCT lang, x.s AS s FROM (
+    SELECT lang, f, k, unnest(flatten(list_transform(range(2, k), lambda z: list_transform(range(1, k - z + 2), lambda b: {'s': s[b:b + z - 1]})))) AS x FROM f WHERE k > 2
+  ) AS longer JOIN f AS own USING (lang) WHERE own.s = x.s AND 100 * longer.f >= 100 * own.f
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(s, ' '))) AS rank, array_to_string(s, ' ') AS phrase, a, l, r, n, score
+  FROM cut WHERE cheapest = 1 AND NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = cut.lang AND inside.s = cut.s)
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 _GRID = ", ".join(
     f"({p.version}, {p.mask}, '{r.name}', {1 << r.bit})" for p in quality.POLICIES for r in quality.RULES if r.name in p.rules
 )
