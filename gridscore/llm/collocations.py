@@ -29,7 +29,7 @@ from gridscore.llm import ragged
 from gridscore.llm.components import discard, stored
 
 #: Texts whose words are numbered together in a task.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Buckets of neighbour pairs: 4 bytes each in a worker, one bit each in what training sends around.
 BUCKETS = 1 << 24
 #: Buckets of one row while their counts are added up.
@@ -72,9 +72,7 @@ def read_words(column: pa.Array, lang: pa.Array) -> Words:
     prints = ragged.fingerprints(texts.data, ragged.Ranges(texts.offsets[:-1], texts.offsets[1:], texts.offsets[:0]))
     langs = pc.fill_null(lang, "und").dictionary_encode()
     rows = found.rows()
-    ended = np.zeros(len(batch.data) + 1, np.int64)
-    np.cumsum(_ENDS[batch.data], out=ended[1:])
-    piece = ended[found.starts]
+    piece = np.searchsorted(np.flatnonzero(_ENDS[batch.data]), found.starts)
     joined = (piece[1:] == piece[:-1]) & (rows[1:] == rows[:-1])
     return Words(coded.indices.to_numpy(), coded.dictionary, langs.indices.to_numpy()[rows], langs.dictionary, joined, prints)
 
