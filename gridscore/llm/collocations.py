@@ -6,9 +6,9 @@ so one pass with a stack of as many entries as a phrase has words reads the coun
 the one-word extensions in lockstep; nothing is looked up by hash. A stream is cut into ranges anywhere, also between a phrase and
 its extensions: the few phrases that reach over a cut are known before the pass.
 
-Counting needs two scans. The first counts words, and pairs of neighbours in a fixed number of buckets. A phrase is as rare as
-its rarest pair, so the second scan counts only phrases whose pairs all lie in buckets that reach the least count. The
-buckets leave out what cannot count; how many there are changes the cost, not the result.
+Counting needs two scans. The first counts words, and longer phrases in a fixed number of buckets for each length. The second
+counts only phrases that lie, like both of their parts with one word less, in buckets that reach the least count. The buckets
+leave out what cannot count; how many there are changes the cost, not the result.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from gridscore.llm.components import discard, stored
 
 #: Texts whose words are numbered together in a task.
 BLOCK_BYTES = 4 << 20
-#: Buckets of neighbour pairs: 4 bytes each in a worker, one bit each in what training sends around.
-BUCKETS = 1 << 24
+#: Buckets of the phrases of one length: 4 bytes each in a worker, one bit each in what is sent around.
+BUCKETS = 1 << 22
 #: Buckets of one row while their counts are added up.
 CHUNK = 1 << 14
 #: Tasks whose counts are added up together before the rest.
@@ -77,12 +77,32 @@ def read_words(column: pa.Array, lang: pa.Array) -> Words:
     return Words(coded.indices.to_numpy(), coded.dictionary, langs.indices.to_numpy()[rows], langs.dictionary, joined, prints)
 
 
-def pair_buckets(words: Words, at: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of the pair of words ``at`` and ``at + 1``, the same in every task."""
-    own = ragged.texts(words.langs)
-    langs = np.array([int.from_bytes(own.data[a:b].tobytes().ljust(8, b"\0")[:8], "little") ^ int(b - a) for a, b in zip(own.offsets[:-1], own.offsets[1:])], np.uint64)
-    pairs = words.prints[words.ids[at]] * ragged._MULTIPLIER + words.prints[words.ids[at + 1]]
-    return (ragged.mixed(pairs ^ ragged.mixed(langs)[words.lang[at]]) % np.uint64(buckets)).astype(np.int64)
+class Windows:
+    """The bucket of the phrase of ``length`` words that begins at a word; ``longer`` goes on to the next length."""
+
+    def __init__(self, words: Words, buckets: int) -> None:
+        own = ragged.texts(words.langs)
+        names = [int.from_bytes(own.data[a:b].tobytes()[:8], "little") ^ int(b - a) for a, b in zip(own.offsets[:-1], own.offsets[1:])]
+        self.words, self.buckets, self.length = words, buckets, 1
+        self.at = np.arange(len(words.ids))
+        self.salt = ragged.mixed(np.array(names, np.uint64))
+        self.prints = words.prints[words.ids]
+
+    def longer(self, flags: np.ndarray) -> None:
+        """Keep the phrases whose last word has a next one that belongs to them, if the phrases at both words are flagged."""
+        last = self.at + self.length - 1
+        keep = last < len(flags) - 1
+        keep[keep] = self.words.joined[last[keep]] & flags[self.at[keep]] & flags[self.at[keep] + 1]
+        self.at, last = self.at[keep], last[keep]
+        self.prints = self.prints[keep] * ragged._MULTIPLIER + self.words.prints[self.words.ids[last + 1]]
+        self.length += 1
+
+    def bucket(self) -> np.ndarray:
+        mixed = ragged.mixed(self.prints ^ self.salt[self.words.lang[self.at]])
+        return (mixed % np.uint64(self.buckets)).astype(np.int64) + (self.length - 2) * self.buckets
+
+    def narrow(self, keep: np.ndarray) -> None:
+        self.at, self.prints = self.at[keep], self.prints[keep]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Words]:
@@ -99,13 +119,13 @@ def tallied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, inverse, counts
 
 
-def survey(least: int, buckets: int, block_bytes: int):
-    """Counts of the words of each block; at the end of the task its counts of pairs by bucket, cut off at ``least``."""
+def survey(least: int, longest: int, buckets: int, block_bytes: int):
+    """Counts of the words of each block; at the end of the task its counts of phrases by bucket, cut off at ``least``."""
     kind = np.min_scalar_type(least)
     none = lambda n, t: pa.nulls(n, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(buckets, np.uint32)
+        counted = np.zeros(buckets * (longest - 1), np.uint32)
         for words in blocks(batches, block_bytes):
             first, _, counts = tallied(words.lang.astype(np.int64) * len(words.dictionary) + words.ids)
             n = len(first)
@@ -113,10 +133,13 @@ def survey(least: int, buckets: int, block_bytes: int):
                 words.langs.take(pa.array(words.lang[first])).cast(pa.string()), words.dictionary.take(pa.array(words.ids[first])).cast(pa.string()), pa.array(counts.astype(np.int64)),
                 none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary()),
             ], SURVEY.names)
-            np.add.at(pairs, pair_buckets(words, np.flatnonzero(words.joined), buckets), 1)
+            windows, every = Windows(words, buckets), np.ones(len(words.ids), bool)
+            for _ in range(2, longest + 1):
+                windows.longer(every)
+                np.add.at(counted, windows.bucket(), 1)
         chunks, packed = [], []
-        for chunk, start in enumerate(range(0, buckets, CHUNK)):
-            part = np.minimum(pairs[start : start + CHUNK], least).astype(kind)
+        for chunk, start in enumerate(range(0, len(counted), CHUNK)):
+            part = np.minimum(counted[start : start + CHUNK], least).astype(kind)
             if part.any():
                 chunks.append(chunk)
                 packed.append(pack(part))
@@ -161,7 +184,7 @@ def added(least: int, buckets: int, last: bool):
     return add
 
 
-def likely_pairs(surveyed: DataFrame, least: int, buckets: int) -> np.ndarray:
+def likely_phrases(surveyed: DataFrame, least: int, buckets: int) -> np.ndarray:
     """Flags of the buckets that reach ``least``; as many bits as there are buckets come to the driver."""
     rows = surveyed.where("chunk is not null")
     schema = "chunk int, counts binary"
@@ -173,31 +196,31 @@ def likely_pairs(surveyed: DataFrame, least: int, buckets: int) -> np.ndarray:
     return flags
 
 
-def count_phrases(flags, longest: int, block_bytes: int):
-    """Counts of each block's phrases of two and more words whose pairs are all flagged (``flags``: broadcast bits)."""
+def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
+    """Counts of each block's phrases of two and more words whose buckets are flagged (``flags``: broadcast bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = flags.value
-        buckets = len(bits) * 8
         for words in blocks(batches, block_bytes):
-            likely = np.zeros(len(words.ids), bool)
-            at = np.flatnonzero(words.joined)
-            bucket = pair_buckets(words, at, buckets)
-            likely[at] = (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1
-            at = np.flatnonzero(likely)
-            size = len(words.dictionary)
-            names = words.lang[at].astype(np.int64) * size + words.ids[at]
-            _, names, _ = tallied(names)
+            windows, size = Windows(words, buckets), len(words.dictionary)
+            likely = np.ones(len(words.ids), bool)
+            names = words.lang.astype(np.int64) * size + words.ids
             for length in range(2, longest + 1):
-                if length > 2:
-                    keep = likely[at + length - 2]
-                    at, names = at[keep], names[keep]
+                windows.longer(likely)
+                bucket = windows.bucket()
+                windows.narrow((bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
+                at = windows.at
                 if not len(at):
                     break
-                first, names, counts = tallied(names.astype(np.int64) * size + words.ids[at + length - 1])
+                likely = np.zeros(len(words.ids), bool)
+                likely[at] = True
+                # A phrase is named by its beginning, which was named before, and its last word.
+                first, named, counts = tallied(names[at] * size + words.ids[at + length - 1])
+                names[at] = named
                 spelled = [words.dictionary.take(pa.array(words.ids[at[first] + k])) for k in range(length)]
                 yield pa.RecordBatch.from_arrays([
-                    words.langs.take(pa.array(words.lang[at[first]])).cast(pa.string()), pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string())).cast(pa.string()), pa.array(counts.astype(np.int64)),
+                    words.langs.take(pa.array(words.lang[at[first]])).cast(pa.string()), pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string())).cast(pa.string()),
+                    pa.array(counts.astype(np.int64)),
                 ], PHRASE.names)
 
     return run
@@ -207,10 +230,10 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: st
     """``lang``, ``words`` (array), ``n`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``lang``,
     ``total`` (words of the language)."""
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    surveyed = stored(rows.mapInArrow(survey(least, buckets, block_bytes), SURVEY), "survey")
+    surveyed = stored(rows.mapInArrow(survey(least, longest, buckets, block_bytes), SURVEY), "survey")
     words = stored(surveyed.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_pairs(surveyed, least, buckets)))
-    phrases = rows.mapInArrow(count_phrases(flags, longest, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_phrases(surveyed, least, buckets * (longest - 1))))
+    phrases = rows.mapInArrow(count_phrases(flags, longest, buckets, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     some = words.select("lang", F.array("word").alias("words"), "n").union(phrases.select("lang", F.split("phrase", " ", -1).alias("words"), "n"))
     counts = stored(some.where(F.col("n") >= least), "counts")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
