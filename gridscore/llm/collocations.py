@@ -30,8 +30,10 @@ from gridscore.llm.components import discard, stored
 
 #: Texts whose words are numbered together in a task.
 BLOCK_BYTES = 4 << 20
-#: Buckets of the phrases of one length: 4 bytes each in a worker, one bit each in what is sent around.
-BUCKETS = 1 << 22
+#: Buckets of the phrases of one length and one of the two hashes: a byte or two each in a worker, one bit each in what is sent around.
+BUCKETS = 1 << 23
+#: Hashes of a phrase; all of its buckets must reach the least count.
+HASHES = 2
 #: Buckets of one row while their counts are added up.
 CHUNK = 1 << 14
 #: Tasks whose counts are added up together before the rest.
@@ -97,9 +99,9 @@ class Windows:
         self.prints = self.prints[keep] * ragged._MULTIPLIER + self.words.prints[self.words.ids[last + 1]]
         self.length += 1
 
-    def bucket(self) -> np.ndarray:
-        mixed = ragged.mixed(self.prints ^ self.salt[self.words.lang[self.at]])
-        return (mixed % np.uint64(self.buckets)).astype(np.int64) + (self.length - 2) * self.buckets
+    def bucket(self, which: int) -> np.ndarray:
+        mixed = ragged.mixed(self.prints ^ self.salt[self.words.lang[self.at]] ^ np.uint64(which))
+        return (mixed % np.uint64(self.buckets)).astype(np.int64) + (HASHES * (self.length - 2) + which) * self.buckets
 
     def narrow(self, keep: np.ndarray) -> None:
         self.at, self.prints = self.at[keep], self.prints[keep]
@@ -125,7 +127,7 @@ def survey(least: int, longest: int, buckets: int, block_bytes: int):
     none = lambda n, t: pa.nulls(n, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = np.zeros(buckets * (longest - 1), np.uint32)
+        counted = np.zeros(buckets * HASHES * (longest - 1), kind)
         for words in blocks(batches, block_bytes):
             first, _, counts = tallied(words.lang.astype(np.int64) * len(words.dictionary) + words.ids)
             n = len(first)
@@ -136,10 +138,12 @@ def survey(least: int, longest: int, buckets: int, block_bytes: int):
             windows, every = Windows(words, buckets), np.ones(len(words.ids), bool)
             for _ in range(2, longest + 1):
                 windows.longer(every)
-                np.add.at(counted, windows.bucket(), 1)
+                for which in range(HASHES):
+                    bucket, more = np.unique(windows.bucket(which), return_counts=True)
+                    counted[bucket] = np.minimum(counted[bucket] + more, least)
         chunks, packed = [], []
         for chunk, start in enumerate(range(0, len(counted), CHUNK)):
-            part = np.minimum(counted[start : start + CHUNK], least).astype(kind)
+            part = counted[start : start + CHUNK]
             if part.any():
                 chunks.append(chunk)
                 packed.append(pack(part))
@@ -207,8 +211,9 @@ def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
             names = words.lang.astype(np.int64) * size + words.ids
             for length in range(2, longest + 1):
                 windows.longer(likely)
-                bucket = windows.bucket()
-                windows.narrow((bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
+                for which in range(HASHES):
+                    bucket = windows.bucket(which)
+                    windows.narrow((bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
                 at = windows.at
                 if not len(at):
                     break
@@ -232,7 +237,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: st
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     surveyed = stored(rows.mapInArrow(survey(least, longest, buckets, block_bytes), SURVEY), "survey")
     words = stored(surveyed.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_phrases(surveyed, least, buckets * (longest - 1))))
+    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_phrases(surveyed, least, buckets * HASHES * (longest - 1))))
     phrases = rows.mapInArrow(count_phrases(flags, longest, buckets, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     some = words.select("lang", F.array("word").alias("words"), "n").union(phrases.select("lang", F.split("phrase", " ", -1).alias("words"), "n"))
     counts = stored(some.where(F.col("n") >= least), "counts")
