@@ -147,6 +147,27 @@ def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", errors.persisted_error_text(F.col("message")).alias("text"))
 
 
+@query("x10_page_redaction", """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('page ', page_id, ' request body: [redacted] of ', octet_length(encode(coalesce(html, ''))))
+  WHEN 1 THEN concat('{"id":', page_id, ',"requestBody":"[redacted]","n":[1]}') ELSE concat('{"systemPrompt":"[redacted]", "id":', page_id, '}') END AS text,
+  concat('cut ', page_id, ' request body: [redacted]') AS cut_off FROM pages
+""")
+def x10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as quoted and nested payloads, and as payloads whose end is missing."""
+    page, html = F.col("page_id").cast("string"), F.coalesce("html", F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(html, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    nested = F.concat(F.lit('{"page":[{"html":'), quoted, F.lit(',"left":["]",{}]}, '), quoted, F.lit("]}"))
+    message = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("page "), page, F.lit(" Request-Payload: "), nested, F.lit(" of "), F.octet_length(html).cast("string")))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"id":'), page, F.lit(',"requestBody" : '), nested, F.lit(',"n":[1]}')))
+        .otherwise(F.concat(F.lit('{"systemPrompt":\n'), quoted, F.lit(', "id":'), page, F.lit("}")))
+    )
+    cut_off = F.concat(F.lit("cut "), page, F.lit(" request body: "), F.substring(nested, 1, F.length(nested) - 2 - F.col("page_id") % 2))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", errors.persisted_error_text(message).alias("text"), errors.persisted_error_text(cut_off).alias("cut_off"),
+    )
+
+
 @query("x11_truncate", """
 SELECT doc_id, substring(text, 1, 120) AS preview, length(substring(text, 1, 4000)) AS kept FROM documents
 """)

@@ -1,11 +1,13 @@
 """Error messages, redaction, rendering, transcripts, keys."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridscore.functions import errors, keys, languages, rendering, text, transcripts
+from gridscore.functions import errors, keys, languages, redaction, rendering, text, transcripts
 from gridscore.operators import audit, events
 
 
@@ -53,6 +55,65 @@ def test_redaction(spark):
     assert len(values(spark, ["é😀" * 3000], errors.persisted_error_text)[0]) == 4000
 
 
+_STRING = re.compile(r'"(?:\\[\s\S]|[^"\\])*(?:"|\\?\Z)')
+
+
+def value_end(message, at, plain):
+    """End of the value at ``at``, found character by character."""
+    if message[at : at + 1] == '"':
+        return _STRING.match(message, at).end()
+    if message[at : at + 1] not in ("{", "["):
+        return plain(message, at)
+    depth = 0
+    while at < len(message):
+        if message[at] == '"':
+            at = _STRING.match(message, at).end()
+            continue
+        depth += (message[at] in "{[") - (message[at] in "}]")
+        at += 1
+        if depth == 0:
+            break
+    return at
+
+
+def directly_redacted(message):
+    def once(message, pattern, shown, plain):
+        out, at = "", 0
+        while found := re.compile(pattern, re.I | re.A).search(message, at):
+            out += message[at : found.start()] + shown(found[1])
+            at = value_end(message, found.end(), plain)
+        return out + message[at:]
+
+    space, name = text.SPACE, lambda n: "system prompt" if n.lower().startswith("system") else "request body"
+    plain_end = lambda message, at: m.start() if (m := re.compile(r"[\r\n,}\]]").search(message, at)) else len(message)
+    label = rf"(request[-_ ]?(?:body|payload|json)|system[-_ ]?(?:prompt|instruction)){space}*:{space}*"
+    field = rf'"(systemPrompt|systemInstruction|requestBody|requestPayload|requestJson)"{space}*:{space}*'
+    message = once(message, label, lambda n: f"{name(n)}: [redacted]", lambda message, at: len(message))
+    return once(message, field, lambda n: f'"{n}":"[redacted]"', plain_end)
+
+
+def test_payloads_equal_a_direct_scan(spark):
+    rnd = random.Random(11)
+    parts = [
+        *'""\\{}[],\n a:\r', '\\"', "é😀", '"requestBody": ', '"systemPrompt":\n', '"requestJson"\n: ', "Request Body: ", "system-prompt:", "request payload :\u00a0",
+        '"x":', "requestbody", "systeminstruction:{",
+    ]
+    messages = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(6000)] + ["", "request body:", '"requestBody":', 'request body: {"a":"\\']
+    assert values(spark, messages, redaction.redact_payloads) == [directly_redacted(m) for m in messages]
+    assert values(spark, [None], redaction.redact_payloads) == [None]
+
+
+def test_long_payload(spark):
+    inside = '{\\"é' * 200_000
+    found = values(spark, [f'request body: {{"a":"{inside}"}} end', "a," * 300_000 + '"requestBody":[1] z'], redaction.redact_payloads)
+    assert found[0] == "request body: [redacted] end" and found[1] == "a," * 300_000 + '"requestBody":"[redacted]" z'
+
+
+def test_redaction_needs_no_python_worker(spark):
+    plan = spark.range(1).select(errors.persisted_error_text(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_cooldown_order(spark):
     df = spark.createDataFrame([("throttle_bucket", 40000, 0), ("item", 10000, 9), ("item", 9999, 3), ("item", None, 2)], "s string, after int, n int")
     found = [r.c and tuple(r.c) for r in df.select(errors.cooldown(F.col("s"), F.col("after"), F.col("n")).alias("c")).collect()]
