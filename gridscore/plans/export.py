@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from gridscore import domain, fixtures
 from gridscore.functions.csvcells import csv_lines
 from gridscore.functions.keys import display_name, is_no_context_variant, participant_category
-from gridscore.operators import audit, batches, manifests, progress, ranking, reports
+from gridscore.operators import audit, batches, costs, manifests, progress, ranking, report_set, reports
+from gridscore.operators.normalize import flatten_summary
 from gridscore.plans.common import MORE_PEOPLE, PEOPLE, rounded, spread
 from gridscore.plans.progress import _COUNTS_SQL, run_people, run_status, service_groups
 from gridscore.plans.registry import query
+from gridscore.plans.reports import parsed
 from gridscore.session import scratch_path, small_table, strings
 from gridscore.sources import files
-from gridscore.sources.reports import keyed_document, read_keyed_report, read_optional_rows, run_summary
+from gridscore.sources.reports import keyed_document, read_document_set, read_keyed_report, read_optional_rows, run_summary, write_document_set
 
 _RANK = "row_number() OVER ({0}ORDER BY mean_penalty ASC NULLS LAST, participant_id) AS rank"
 
@@ -163,6 +165,84 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("slice", F.col("position").cast("bigint").alias("position"), "row.*"), "mean_penalty")
 
 
+def _report_set_sql() -> str:
+    slices = {"leaderboard.by-language": "target_language", **{
+        "leaderboard.by-context-turn-count": "CAST(context_turn_count AS VARCHAR)", "leaderboard.by-speaker-mode": "speaker_mode",
+        "leaderboard.by-context-turn-count-and-speaker-mode": "concat(CAST(context_turn_count AS VARCHAR), '::', speaker_mode)",
+        "leaderboard.by-primary-phenomenon": "primary_phenomenon", "leaderboard.by-context-expectation": "context_expectation",
+    }}
+    board = "avg(j.total_penalty) AS mean_penalty, count(j.event_id) FILTER (j.status = 'ok') AS samples, count(j.event_id) FILTER (j.status = 'judge_failed') AS failed_samples"
+    parts = [
+        f"SELECT '{report}' AS report, k.key, p.participant_id, p.ord, {board} FROM (SELECT DISTINCT {key} AS key FROM judgments) k CROSS JOIN people p "
+        f"LEFT JOIN (SELECT *, {key} AS key FROM judgments) j ON j.key = k.key AND j.participant_id = p.participant_id GROUP BY ALL"
+        for report, key in slices.items()
+    ]
+    cells = "SELECT source_id, target_language{0} FROM judgments WHERE status = 'ok' GROUP BY ALL HAVING count(DISTINCT participant_id) = 8"
+    common = {
+        "summary-overall.penalty.common-cell": ("''", ""), "leaderboard.by-language.common-cell": ("target_language", ""),
+        "leaderboard.by-context-expectation.common-cell": ("context_expectation", ", context_expectation"),
+    }
+    parts += [
+        f"SELECT '{report}', k.key, p.participant_id, p.ord, avg(j.total_penalty), count(j.event_id), NULL FROM (SELECT DISTINCT {key} AS key FROM judgments) k CROSS JOIN people p "
+        f"LEFT JOIN (SELECT j.*, {key} AS key FROM judgments j SEMI JOIN ({cells.format(more)}) c USING (source_id, target_language{more}) WHERE status = 'ok') j "
+        "ON j.key = k.key AND j.participant_id = p.participant_id GROUP BY ALL"
+        for report, (key, more) in common.items()
+    ]
+    parts.append("SELECT 'summary-overall.penalty', '', p.participant_id, p.ord, avg(j.total_penalty), NULL, NULL FROM people p LEFT JOIN judgments j USING (participant_id) GROUP BY ALL")
+    normal = """SELECT 'summary-overall.normalized', '', participant_id, ord, avg(CASE WHEN hi = lo THEN 0 ELSE (m - lo) / (hi - lo) END), NULL, NULL FROM (
+      SELECT *, min(m) OVER (PARTITION BY target_language) AS lo, max(m) OVER (PARTITION BY target_language) AS hi
+      FROM (SELECT target_language, p.participant_id, p.ord, avg(total_penalty) AS m FROM people p JOIN judgments USING (participant_id) GROUP BY ALL)) GROUP BY ALL"""
+    return f"SELECT report, key, participant_id, CAST(ord AS BIGINT) AS position, ROUND(mean_penalty, 6) AS mean_penalty, samples, failed_samples FROM ({' UNION ALL '.join([*parts, normal])})"
+
+
+def _report_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports of the run, written as one set and read again."""
+    judgments = flatten_summary(parsed(spark, sf_dir))
+    costed = costs.cost_rollup(costs.with_cost(fixtures.usage_metrics(spark, sf_dir)))
+    root = scratch_path(spark, "report-set")
+    write_document_set(report_set.report_documents(judgments, PEOPLE, domain.LANGUAGES, costs=costed), root)
+    return read_document_set(spark, root)
+
+
+@query("s8_report_set", _report_set_sql())
+def s8_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboards that the documents of the set hold."""
+    row = "array<struct<participant_id:string,mean_penalty:double,normalized_macro_mean_penalty:double,samples:bigint,failed_samples:bigint>>"
+    report, flat = F.col("report"), F.col("report").startswith("summary-overall")
+    keyed = F.when(report == "leaderboard.by-language", F.transform_values(F.from_json("value", f"map<string,struct<leaderboard:{row}>>"), lambda _, v: v["leaderboard"]))
+    keyed = keyed.when(flat, F.create_map(F.lit(""), F.from_json("value", row))).otherwise(F.from_json("value", f"map<string,{row}>"))
+    rows = _report_set(spark, sf_dir).where(flat | report.startswith("leaderboard")).select("report", F.explode(keyed).alias("key", "rows"))
+    rows = rows.select("report", "key", F.posexplode("rows").alias("position", "r"))
+    mean = F.coalesce("r.mean_penalty", "r.normalized_macro_mean_penalty").alias("mean_penalty")
+    return rounded(rows.select("report", "key", "r.participant_id", F.col("position").cast("bigint").alias("position"), mean, "r.samples", "r.failed_samples"), "mean_penalty")
+
+
+@query("s8_report_counts", """
+SELECT report, key, participant_id, name, CAST(value AS BIGINT) AS value FROM (
+  SELECT 'severity-breakdown.by-language' AS report, target_language AS key, participant_id, name, sum(CASE name WHEN 'critical' THEN critical_count WHEN 'major' THEN major_count ELSE minor_count END) AS value
+  FROM judgments, (VALUES ('critical'), ('major'), ('minor')) n(name) WHERE status = 'ok' GROUP BY ALL
+  UNION ALL SELECT 'error-class-breakdown.by-language', target_language, participant_id, name,
+    sum(CASE name WHEN 'accuracy/mistranslation' THEN critical_count WHEN 'fluency/register' THEN major_count ELSE minor_count END) AS value
+  FROM judgments, (VALUES ('accuracy/mistranslation'), ('fluency/register'), ('style/awkward')) n(name) WHERE status = 'ok' GROUP BY ALL HAVING value > 0
+  UNION ALL SELECT 'context-behavior.counts', '', participant_id, name, count(*) FILTER (context_behavior = name)
+  FROM judgments, (VALUES ('used_correctly'), ('missed_required_context'), ('ignored_irrelevant_context'), ('misused_context'), ('unclear')) n(name) GROUP BY ALL
+  UNION ALL SELECT 'failed-samples.by-language', target_language, participant_id, 'failed', count(*) FROM judgments WHERE status = 'judge_failed' GROUP BY ALL
+)
+""")
+def s8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the documents of the set hold, and how many failed samples they list."""
+    report = F.col("report")
+    counts = F.when(report == "context-behavior.counts", F.create_map(F.lit(""), F.from_json("value", "map<string,map<string,bigint>>")))
+    counts = counts.otherwise(F.from_json("value", "map<string,map<string,map<string,bigint>>>"))
+    rows = _report_set(spark, sf_dir)
+    wanted = rows.where(report.isin("severity-breakdown.by-language", "error-class-breakdown.by-language", "context-behavior.counts"))
+    by_name = wanted.select("report", F.explode(counts).alias("key", "people")).select("report", "key", F.explode("people").alias("participant_id", "counts"))
+    by_name = by_name.select("report", "key", "participant_id", F.explode("counts").alias("name", "value"))
+    failed = rows.where(report == "failed-samples.by-language").select("report", F.explode(F.from_json("value", "map<string,array<struct<participant_id:string>>>")).alias("key", "rows"))
+    failed = failed.select("report", "key", F.explode("rows.participant_id").alias("participant_id")).groupBy("report", "key", "participant_id")
+    return by_name.union(failed.agg(F.lit("failed").alias("name"), F.count(F.lit(1)).alias("value")))
+
+
 _CSV_COLUMNS = ["participant_id", "participant_display_name", "mean_penalty", "samples", "benchmark_valid", "caveat"]
 
 

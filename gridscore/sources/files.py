@@ -101,9 +101,14 @@ def write_version(rows: DataFrame, root: str) -> int:
     spark = rows.sparkSession
     number = latest_version(spark, root) + 1
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/version={number}")
+    write_marker(spark, root, number)
+    return number
+
+
+def write_marker(spark: SparkSession, root: str, number: int) -> None:
+    """Make a version that is written in full the one that readers see."""
     fs, marker = _file_system(spark, f"{root}/committed={number}.marker")
     fs.create(marker, True).close()
-    return number
 
 
 def rewrite_repaired(repaired: DataFrame, root: str, failures: DataFrame | None = None, failure_root: str | None = None) -> int | None:

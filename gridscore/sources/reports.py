@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridscore.session import path_exists
+from gridscore.sources.files import latest_version, write_marker
 
 
 def _rows(value: Column) -> Column:
@@ -103,3 +104,43 @@ def run_summary(overall: DataFrame, common: DataFrame, runs: DataFrame, generate
     named = F.array_join(fields, ",")
     fixed = F.to_json(F.struct(F.lit(generated_at).alias("generatedAtUtc"), F.lit(2).alias("reportVersion"), F.array(*[F.lit(c) for c in caveats]).alias("caveats")))
     return merged.select(F.concat(F.regexp_replace(fixed, r"\}\z", ","), named, F.lit("}")).alias("value"))
+
+
+def write_document_set(documents: DataFrame, root: str) -> int:
+    """Write rows (``report, value``) as a new version of a set of files and return its number.
+
+    One job writes all reports, each to its own folder; ``ord`` (optional) orders the lines of a report. Every report lies in one
+    task, since it is one document or a table of participants. A marker written last makes the whole set visible at once.
+    """
+    spark = documents.sparkSession
+    number = latest_version(spark, root) + 1
+    lines = documents if "ord" in documents.columns else documents.withColumn("ord", F.lit(0))
+    dealt = lines.repartition("report").sortWithinPartitions("report", "ord").select("report", "value")
+    dealt.write.mode("overwrite").partitionBy("report").text(f"{root}/version={number}")
+    write_marker(spark, root, number)
+    return number
+
+
+def read_document_set(spark: SparkSession, root: str) -> DataFrame:
+    """``report`` and ``value`` of the newest whole set; lines of one report are in order within its file."""
+    number = latest_version(spark, root)
+    if not number:
+        raise ValueError(f"no complete set of reports in {root}")
+    return spark.read.schema("value string, report string").text(f"{root}/version={number}")
+
+
+def csv_documents(tables: dict[str, tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Lines (``report, ord, value``) of CSV reports for ``write_document_set``: per report its rows, columns and order.
+
+    Rows are reports, bounded by participants and slices, so numbering those of one report in one task is enough.
+    """
+    from gridscore.functions.csvcells import csv_lines
+
+    result = None
+    for report, (rows, columns, order) in tables.items():
+        place = F.row_number().over(Window.partitionBy(F.lit(report)).orderBy(*order))
+        body = csv_lines(rows.withColumn("ord", place), columns).select(F.lit(report).alias("report"), "ord", "value")
+        header = rows.sparkSession.range(1).select(F.lit(report).alias("report"), F.lit(0).alias("ord"), F.lit(",".join(columns)).alias("value"))
+        lines = header.unionByName(body)
+        result = lines if result is None else result.unionByName(lines)
+    return result

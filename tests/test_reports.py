@@ -1,14 +1,16 @@
 """Leaderboards and rates: known small rows, empty input, and invariants on random grids."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridscore import domain
-from gridscore.operators import reports
+from gridscore.operators import report_set, reports
 from gridscore.operators.grid import cell_grid, participants
 from gridscore.operators.validity import group_outcomes, validity
+from gridscore.sources import reports as sources
 
 SCHEMA = (
     "source_id string, target_language string, participant_id string, status string, critical_count int, major_count int, minor_count int, "
@@ -155,3 +157,73 @@ def test_cell_grid(spark):
     cells = cell_grid(spark.createDataFrame([("s1",), ("s2",)], "source_id string"), ["en", "ja"], PEOPLE, "r")
     assert cells.count() == 8 and cells.select("stable_key").distinct().count() == 8
     assert "r::s2::ja::b" in {r.stable_key for r in cells.collect()}
+
+
+def whole_set(spark, tmp_path, rows, people, **more):
+    root = str(tmp_path / "set")
+    sources.write_document_set(report_set.report_documents(rows, people, ("en", "ja", "zh-Hans"), **more), root)
+    return {r.report: json.loads(r.value) for r in sources.read_document_set(spark, root).collect()}
+
+
+def test_report_set_of_known_rows(spark, tmp_path, known):
+    classes = F.when(F.col("major_count") > 0, F.array(F.struct(F.lit("fluency/register").alias("class")))).otherwise(F.array().cast("array<struct<class:string>>"))
+    status = spark.createDataFrame([(False, 5, None)], "benchmarkValid boolean, totalExpected bigint, note string")
+    costed = spark.createDataFrame([("phase", "judge", 1.5, 1), ("phase", "translation", 0.0, 0), ("model", 'm"1', 1.5, 1), ("overall", None, 1.5, 1)], "view string, value string, total_cost_usd double, unknown_cost_records bigint")
+    found = whole_set(spark, tmp_path, known.withColumn("errors", classes), participants([("a", 'Model "A"'), ("b", "b")]), status=status, costs=costed)
+    assert set(found) == set(report_set.REPORTS)
+    english = found["leaderboard.by-language"]["en"]
+    assert english["leaderboard"][0] == {"participant_id": "a", "participant_display_name": 'Model "A"', "mean_penalty": 0.0, "samples": 2, "failed_samples": 0}
+    assert english["leaderboard"][1]["mean_penalty"] is None and english["leaderboard"][1]["failed_samples"] == 1
+    assert english["failures"] == [{"participant_id": "b", "participant_display_name": "b", "source_id": "i5", "stable_key": "r::i5::en::b"}]
+    assert found["failed-samples.by-language"]["ja"] == [] and len(found["failed-samples.by-language"]["en"]) == 1
+    assert found["severity-breakdown.by-language"]["ja"]["a"] == {"critical": 0, "major": 1, "minor": 0}
+    assert found["error-class-breakdown.by-language"]["ja"] == {"a": {"fluency/register": 1}, "b": {}}
+    assert [r["mean_penalty"] for r in found["summary-overall.penalty"]] == [1.5, None]
+    assert found["summary-overall.normalized"][0]["normalized_macro_mean_penalty"] == 0 and found["summary-overall.normalized"][1]["normalized_macro_mean_penalty"] is None
+    assert list(found["leaderboard.by-context-turn-count"]) == ["1", "2", "3"]
+    assert found["leaderboard.by-context-turn-count-and-speaker-mode"]["1::single"][0]["samples"] == 1
+    assert found["context-behavior.counts"]["a"]["missed_required_context"] == 1 and found["context-behavior.counts"]["b"]["unclear"] == 0
+    assert found["context-behavior.rates"] == {"a": {"missed_required_context_rate": 0.5, "misused_context_rate": 0.5}, "b": {"missed_required_context_rate": 0.0, "misused_context_rate": 0.0}}
+    assert list(found["leaderboard.by-context-expectation.common-cell"]) == ["ignore", "use"]
+    assert found["summary-overall.penalty.common-cell"][0] == {"participant_id": "a", "participant_display_name": 'Model "A"', "mean_penalty": None, "samples": 0}
+    assert found["run-status"] == {"benchmarkValid": False, "totalExpected": 5, "note": None}
+    assert found["cost-by-model"] == {'m"1': {"totalCostUsd": 1.5, "unknownCostRecordCount": 1}}
+    assert found["cost-summary"]["overall"] == {"totalCostUsd": 1.5, "unknownCostRecordCount": 1} and set(found["cost-summary"]["byPhase"]) == {"judge", "translation"}
+
+
+@pytest.mark.parametrize("n", [0, 400])
+def test_report_set_equals_the_single_reports(spark, tmp_path, n):
+    rows, people = spark.createDataFrame(random_rows(5)[:n], SCHEMA), participants(["c", "a", "b"])
+    found = whole_set(spark, tmp_path, rows, people)
+    shown = lambda r: (r["participant_id"], pytest.approx(r["mean_penalty"]), r["samples"], r["failed_samples"])
+    for kind, report in report_set.SLICE_REPORTS.items():
+        single = reports.slice_leaderboard(rows, people, reports.slice_keys()[kind]).orderBy("slice", "ord").collect()
+        assert [shown(r) for r in single] == [(r["participant_id"], r["mean_penalty"], r["samples"], r["failed_samples"]) for key in sorted(found[report]) for r in found[report][key]]
+    by_language = reports.language_leaderboard(rows, people, ("en", "ja", "zh-Hans")).orderBy("target_language", "ord").collect()
+    assert [shown(r) for r in by_language] == [
+        (r["participant_id"], r["mean_penalty"], r["samples"], r["failed_samples"]) for code in ("en", "ja", "zh-Hans") for r in found["leaderboard.by-language"][code]["leaderboard"]
+    ]
+    common = {r.participant_id: r for r in reports.common_cell_leaderboard(rows, people).collect()}
+    for r in found["summary-overall.penalty.common-cell"]:
+        assert (r["mean_penalty"], r["samples"]) == (pytest.approx(common[r["participant_id"]].mean_penalty), common[r["participant_id"]].samples)
+    normal = {r.participant_id: r.normalized_macro_mean_penalty for r in reports.normalized_macro_mean(reports.language_leaderboard(rows, people, ("en", "ja", "zh-Hans"))).collect()}
+    for r in found["summary-overall.normalized"]:
+        assert r["normalized_macro_mean_penalty"] == pytest.approx(normal[r["participant_id"]])
+
+
+def test_too_many_failures_and_unfinished_sets(spark, tmp_path, known):
+    with pytest.raises(Exception, match="too many for one document"):
+        report_set.report_documents(known, PEOPLE, most_failures=0).collect()
+    with pytest.raises(ValueError, match="no complete set"):
+        sources.read_document_set(spark, str(tmp_path / "nothing"))
+
+
+def test_csv_set(spark, tmp_path):
+    board = spark.createDataFrame([(2, "b", 0.5), (1, "=a", None)], "rank int, participant_id string, mean_penalty double")
+    root = str(tmp_path / "csv")
+    lines = sources.csv_documents({"overall": (board, ["rank", "participant_id", "mean_penalty"], ["rank"]), "empty": (board.where("false"), ["rank"], ["rank"])})
+    assert sources.write_document_set(lines, root) == 1 and sources.write_document_set(lines, root) == 2
+    found = {}
+    for r in sources.read_document_set(spark, root).collect():
+        found.setdefault(r.report, []).append(r.value)
+    assert found == {"overall": ["rank,participant_id,mean_penalty", "1,'=a,", "2,b,0.500000"], "empty": ["rank"]}
