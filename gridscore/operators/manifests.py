@@ -88,8 +88,49 @@ def checked_manifests(runs: DataFrame) -> DataFrame:
     )
 
 
-def public_manifests(runs: DataFrame) -> DataFrame:
-    """Whitelisted manifest columns with defaults; participants without id are dropped."""
+_STATUS_NUMBERS = ("totalExpected", "totalNormalized", "translationFailureHistoricalCount", "translationFailureUnresolvedCount")
+_STATUS_TYPE = (
+    "struct<benchmarkValid:boolean,reuseOnly:boolean,benchmarkValidityNote:string," + ",".join(f"{name}:double" for name in _STATUS_NUMBERS)
+    + ",missingDeepLKeys:array<string>,judgeFailureRatesByParticipantLanguage:map<string,struct<ok:double,failed:double>>>"
+)
+
+
+def public_status(value: Column) -> Column:
+    """What of a run status (a JSON object as text) may be published, as a struct; a text that is no object is an error.
+
+    Validity holds only if it is literally true, and so does reuse, which is null if absent. Texts and numbers of another type
+    are null. Per participant and language, entries that are no objects go. Missing keys lose empty and untyped ones.
+    """
+    document = F.try_parse_json(value)
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    field = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+
+    def number(v: Column, name: str) -> Column:
+        return F.when(kind(field(v, name)).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, f"$.{name}", "double"))
+
+    def true(name: str) -> Column:
+        return F.coalesce((kind(field(document, name)) == "BOOLEAN") & F.try_variant_get(document, f"$.{name}", "boolean"), F.lit(False))
+
+    note = F.when(kind(field(document, "benchmarkValidityNote")) == "STRING", F.try_variant_get(document, "$.benchmarkValidityNote", "string"))
+    strings = F.transform(F.try_variant_get(document, "$.missingDeepLKeys", "array<variant>"), lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    groups = F.map_filter(F.try_variant_get(document, "$.judgeFailureRatesByParticipantLanguage", "map<string,variant>"), lambda _, v: F.coalesce(kind(v) == "OBJECT", F.lit(False)))
+    counts = F.transform_values(groups, lambda _, v: F.struct(number(v, "ok").alias("ok"), number(v, "failed").alias("failed")))
+    fields = F.struct(
+        true("benchmarkValid").alias("benchmarkValid"),
+        F.when(field(document, "reuseOnly").isNotNull(), true("reuseOnly")).alias("reuseOnly"),
+        note.alias("benchmarkValidityNote"),
+        *[number(document, name).alias(name) for name in _STATUS_NUMBERS],
+        F.filter(strings, lambda text: ~_empty(text)).alias("missingDeepLKeys"),
+        counts.alias("judgeFailureRatesByParticipantLanguage"),
+    )
+    return F.when(F.coalesce(kind(document) == "OBJECT", F.lit(False)), fields).otherwise(F.raise_error(F.lit("a run status must be an object")).cast(_STATUS_TYPE))
+
+
+def public_manifests(runs: DataFrame, fallback_run_id: str | None = None) -> DataFrame:
+    """Whitelisted manifest columns with defaults; participants without id are dropped. A run without an id takes the value of
+    the column ``fallback_run_id``, such as the name of its folder."""
+    if fallback_run_id is not None:
+        runs = runs.withColumn("runId", F.coalesce("runId", fallback_run_id))
     text = lambda name: F.coalesce(name, F.lit("")).alias(name)
     kept = F.filter("participants", lambda p: ~_empty(p["participantId"]))
     people = F.transform(

@@ -16,7 +16,7 @@ from gridscore.plans.registry import query
 from gridscore.plans.reports import parsed
 from gridscore.session import scratch_path, small_table, strings
 from gridscore.sources import files
-from gridscore.sources.reports import keyed_document, read_document_set, read_keyed_report, read_optional_rows, run_summary, write_document_set
+from gridscore.sources.reports import keyed_document, read_document_set, read_keyed_report, read_optional_rows, run_summary, source_runs, write_document_set
 
 _RANK = "row_number() OVER ({0}ORDER BY mean_penalty ASC NULLS LAST, participant_id) AS rank"
 
@@ -312,6 +312,73 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.select(F.inline(both), *totals), "mean_penalty")
 
 
+@query("s12_source_runs", f"""
+WITH {_COUNTS_SQL}
+SELECT CASE run_id WHEN 'main' THEN 1 ELSE 2 END AS place, run_id, participant_id, valid AS valid_samples, expected AS expected_samples, unresolved AS unresolved_cells,
+  run_id <> 'main' AS benchmark_valid, CASE run_id WHEN 'main' THEN CAST(7 AS DOUBLE) END AS unresolved_total, 'data/benchmarks/bench-1.json' AS config,
+  CAST(8 AS BIGINT) AS files, 'leaderboard.overall.csv' AS secondary
+FROM counts WHERE participant_id <> 'nobody'
+""")
+def s12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source runs that the summary document holds, status and sample counts included."""
+    status, people = run_status(spark, sf_dir), run_people(spark, sf_dir)
+    counts = progress.sample_counts(service_groups(spark, sf_dir), people, status.select("run_id", "limit_applied", "languages", "unresolved_total"))
+    # The status as a run wrote it: untyped, with fields that must not be published and values of the wrong type.
+    raw = F.concat(
+        F.lit('{"benchmarkValid":'), F.col("benchmark_valid").cast("string"), F.lit(',"totalExpected":"many","secret":1'),
+        F.coalesce(F.concat(F.lit(',"translationFailureUnresolvedCount":'), F.col("unresolved_total").cast("string")), F.lit("")), F.lit("}"),
+    )
+    public = status.select(F.col("run_id").alias("runId"), manifests.public_status(raw).alias("s")).select("runId", "s.*")
+    named = people.groupBy(F.col("run_id").alias("_folder")).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("participant_id").alias("participantId"), F.col("display_name").alias("displayName"), "provider", F.lit("").alias("providerModelId"),
+    ))).alias("participants"))
+    empty = {name: F.lit(None).cast("string").alias(name) for name in (
+        "runId", "datasetVersion", "datasetFingerprintSha256", "promptVersion", "judgeBackend", "datasetKind", "promptFingerprintSha256", "judgePromptVersion", "judgePromptSetId", "judgeModelId",
+    )}
+    runs = named.select(
+        "_folder", "participants", *empty.values(), F.lit("bench-1").alias("benchmarkId"), F.lit(None).cast("array<string>").alias("targetLanguages"),
+        F.lit(None).cast("map<string,string>").alias("targetLanguageLabels"), F.lit(None).cast("bigint").alias("limitApplied"),
+    )
+    published = manifests.public_manifests(runs, "_folder").select(F.when(F.col("runId") == "main", 1).otherwise(2).alias("ord"), "*")
+    board = spark.createDataFrame([], "rank bigint, participant_id string, participant_display_name string, mean_penalty double, samples bigint, benchmark_valid boolean, caveat string, source_run_id string, coverage string")
+    document = run_summary(board, board, source_runs(published, public, counts), "2026-01-01T00:00:00Z", with_legacy=False, benchmark_id="bench-1")
+    run_type = "array<struct<runId:string,runStatus:struct<benchmarkValid:boolean,totalExpected:double,translationFailureUnresolvedCount:double>,participantSampleCounts:array<struct<participantId:string,validSamples:bigint,expectedSamples:bigint,unresolvedCells:bigint>>>>"
+    summary = document.select(F.from_json("value", f"benchmarkConfig string, publicReports array<string>, secondaryScore struct<source:string>, sourceRuns {run_type}").alias("s")).select("s.*")
+    rows = summary.select("*", F.posexplode("sourceRuns").alias("at", "run")).select("*", F.explode("run.participantSampleCounts").alias("p"))
+    return rows.select(
+        (F.col("at") + 1).alias("place"), F.col("run.runId").alias("run_id"), F.col("p.participantId").alias("participant_id"), F.col("p.validSamples").alias("valid_samples"),
+        F.col("p.expectedSamples").alias("expected_samples"), F.col("p.unresolvedCells").alias("unresolved_cells"), F.col("run.runStatus.benchmarkValid").alias("benchmark_valid"),
+        F.col("run.runStatus.translationFailureUnresolvedCount").alias("unresolved_total"), F.col("benchmarkConfig").alias("config"),
+        F.size("publicReports").cast("bigint").alias("files"), F.col("secondaryScore.source").alias("secondary"),
+    )
+
+
+@query("p11_public_status", """
+SELECT concat('run-', CAST(c_custkey AS VARCHAR)) AS run_id, c_custkey % 3 = 0 AS valid, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS reuse_only,
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey AS DOUBLE) END AS total, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS note,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'a;b' END AS missing, CASE WHEN c_custkey % 6 <> 0 THEN concat('p::en=', CAST(c_custkey % 11 AS VARCHAR), '.0/') END AS groups FROM customer
+""")
+def p11_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses with strings for booleans and numbers, notes of other types and groups that are no objects."""
+    key = F.col("c_custkey")
+    pick = lambda n, *texts: F.element_at(F.array(*map(F.lit, texts)), (key % n + 1).cast("int"))
+    raw = F.concat(
+        F.lit('{"benchmarkValid":'), pick(3, "true", '"true"', "1"), pick(4, ',"reuseOnly":true', ',"reuseOnly":false', ',"reuseOnly":"yes"', ""),
+        F.lit(',"totalExpected":'), F.when(key % 5 == 0, key.cast("string")).otherwise('"12"'),
+        F.lit(',"benchmarkValidityNote":'), F.when(key % 2 == 0, F.to_json(F.array("c_mktsegment")).substr(F.lit(2), F.length(F.to_json(F.array("c_mktsegment"))) - 2)).otherwise("[1]"),
+        F.when(key % 7 == 0, "").otherwise(',"missingDeepLKeys":["a","",7,null,"b"]'),
+        F.when(key % 6 == 0, "").otherwise(F.concat(F.lit(',"judgeFailureRatesByParticipantLanguage":{"p::en":{"ok":'), (key % 11).cast("string"), F.lit(',"failed":"x"},"q::en":3}'))),
+        F.lit(',"token":"hidden"}'),
+    )
+    rows = fixtures.table(spark, sf_dir, "customer").select(F.concat(F.lit("run-"), key.cast("string")).alias("run_id"), manifests.public_status(raw).alias("s"))
+    text = lambda value: F.coalesce(value.cast("string"), F.lit(""))
+    shown = F.transform(F.map_entries("s.judgeFailureRatesByParticipantLanguage"), lambda e: F.concat(e["key"], F.lit("="), text(e["value"]["ok"]), F.lit("/"), text(e["value"]["failed"])))
+    return rows.select(
+        "run_id", F.col("s.benchmarkValid").alias("valid"), F.col("s.reuseOnly").alias("reuse_only"), F.col("s.totalExpected").alias("total"), F.col("s.benchmarkValidityNote").alias("note"),
+        F.array_join("s.missingDeepLKeys", ";").alias("missing"), F.array_join(shown, ";").alias("groups"),
+    )
+
+
 _CHART_NAMES = (
     "gemini35-live-two", "gemma4-e4b-fp16", "milmmt-4b", "deepl-api", "other-model-nocontext", "papago-web", "gemma4-31b", "google-cloud-translate-basic",
 )

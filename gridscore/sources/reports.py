@@ -80,30 +80,79 @@ SUMMARY_CAVEATS = (
     "DeepL rows are reuse-only partial rows with missing cells and are marked benchmark_valid=false.",
     "Full reruns require paid APIs, credentials, and the configured judge backend/model.",
 )
+# The published files and how their scores are described.
+PUBLIC_REPORTS = (
+    "leaderboard.overall.csv", "leaderboard.overall.common-cell.csv", "leaderboard.by-language.csv", "leaderboard.by-language.common-cell.csv",
+    "leaderboard.by-context-expectation.csv", "leaderboard.by-context-expectation.common-cell.csv", "context-behavior.csv", "run-summary.json",
+)
+PRIMARY_SCORE = ("raw mean penalty over common cells (cells judged for every participant)", "leaderboard.overall.common-cell.csv")
+SECONDARY_SCORE = ("raw mean penalty over all valid judged cells available per participant", "leaderboard.overall.csv")
 LEGACY_CAVEAT = "Common-cell leaderboards cover only the main run participants; separate legacy DeepL runs are excluded from the common-cell view."
 
 
-def run_summary(overall: DataFrame, common: DataFrame, runs: DataFrame, generated_at: str, with_legacy: bool) -> DataFrame:
-    """One JSON document: runs, both leaderboards in rank order, caveats.
+def benchmark_config(benchmark_id: Column) -> Column:
+    return F.concat(F.lit("data/benchmarks/"), benchmark_id, F.lit(".json"))
+
 
-    ``overall`` and ``common`` are ranked report rows; ``runs`` has one row per source run.
+def source_runs(manifests: DataFrame, status: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per run for the summary: its identity, its participants, its status and their sample counts.
+
+    ``manifests``: public manifests with ``ord``, the place of the run in the summary. ``status``: ``runId`` and the fields of the
+    public status. ``counts``: ``run_id, participant_id, valid, expected, unresolved``, gathered per run in the order of its
+    participants, so they are bounded by these. A participant without counts has zeros.
+    """
+    samples = counts.groupBy(F.col("run_id").alias("runId")).agg(F.map_from_entries(F.collect_list(F.struct("participant_id", F.struct("valid", "expected", "unresolved")))).alias("_samples"))
+    shown = [name for name in status.columns if name not in ("runId", "judgeFailureRatesByParticipantLanguage")]
+    state = status.select("runId", F.struct(*shown).alias("runStatus"))
+    of = lambda p: F.element_at("_samples", p["participantId"])
+    zero = lambda value: F.coalesce(value, F.lit(0)).cast("bigint")
+    own = F.transform("participants", lambda p: F.struct(
+        p["participantId"].alias("participantId"), zero(of(p)["valid"]).alias("validSamples"), zero(of(p)["expected"]).alias("expectedSamples"),
+        zero(of(p)["unresolved"]).alias("unresolvedCells"),
+    ))
+    rows = manifests.join(state, "runId", "left").join(samples, "runId", "left")
+    fields = [name for name in manifests.columns if name not in ("ord", "runId", "participants")]
+    return rows.select(
+        "ord", "runId", benchmark_config(F.col("benchmarkId")).alias("benchmarkConfig"), *fields, F.col("participants").alias("participantSet"), "runStatus",
+        own.alias("participantSampleCounts"),
+    )
+
+
+def run_summary(
+    overall: DataFrame, common: DataFrame, runs: DataFrame, generated_at: str, with_legacy: bool, benchmark_id: str | None = None, common_cells: int | None = None,
+) -> DataFrame:
+    """One JSON document: runs, both leaderboards in rank order, how they are scored, caveats.
+
+    ``overall`` and ``common`` are ranked report rows; ``runs`` has one row per source run, in the order of its first column if
+    that is ``ord``. ``common_cells`` is the count that the run status gives, if it does; else the fullest common row counts.
     """
-    def board(rows: DataFrame, tag: str, columns: dict[str, str]) -> DataFrame:
-        entry = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-        return rows.agg(F.array_sort(F.collect_list(entry)).alias("rows")).select(F.lit(tag).alias("tag"), F.to_json("rows", {"ignoreNullFields": "false"}).alias("json"))
-
-    shared = {"rank": "rank", "participantId": "participant_id", "displayName": "participant_display_name", "meanPenalty": "mean_penalty"}
-    tail = {"benchmarkValid": "benchmark_valid", "caveat": "caveat", "sourceRunId": "source_run_id"}
-    parts = board(overall, "leaderboard", {**shared, "samples": "samples", **tail})
-    parts = parts.unionByName(board(common, "primaryCommonCellLeaderboard", {**shared, "commonCellSamples": "samples", "coverage": "coverage", **tail}))
-    parts = parts.unionByName(board(runs, "sourceRuns", {name: name for name in runs.columns}))
-    count = common.agg(F.coalesce(F.max("samples"), F.lit(0)).cast("string").alias("json")).select(F.lit("commonCellCount").alias("tag"), "json")
+    def board(rows: DataFrame, tag: str, columns: dict[str, Column]) -> DataFrame:
+        entry = F.struct(*[column.alias(name) for name, column in columns.items()])
+        text = F.to_json(entry, {"ignoreNullFields": "false"})
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(rows.columns[0] if "rank" not in rows.columns else "rank").alias("place"), text.alias("text"))))
+        joined = F.array_join(F.transform(ordered, lambda e: e["text"]), ",")
+        return rows.agg(F.concat(F.lit("["), joined, F.lit("]")).alias("json")).select(F.lit(tag).alias("tag"), "json")
+
+    def columns(**names: str) -> dict[str, Column]:
+        return {name: F.col(source) for name, source in names.items()}
+
+    shared = columns(rank="rank", participantId="participant_id", displayName="participant_display_name", meanPenalty="mean_penalty")
+    tail = columns(benchmarkValid="benchmark_valid", caveat="caveat", sourceRunId="source_run_id")
+    parts = board(overall, "leaderboard", {**shared, **columns(samples="samples"), **tail})
+    parts = parts.unionByName(board(common, "primaryCommonCellLeaderboard", {**shared, **columns(commonCellSamples="samples"), **tail, **columns(coverage="coverage")}))
+    parts = parts.unionByName(board(runs, "sourceRuns", {name: F.col(name) for name in runs.columns if name != "ord"}))
+    cells = F.coalesce(F.lit(common_cells).cast("bigint"), F.max("samples"), F.lit(0)).cast("string")
+    parts = parts.unionByName(common.agg(cells.alias("json")).select(F.lit("commonCellCount").alias("tag"), "json"))
     caveats = [*SUMMARY_CAVEATS, *([LEGACY_CAVEAT] if with_legacy else [])]
-    merged = parts.unionByName(count).agg(F.array_sort(F.collect_list(F.struct("tag", "json"))).alias("parts"))
+    merged = parts.agg(F.array_sort(F.collect_list(F.struct("tag", "json"))).alias("parts"))
     fields = F.transform("parts", lambda p: F.concat(F.lit('"'), p["tag"], F.lit('":'), p["json"]))
-    named = F.array_join(fields, ",")
-    fixed = F.to_json(F.struct(F.lit(generated_at).alias("generatedAtUtc"), F.lit(2).alias("reportVersion"), F.array(*[F.lit(c) for c in caveats]).alias("caveats")))
-    return merged.select(F.concat(F.regexp_replace(fixed, r"\}\z", ","), named, F.lit("}")).alias("value"))
+    scored = lambda metric, source: F.struct(F.lit(metric).alias("metric"), F.lit(True).alias("lowerIsBetter"), F.lit(source).alias("source"))
+    fixed = F.to_json(F.struct(
+        F.lit(generated_at).alias("generatedAtUtc"), F.lit(2).alias("reportVersion"), benchmark_config(F.lit(benchmark_id).cast("string")).alias("benchmarkConfig"),
+        F.array(*map(F.lit, PUBLIC_REPORTS)).alias("publicReports"), scored(*PRIMARY_SCORE).alias("primaryScore"), scored(*SECONDARY_SCORE).alias("secondaryScore"),
+        F.array(*map(F.lit, caveats)).alias("caveats"),
+    ))
+    return merged.select(F.concat(F.regexp_replace(fixed, r"\}\z", ","), F.array_join(fields, ","), F.lit("}")).alias("value"))
 
 
 def write_document_set(documents: DataFrame, root: str) -> int:

@@ -119,3 +119,15 @@ def test_compatibility(spark, mode, allowed, expected):
     row = F.struct(*table.columns)
     pair = table.where("runId = 'a'").select(row.alias("a")).join(table.where("runId = 'b'").select(row.alias("b")))
     assert set(manifests.compatibility(pair, mode, allowed).first().mismatches) == expected
+
+
+def test_public_status(spark):
+    texts = ['{}', '{"benchmarkValid":true,"reuseOnly":null,"totalExpected":1.5,"missingDeepLKeys":"a"}', '{"judgeFailureRatesByParticipantLanguage":{"a":{},"b":{"ok":2}}}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(manifests.public_status(F.col("t")).alias("s")).select("s.*").collect()
+    assert [r.benchmarkValid for r in rows] == [False, True, False] and [r.reuseOnly for r in rows] == [None, False, None]
+    assert rows[1].totalExpected == 1.5 and rows[1].missingDeepLKeys is None
+    groups = rows[2].judgeFailureRatesByParticipantLanguage
+    assert (groups["a"].ok, groups["a"].failed, groups["b"].ok) == (None, None, 2)
+    for bad in ("[]", "3", "no json", None):
+        with pytest.raises(Exception, match="must be an object"):
+            spark.createDataFrame([(bad,)], "t string").select(manifests.public_status(F.col("t")).alias("s")).collect()
