@@ -75,6 +75,21 @@ def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("sampleId").alias("sample_id"), F.col("speakerMode").alias("speaker_mode"), F.size("contextTurns").cast("bigint").alias("turns"), F.array_join("contextTurns.speakerRole", ",").alias("roles"))
 
 
+@query("s2_large_json_array", "SELECT sample_id, mode AS speaker_mode, CAST(n_turns AS BIGINT) AS turns, array_to_string(prior_roles, ',') AS roles FROM item_rows")
+def s2_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with every item over several lines, read by file splits."""
+    path = scratch_path(spark, "dataset")
+    items = runtime_items(fixtures.authored_items(spark, sf_dir))
+    part = F.floor(F.regexp_extract("sampleId", r"\d+", 0).cast("bigint") / 5_000)
+    text = lambda value: F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    entry = F.concat(F.lit('{"sampleId":'), text(F.col("sampleId")), F.lit(',\n  "speakerMode": '), text(F.col("speakerMode")), F.lit(',\n  "contextTurns":'), F.to_json("contextTurns"), F.lit("\n}"))
+    arrays = items.groupBy(part.alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    turn = "struct<speakerRole:string,relativeTimeLabel:string,sourceText:string>"
+    rows = files.read_large_json_array(spark, path, f"sampleId string, speakerMode string, contextTurns array<{turn}>")
+    return rows.select(F.col("sampleId").alias("sample_id"), F.col("speakerMode").alias("speaker_mode"), F.size("contextTurns").cast("bigint").alias("turns"), F.array_join("contextTurns.speakerRole", ",").alias("roles"))
+
+
 _BATCH_SQL = """
 SELECT sample_id, concat('ctx', CAST(n_turns AS VARCHAR), '-', mode, '-batch-', CASE WHEN b < 10 THEN '0' ELSE '' END, CAST(b AS VARCHAR)) AS batch_id
 FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY n_turns, mode ORDER BY conv_id, turn) - 1) / 12) AS BIGINT) + 1 AS b FROM item_rows)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from gridscore.session import path_exists
+from gridscore.session import path_exists, scratch_path
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -27,6 +27,63 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
     return texts.select(F.posexplode(rows).alias("pos", "item")).select("pos", "item.*")
 
 
+def read_large_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The elements of files that hold one array of objects each, read by many tasks: ``pos`` and the fields, like
+    :func:`read_json_array`; anything else stops the job.
+
+    A text value never goes over a line end in JSON, so the brackets that a line opens can be counted without its neighbours.
+    Sums of these per file split, then within a split, give the depth at which every line begins, and a line that begins between
+    elements cuts the file. Elements that go over the end of a split are put together from their parts, of which a split has
+    two at most. Positions come from counts in the same two levels. What is between two such lines is parsed at once, so an array on a single line is
+    the limit: it is one row of one task, as with ``read_json_array``.
+    """
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    outside = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '"[^"]*"', "")
+    count = lambda signs: F.length(F.regexp_replace(outside, f"[^{signs}]", ""))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"),
+        "value", (count(r"\[{") - count(r"\]}")).alias("opened"),
+    ).where(F.col("value").rlike(r"\S"))
+    first = F.min_by("value", "line")
+    splits = lines.groupBy("file", "split").agg(F.sum("opened").alias("opened"), first.alias("first"))
+    in_file = Window.partitionBy("file").orderBy("split")
+    whole = Window.partitionBy("file")
+    good = (F.first("first").over(in_file).rlike(r"^\s*\[")) & (F.sum("opened").over(whole) == 0)
+    depth = F.coalesce(F.sum("opened").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    checked = F.when(good, depth).otherwise(F.raise_error(F.lit("the dataset must be an array")).cast("bigint"))
+    begun = splits.select("file", "split", checked.alias("depth"))
+
+    in_split = Window.partitionBy("file", "split").orderBy("line")
+    before = F.col("depth") + F.coalesce(F.sum("opened").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(begun, ["file", "split"]).select("file", "split", "line", "value", before.alias("before"), (before + F.col("opened")).alias("after"))
+    placed = placed.withColumn("part", F.sum(F.when(F.col("before") <= 1, 1).otherwise(0)).over(in_split))
+    in_order = F.array_sort(F.collect_list(F.struct("line", "value")))
+    parts = placed.groupBy("file", "split", "part").agg(
+        F.array_join(F.transform(in_order, lambda e: e["value"]), "\n").alias("text"), F.min_by("before", "line").alias("before"), F.max_by("after", "line").alias("after"),
+    )
+    # Part 0 of a split goes on from the split before; an element still open in the end goes on in the next.
+    reaches = (F.col("part") == 0) | (F.col("after") > 1)
+    chain = F.sum(F.when(F.col("part") > 0, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("split", "part"))
+    joined = parts.where(reaches).withColumn("chain", chain).groupBy("file", "chain").agg(
+        F.min(F.struct("split", "part")).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "part", "text"))), lambda e: e["text"]), "\n").alias("text"),
+        F.min_by("before", F.struct("split", "part")).alias("before"), F.max_by("after", F.struct("split", "part")).alias("after"),
+    ).select("file", "at.split", "at.part", "text", "before", "after")
+    pieces = parts.where(~reaches).select("file", "split", "part", "text", "before", "after").unionByName(joined)
+    bare = F.when(F.col("before") == 0, F.regexp_replace("text", r"^\s*\[", "")).otherwise(F.col("text"))
+    bare = F.when(F.col("after") == 0, F.regexp_replace(bare, r"\]\s*\z", "")).otherwise(bare)
+    items = F.from_json(F.concat(F.lit("["), F.regexp_replace(bare, r"^[\s,]+|[\s,]+\z", ""), F.lit("]")), ArrayType(fields), {"mode": "FAILFAST"})
+    stored = scratch_path(spark, "array-parts")
+    pieces.select("file", "split", "part", items.alias("items"), (F.col("before") == 0).alias("outermost")).write.parquet(stored)
+    pieces = spark.read.parquet(stored)
+    counts = pieces.groupBy("file", "split").agg(F.sum(F.size("items")).alias("n"), F.count_if("outermost").alias("arrays"))
+    n = F.coalesce(F.sum("n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    one = F.when(F.sum("arrays").over(whole) == 1, n).otherwise(F.raise_error(F.lit("the dataset must be one array")).cast("bigint"))
+    earlier = counts.select("file", "split", one.alias("earlier"))
+    within = F.coalesce(F.sum(F.size("items")).over(Window.partitionBy("file", "split").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = pieces.join(earlier, ["file", "split"]).withColumn("base", F.col("earlier") + within)
+    return rows.select("base", F.posexplode("items").alias("at", "item")).select((F.col("base") + F.col("at")).alias("pos"), "item.*")
+
+
 def read_batches(spark: SparkSession, folder: str, item_schema: str, multi_line: bool = True) -> DataFrame:
     """Items of all batches of a folder, with file name and position as order.
 

@@ -1,6 +1,7 @@
 """Files: scans, sinks, versions, reports."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,39 @@ def test_json_array(spark, tmp_path):
         files.read_json_array(spark, other, "a int").collect()
 
 
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("indent", [None, 0, 2])
+def test_large_json_array(spark, tmp_path, small_splits, indent):
+    rnd = random.Random(indent)
+    odd = ["", "]},{[", '\\"]', "a\\\\", "é\u2028😀", "x" * 700, "\n\t"]
+    elements = [{"a": i, "b": {"c": rnd.choice(odd), "d": [[rnd.choice(odd)], []]}} for i in range(300)]
+    texts = [json.dumps(e, indent=indent, ensure_ascii=i % 2 == 0) for i, e in enumerate(elements)]
+    text = "[" + "".join(t + rnd.choice([",", ",\n", "\n,", ",\n\n  "]) for t in texts[:-1]) + texts[-1] + rnd.choice(["]", "\n]\n"])
+    path = write(tmp_path / "items.json", text)
+    schema = "a int, b struct<c:string,d:array<array<string>>>"
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    large = [(r.pos, r.a, r.b.c, r.b.d) for r in files.read_large_json_array(spark, path, schema).orderBy("pos").collect()]
+    assert large == [(i, e["a"], e["b"]["c"], e["b"]["d"]) for i, e in enumerate(elements)]
+    assert large == [(r.pos, r.a, r.b.c, r.b.d) for r in files.read_json_array(spark, path, schema).orderBy("pos").collect()]
+
+
+def test_what_is_no_array(spark, tmp_path, small_splits):
+    assert files.read_large_json_array(spark, write(tmp_path / "none.json", " \n[\n ]\n"), "a int").collect() == []
+    for name, text in (("object", '{"a":\n 1}'), ("open", '[\n{"a":1},\n'), ("word", "[\n{\"a\":1},\nx\n]"), ("more", '[\n{"a":1}\n]\n{"a":2}\n')):
+        with pytest.raises(Exception):
+            files.read_large_json_array(spark, write(tmp_path / f"{name}.json", text), "a int").collect()
+
+
 def test_batch_folder(spark, tmp_path):
     for name, ids in (("b2.json", ["x"]), ("b1.json", ["y", "z"])):
         write(tmp_path / "batches" / name, json.dumps({"datasetId": "d", "batchId": name[:2], "items": [{"sampleId": i} for i in ids]}, indent=2))
