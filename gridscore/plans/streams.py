@@ -31,19 +31,10 @@ EVENT_BYTES, FILE_BYTES = 256, 32 << 20
 
 
 def staged(spark: SparkSession, sf_dir: str, rows_per_file: int = FILE_BYTES // EVENT_BYTES) -> str:
-    """The event log as JSON files in a shared folder, written in the order of the log.
-
-    Each file is one range of ``seq`` and a write of its own, so the age of files follows the log: a file stream takes files
-    by age, and a watermark would drop a file that arrives after later ones.
-    """
+    """The event log as JSON files in a shared folder whose age follows the log."""
     path = scratch_path(spark, "events")
     log = fixtures.attempts(spark, sf_dir)
-    low, high, n = log.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0)), F.count("*")).first()
-    parts = max(1, -(-n // rows_per_file))
-    width = (high - low) // parts + 1
-    for part in range(parts):
-        rows = log.where(F.col("seq").between(low + part * width, low + (part + 1) * width - 1))
-        rows.repartition(1).sortWithinPartitions("seq").write.mode("append").options(ignoreNullFields="false", timestampFormat=streams.TIMESTAMP_FORMAT).json(path)
+    streams.write_ordered_log(log, path, "seq", -(-log.count() // rows_per_file))
     return path
 
 
@@ -209,15 +200,38 @@ def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_version(spark, out, "phase string, events bigint, succeeded bigint, failed bigint, retries bigint")
 
 
-@query("t4_failure_windows", """
+_WINDOW_SQL = """
 WITH f AS (SELECT bucket_key, CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) * 10000000 AS slot FROM attempts WHERE error_class IN ('rate_limit', 'server_overload'))
 SELECT bucket_key, slot - k * 10000000 AS window_start_us, count(*) AS failures FROM f, (VALUES (0),(1),(2),(3),(4),(5)) v(k) GROUP BY 1, 2
-""")
+"""
+
+
+@query("t4_failure_windows", _WINDOW_SQL)
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding minutes; the update with the highest batch holds the final count of a window. Rows too late for theirs are an error."""
     return failure_windows_of(spark, staged(spark, sf_dir), BYTES_PER_BATCH)
 
 
+@query("t4_late_failures", f"""
+WITH w AS ({_WINDOW_SQL}), half AS (SELECT *, seq % 5 = 0 AS held FROM attempts),
+clock AS (SELECT max(epoch_us(ts)) FILTER (NOT held) AS newest FROM half),
+l AS (SELECT bucket_key, CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) * 10000000 AS slot FROM half WHERE held AND error_class IN ('rate_limit', 'server_overload')),
+c AS (SELECT bucket_key, slot - k * 10000000 AS window_start_us, count(*) AS corrected FROM l, clock, (VALUES (0),(1),(2),(3),(4),(5)) v(k) WHERE slot - k * 10000000 + 60000000 <= newest - 600000000 GROUP BY 1, 2)
+SELECT bucket_key, window_start_us, failures, coalesce(corrected, 0) AS corrected FROM w LEFT JOIN c USING (bucket_key, window_start_us)
+""")
+def t4_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the log comes after all of the rest: windows are whole, and those that had ended are corrected."""
+    folder, out, checkpoint = scratch_path(spark, "events"), scratch_path(spark, "windows"), scratch_path(spark, "checkpoint")
+    log = fixtures.attempts(spark, sf_dir)
+    for held in (F.col("seq") % 5 != 0, F.col("seq") % 5 == 0):
+        log.where(held).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
+        # The first run takes all files of the first write in one micro-batch, so that what is late does not hang on their order.
+        streams.run_failure_windows(streams.event_stream(spark, folder, _EVENT), out, checkpoint).awaitTermination()
+    told = streams.corrections(spark, out).groupBy("bucket_key", "window_start_us").agg(F.sum("added").alias("corrected"))
+    rows = streams.failure_totals(spark, out).join(told, ["bucket_key", "window_start_us"], "left")
+    return rows.select("bucket_key", "window_start_us", "failures", F.coalesce("corrected", F.lit(0)).alias("corrected"))
+
+
 def failure_windows_of(spark: SparkSession, folder: str, bytes_per_batch: int) -> DataFrame:
     out = scratch_path(spark, "windows")
     windows = streams.failure_windows(streams.event_stream(spark, folder, _EVENT, bytes_per_batch=bytes_per_batch))

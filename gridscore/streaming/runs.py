@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -32,6 +34,27 @@ def event_stream(spark: SparkSession, folder: str, schema: StructType | str, byt
     return reader.json(folder)
 
 
+def write_ordered_log(events: DataFrame, folder: str, order: str, files: int) -> None:
+    """A log as JSON files whose age follows the column ``order``, by one job on all cores.
+
+    A file stream takes files by age, and a watermark drops what comes after later rows. Ranges of the log are sorted and written
+    together; then the times of the files are set in the order of their ranges, a millisecond apart, and read back: a store that
+    does not keep them is an error. The folder must be new. Only names of files come to the driver.
+    """
+    spark = events.sparkSession
+    dealt = events.repartitionByRange(max(1, files), order).sortWithinPartitions(order)
+    dealt.write.mode("errorifexists").options(ignoreNullFields="false", timestampFormat=TIMESTAMP_FORMAT).json(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = sorted(name for name in folder_names(spark, folder) if name.startswith("part-"))
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    begin = int(time.time() * 1000) - len(names)
+    for place, name in enumerate(names):
+        fs.setTimes(path(f"{folder}/{name}"), begin + place, -1)
+    kept = {status.getPath().getName(): status.getModificationTime() for status in fs.listStatus(path(folder))}
+    if any(kept[a] >= kept[b] for a, b in zip(names, names[1:])):
+        raise RuntimeError(f"the store of {folder} does not keep the times of files")
+
+
 def counters(events: DataFrame, keys: Sequence[str] = ("phase", "participant_id")) -> DataFrame:
     """Running counts per key. The same expression serves a batch and a stream (update mode)."""
     outcome = F.col("outcome")
@@ -62,10 +85,87 @@ def failure_windows(events: DataFrame, watermark: str = "10 minutes") -> DataFra
     )
 
 
+def failure_counts(events: DataFrame) -> DataFrame:
+    """Failures that throttle, per bucket and sliding minute, of a batch of events."""
+    throttled = events.where(F.col("error_class").isin("rate_limit", "server_overload"))
+    windows = throttled.groupBy(F.window("ts", "60 seconds", "10 seconds"), "bucket_key").agg(F.count(F.lit(1)).alias("failures"))
+    return windows.select(F.unix_micros("window.start").alias("window_start_us"), F.unix_micros("window.end").alias("window_end_us"), "bucket_key", "failures")
+
+
+def run_failure_windows(stream: DataFrame, folder: str, checkpoint: str, delay_ms: int = 600_000, every: str | None = None) -> StreamingQuery:
+    """Sliding failure windows that lose no row, however late it comes.
+
+    Every micro-batch adds its counts below ``folder/batch_id=N`` (overwritten on replay), so windows need no state and a late row
+    is one more addend. ``late`` tells addends of windows that ended more than ``delay_ms`` before the newest event of the
+    batches before: what readers of closed windows have to be told again. The newest event of each batch is kept beside them.
+    """
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        rows = rows.select("ts", "bucket_key", "error_class").persist()
+        try:
+            clocks = [name for name in folder_names(spark, f"{folder}/clock") if name.startswith("batch_id=") and int(name[9:]) < batch_id]
+            newest = None
+            if clocks:
+                newest = spark.read.schema("newest_us bigint, batch_id bigint").parquet(f"{folder}/clock").where(F.col("batch_id") < batch_id).agg(F.max("newest_us")).first()[0]
+            late = F.lit(False) if newest is None else F.col("window_end_us") <= newest - delay_ms * 1000
+            failure_counts(rows).withColumn("late", late).write.mode("overwrite").parquet(f"{folder}/counts/batch_id={batch_id}")
+            rows.agg(F.max(F.unix_micros("ts")).alias("newest_us")).write.mode("overwrite").parquet(f"{folder}/clock/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return _start(stream, each_batch, checkpoint, "append", every)
+
+
+def _addends(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "window_start_us bigint, window_end_us bigint, bucket_key string, failures bigint, late boolean, batch_id bigint"
+    if not folder_names(spark, f"{folder}/counts"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/counts")
+
+
+def failure_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """``bucket_key, window_start_us, failures`` of all windows, late rows included."""
+    return _addends(spark, folder).groupBy("bucket_key", "window_start_us").agg(F.sum("failures").alias("failures"))
+
+
+def corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows that were closed when late failures came: the batch, how many it added, and the count of the window after it."""
+    so_far = F.sum("failures").over(Window.partitionBy("bucket_key", "window_start_us").orderBy("batch_id"))
+    rows = _addends(spark, folder).withColumn("total", so_far).where("late")
+    return rows.select("batch_id", "bucket_key", "window_start_us", F.col("failures").alias("added"), "total")
+
+
 def _start(stream: DataFrame, each_batch, checkpoint: str, mode: str, every: str | None) -> StreamingQuery:
     writer = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    with _state_outside_the_heap(stream.sparkSession):
+        return writer.start()
+
+
+#: State lives in a store on the executors' disks, and a micro-batch sends its changes to the checkpoint, not the whole state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_outside_the_heap(spark: SparkSession) -> Iterator[None]:
+    """A query takes the settings of the session as it starts. One that has a checkpoint goes on with the store and the number of
+    partitions that are written there, whatever the session says. Settings that a user made are kept."""
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    own = before["spark.sql.streaming.stateStore.providerClass"] not in (None, default)
+    for name, value in STATE_STORE.items():
+        if not own:
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if not own:
+                spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def late_rows(query: StreamingQuery) -> int:

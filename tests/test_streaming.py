@@ -1,6 +1,7 @@
 """Streams against batches, and restarts."""
 
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,59 @@ def test_a_log_of_many_files_keeps_its_order_and_late_failures_fail(spark, tmp_p
         log.where(log.seq.isin(*hours)).coalesce(1).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(late)
     with pytest.raises(RuntimeError, match="too late"):
         plans.failure_windows_of(spark, late, bytes_per_batch=1)
+
+
+def failures(spark, folder, *hours):
+    for hour in hours:
+        at = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(hours=hour)
+        row = spark.createDataFrame([(at, "b", "rate_limit"), (at, "b", "other")], "ts timestamp, bucket_key string, error_class string")
+        row.coalesce(1).write.mode("append").option("timestampFormat", streams.TIMESTAMP_FORMAT).json(folder)
+
+
+def test_late_failures_are_corrections(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    schema = "ts timestamp, bucket_key string, error_class string"
+    run = lambda: streams.run_failure_windows(streams.event_stream(spark, folder, schema), out, checkpoint).awaitTermination()
+    failures(spark, folder, 1.0)
+    run()
+    assert streams.corrections(spark, out).count() == 0 and streams.failure_totals(spark, out).count() == 6
+    failures(spark, folder, 1.0 + 9 / 60)
+    run()
+    # Eleven minutes behind the newest event, in the windows of the first: six windows, each of them corrected by one.
+    failures(spark, folder, 1.0 - 2 / 60, 1.0)
+    run()
+    failures(spark, folder, 1.0 + 30 / 60)
+    run()
+    failures(spark, folder, 1.0)
+    run()
+    told = streams.corrections(spark, out).collect()
+    assert len(told) == 12 and {(r.batch_id, r.added, r.total) for r in told} == {(2, 1, 1), (4, 1, 3)}
+    totals = {r.window_start_us: r.failures for r in streams.failure_totals(spark, out).collect()}
+    assert len(totals) == 6 * 4 and sorted(totals.values()) == [1] * 18 + [3] * 6
+
+
+def test_an_ordered_log_is_one_job(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(500)], "seq bigint, item string").repartition(4)
+    streams.write_ordered_log(rows, folder, "seq", 50)
+    parts = sorted((tmp_path / "log").glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+    seen = [json.loads(line)["seq"] for part in parts for line in part.read_text().splitlines()]
+    assert seen == list(range(500)) and len(parts) > 40
+
+
+def test_state_is_kept_outside_the_heap_and_survives_other_partitions(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    kind = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for partitions, first, last in (("4", 0, 5), ("7", 3, 12)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            add(spark, folder, first, last)
+            query = streams.run_append(streams.event_stream(spark, folder, SCHEMA).select("stable_key"), out, checkpoint)
+            query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.stable_key for r in spark.read.parquet(out).collect()) == [f"k{i}" for i in range(7)]
+    assert any(name.startswith("rocksdb") for name in query.lastProgress.stateOperators[0].customMetrics)
+    assert list((tmp_path / "checkpoint" / "state").rglob("*.changelog"))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == kind
