@@ -9,7 +9,8 @@ confirmed links need no confirmation, so a group of many near copies costs about
 Documents of nodes that stay large for some levels first meet a few of the others only, which connects most of a large group.
 Then every tree is gone through again from its first nodes: one that holds documents of more than one group branches until it
 is compared exhaustively across these groups, when it became small enough for one task, or as it is, in pairs of blocks, when
-branching would not make the comparisons much fewer. Only nodes of one group are left out.
+branching would not make the comparisons much fewer. Only nodes of one group are left out. Such blocks hold the full sets: a task
+compares all pairs exactly and returns a spanning forest of the links between groups, never the pairs.
 
 Equal sets are one class from the start, so copies never meet pair by pair.
 """
@@ -30,6 +31,8 @@ from gridscore.llm import ragged
 from gridscore.llm.components import components, discard, stored
 
 TOKENS = 64
+#: Sets up to which the pairs of a shingle are counted one by one within a block, and shingles of one matrix.
+FEW_SETS, COLUMNS = 12, 2048
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,7 @@ class Settings:
     levels: int = 4  # after which larger nodes are first connected by leaders, parts and hubs
     leaders: int = 4  # random documents that all others of a node still large after these levels are compared with
     hubs: int = 16  # of a node still large after these levels, so many documents are compared with all others
-    block: int = 1000  # nodes compared exhaustively by one task after that; larger ones branch on or are cut into blocks
+    block: int = 1000  # nodes compared on full sets by one task after that; larger ones branch on or are cut into blocks
 
     @property
     def least_equal(self) -> int:
@@ -233,64 +236,86 @@ def hub_pairs(crowd: DataFrame, candidates: DataFrame, roots: DataFrame, sets: D
     return result
 
 
-def compare_block(settings: Settings):
-    """Pairs of one block, or of two blocks with each other, that are in different groups and worth confirming."""
-
-    def pairs(table: pa.Table) -> pa.Table:
+def shared_shingles(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles each two of ``n`` sets share; ``flat`` are the shingles of all sets, ``owner`` the sets they are of."""
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.full((n, n), np.count_nonzero(count == n), np.float32)
+    # Shingles of a few sets are counted pair by pair, those of many by matrix products, those of all and of one set not at all.
+    light = (count > 1) & (count <= FEW_SETS) & (count < n)
+    here = light[column]
+    order = np.argsort(column[here], kind="stable")
+    of, col = owner[here][order], column[here][order]
+    for step in range(1, min(FEW_SETS, n)):
+        same = np.flatnonzero(col[step:] == col[:-step])
+        for i, j in ((of[same], of[same + step]), (of[same + step], of[same])):
+            np.add.at(shared, (i, j), np.float32(1))
+    heavy = (count > FEW_SETS) & (count < n)
+    number = np.cumsum(heavy) - 1
+    here = heavy[column]
+    order = np.argsort(number[column[here]], kind="stable")
+    of, col = owner[here][order], number[column[here]][order]
+    for start in range(0, int(heavy.sum()), COLUMNS):
+        part = slice(*np.searchsorted(col, [start, start + COLUMNS]))
+        matrix = np.zeros((n, min(COLUMNS, int(heavy.sum()) - start)), np.float32)
+        matrix[of[part], col[part] - start] = 1
+        shared += matrix @ matrix.T
+    return shared
+
+
+def block_links(percent: int):
+    """The links of one block, or of two blocks with each other, that connect what was in different groups: a spanning forest, so
+    never more than it has rows. All pairs are compared on their full sets."""
+
+    def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        keys, roots = table.column("key").combine_chunks(), table.column("root").combine_chunks()
-        size, block = table.column("n_shingles").to_numpy(), table.column("block").to_numpy()
-        tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
-        group = roots.dictionary_encode().indices.to_numpy()
-        # All pairs of different groups have a member outside the largest group.
-        outside = group != np.bincount(group).argmax()
-        order = np.concatenate([np.flatnonzero(outside), np.flatnonzero(~outside)])
-        size, block, tokens, group = size[order], block[order], tokens[order], group[order]
-        two = block.min() != block.max()
-        found = [np.zeros((3, 0), np.int64)]
-        for at in range(0, int(outside.sum()), 32):
-            rows = slice(at, min(at + 32, int(outside.sum())))
-            here = np.arange(rows.start, rows.stop)[:, None]
-            fit = (np.arange(at, len(order)) > here) & (group[rows, None] != group[at:])
-            fit &= settings.percent * np.maximum(size[rows, None], size[at:]) <= 100 * np.minimum(size[rows, None], size[at:])
-            if two:
-                fit &= block[rows, None] != block[at:]
-            i, j = np.nonzero(fit)
-            equal = np.concatenate([np.zeros(0, np.int64), *((tokens[at + i[k : k + 8192]] == tokens[at + j[k : k + 8192]]).sum(1) for k in range(0, len(i), 8192))])
-            likely = equal >= settings.least_equal
-            found.append(np.stack([at + i[likely], at + j[likely], equal[likely]]))
-        i, j, equal = np.concatenate(found, 1)
-        return pa.table([keys.take(pa.array(order[i])), keys.take(pa.array(order[j])), pa.array(equal.astype(np.int32))], PAIR.names)
-
-    return pairs
-
-
-def blocked(rows: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of the ``nodes`` (node, n) of rows (node, key, root) that ``compare_block`` finds; nodes of more than a block
-    are dealt out as pairs of blocks."""
+        keys, sets = table.column("key").combine_chunks(), table.column("shingles").combine_chunks()
+        block, sizes = table.column("block").to_numpy(), np.diff(sets.offsets.to_numpy())
+        label = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        n = len(keys)
+        shared = shared_shingles(sets.flatten().to_numpy(), np.repeat(np.arange(n), sizes), n)
+        fit = 100 * shared >= percent * (sizes[:, None] + sizes - shared)
+        if block.min() != block.max():
+            fit &= block[:, None] != block
+        first, second = [], []
+        for i in range(n):
+            near = np.flatnonzero(fit[i])
+            near = near[label[near] != label[i]]
+            for j in near[np.unique(label[near], return_index=True)[1]]:
+                first.append(i)
+                second.append(j)
+            label[np.isin(label, label[near])] = label[i]
+        return pa.table([keys.take(pa.array(first, pa.int64())), keys.take(pa.array(second, pa.int64()))], ["a", "b"])
+
+    return links
+
+
+def blocked(rows: DataFrame, nodes: DataFrame, shingles: DataFrame, settings: Settings) -> DataFrame:
+    """What ``block_links`` finds in the ``nodes`` (node, n) of rows (node, key, root); nodes of more than a block are dealt out as
+    pairs of blocks."""
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
     dealt = rows.join(nodes.select("node", blocks.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
     met = dealt.select("node", "key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     part = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("part")
-    return met.select(part, "key", "root", "block").join(sets, "key").groupBy("part").applyInArrow(compare_block(settings), PAIR)
+    return met.select(part, "key", "root", "block").join(shingles, "key").groupBy("part").applyInArrow(block_links(settings.percent), "a binary, b binary")
 
 
-def crowd_pairs(large_first: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct pairs of different groups that large first nodes bring together: these branch until they are in blocks.
+def crowd_links(large_first: DataFrame, roots: DataFrame, sets: DataFrame, shingles_of, settings: Settings) -> DataFrame:
+    """Links between different groups that large first nodes bring together: these branch until they are in blocks.
 
-    A node that branching hardly divides is compared as it is, which finds all of its pairs: its children would need more than
-    four fifths of its comparisons.
+    A node that branching hardly divides is compared as it is, which finds all of its links: its children would need more than
+    four fifths of its comparisons. What stays quadratic in such a node is arithmetic within tasks, not rows.
     """
     rows = large_first.select("node", "key", "used").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rows = stored(rows.select(F.lit(0).cast("bigint").alias("parent"), "node", "used", "key", F.coalesce("root", "key").alias("root")), "crowd_rows")
     mixed = lambda rows: stored(rows.groupBy("parent", "node").agg(
         F.first("used").alias("used"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
     ).where("low <> high").drop("low", "high"), "crowd_nodes")
-    nodes, pairs = mixed(rows), []
-    used = [rows, nodes]
+    nodes, links = mixed(rows), []
+    shingles = shingles_of(rows.join(nodes.select("node"), "node").select("key"))
+    used = [rows, nodes, shingles]
     while True:
         whole = (F.col("n") <= settings.block) | (F.bit_count("used") >= TOKENS - 1)
-        pairs.append(blocked(rows, nodes.where(whole), sets, settings))
+        links.append(blocked(rows, nodes.where(whole), shingles, settings))
         large = nodes.where(~whole)
         if large.isEmpty():
             break
@@ -298,16 +323,15 @@ def crowd_pairs(large_first: DataFrame, roots: DataFrame, sets: DataFrame, setti
         below = mixed(children)
         work = below.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
         judged = stored(large.join(work, "node", "left").withColumn("divided", F.coalesce("work", F.lit(0.0)) <= 0.8 * F.col("n") * F.col("n")), "judged")
-        pairs.append(blocked(rows, judged.where("not divided"), sets, settings))
+        links.append(blocked(rows, judged.where("not divided"), shingles, settings))
         going = judged.where("divided").select(F.col("node").alias("parent"))
         rows = children
         nodes = stored(below.join(going, "parent"), "crowd_nodes")
         used += [children, below, judged, nodes]
-    found = pairs[0]
-    for more in pairs[1:]:
+    found = links[0]
+    for more in links[1:]:
         found = found.union(more)
-    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal")
-    result = stored(ordered.groupBy("a", "b").agg(F.max("equal").alias("equal")), "crowd_pairs")
+    result = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd_links")
     discard(*used)
     return result
 
@@ -385,12 +409,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             roots = stored(components(links), "roots")
             used.append(roots)
     if large_first is not None:
-        apart = crowd_pairs(large_first, roots, classes.select("key", "n_shingles", "tokens"), settings)
-        used += [large_first, apart]
-        if not apart.isEmpty():
-            shingles = shingles_of(ends(apart))
-            _, roots, more = connected(apart, links, shingles, settings.percent)
-            used += [shingles, *more]
+        fresh = crowd_links(large_first, roots, classes.select("key", "tokens"), shingles_of, settings)
+        used += [large_first, fresh]
+        if not fresh.isEmpty():
+            roots = stored(components(links.union(fresh)), "roots")
+            used.append(roots)
     member = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = stored(member.join(lowest, "root").select("key", "component_id"), "members")

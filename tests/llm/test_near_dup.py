@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from gridscore.llm import near_dup
-from gridscore.llm.components import components
+from gridscore.llm.components import components, stored
 
 
 def plain_components(links, nodes):
@@ -60,7 +61,7 @@ def shingles(text, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-@pytest.mark.parametrize(("percent", "small", "levels"), [(85, 24, 8), (80, 24, 8), (80, 4, 8)])
+@pytest.mark.parametrize(("percent", "small", "levels"), [(85, 24, 8), (80, 24, 8), (80, 4, 8), (85, 24, 4)])
 def test_equals_all_pairs(spark, percent, small, levels):
     texts = near_texts(percent + small)
     ids = [None if i == 12 else 1000 - i for i in range(len(texts))]
@@ -121,15 +122,36 @@ def test_pairs_in_a_large_family_are_found(spark):
     assert not wrong
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shared_shingles_are_counted(monkeypatch, seed):
+    monkeypatch.setattr(near_dup, "COLUMNS", 5)
+    monkeypatch.setattr(near_dup, "FEW_SETS", [2, 3, 12][seed % 3])
+    rnd = np.random.default_rng(seed)
+    sets = [np.unique(np.concatenate([[7, 8], rnd.integers(0, 40, rnd.integers(0, 30))])).astype(np.int64) for _ in range([1, 2, 9, 30, 31, 60][seed])]
+    found = near_dup.shared_shingles(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    expected = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    same = ~np.eye(len(sets), dtype=bool)
+    assert (found[same] == expected[same]).all()
+
+
 @pytest.mark.parametrize("block", [7, 50])
 def test_nodes_that_do_not_divide_are_compared_in_blocks(spark, block):
+    """Sets whose tokens do not tell them apart: the links that come back connect what all pairs would, and are no more than a forest of
+    each pair of blocks."""
     rnd = random.Random(block)
-    tokens = [[1] * 56 + [k] * 8 for k in range(40)] * 2
-    rows = [(str(i).encode(), 100 + i // 40, t) for i, t in enumerate(tokens)]
-    rnd.shuffle(rows)
-    sets = spark.createDataFrame(rows, near_dup.T.StructType([near_dup.T.StructField("key", near_dup.T.BinaryType()), near_dup.SET["n_shingles"], near_dup.SET["tokens"]]))
+    T = near_dup.T
+    tokens = [1] * 56 + list(range(8))
+    common = list(range(100))
+    shingles = {str(i).encode(): sorted({*common, *(rnd.randrange(1000 + 40 * (i % 9), 1040 + 40 * (i % 9)) for _ in range(rnd.choice([12, 18])))}) for i in range(80)}
+    rows = [(key, [t + (k if at >= 56 else 0) for at, t in enumerate(tokens)]) for k, key in enumerate(shingles)]
+    sets = spark.createDataFrame(rows, T.StructType([T.StructField("key", T.BinaryType()), near_dup.SET["tokens"]]))
     crowd = sets.selectExpr("5L as node", "key", "0L as used")
     roots = spark.createDataFrame([(b"0", b"0"), (b"1", b"0")], "node binary, root binary")
-    found = near_dup.crowd_pairs(crowd, roots, sets, near_dup.Settings(percent=85, block=block)).collect()
-    expected = {tuple(sorted((str(i).encode(), str(j).encode()))): 64 if i % 40 == j % 40 else 56 for i in range(80) for j in range(i) if (j, i) != (0, 1)}
-    assert {(bytes(r.a), bytes(r.b)): r.equal for r in found} == expected
+    table = spark.createDataFrame(list(shingles.items()), "key binary, shingles array<bigint>")
+    found = near_dup.crowd_links(crowd, roots, sets, lambda keys: stored(table.join(keys.distinct(), "key"), "s"), near_dup.Settings(percent=85, block=block)).collect()
+    pairs = [(a, b) for a in shingles for b in shingles if a < b and 100 * len({*shingles[a]} & {*shingles[b]}) >= 85 * len({*shingles[a]} | {*shingles[b]})]
+    links = [(bytes(r.a), bytes(r.b)) for r in found]
+    assert pairs and set(links) <= set(pairs)
+    assert plain_components([*links, (b"0", b"1")], shingles) == plain_components([*pairs, (b"0", b"1")], shingles)
+    blocks = -(-80 // block)
+    assert len(links) < 80 * blocks
