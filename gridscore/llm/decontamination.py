@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscore.llm import ragged
+from gridscore.llm.components import stored
 
 WINDOW = 10
 #: Search strings of one broadcast, in bytes of item text.
@@ -163,7 +164,7 @@ def search(column: pa.Array, tables: Sequence[Table]) -> tuple[np.ndarray, list[
     return np.diff(first), hits, items
 
 
-def item_windows(rows: Sequence[tuple[int, str | None]], width: int) -> dict[bytes, tuple[int, set[int]]]:
+def item_windows(rows: Sequence[tuple[int | None, str | None]], width: int) -> dict[bytes, tuple[int, set[int]]]:
     windows: dict[bytes, tuple[int, set[int]]] = {}
     if not rows:
         return windows
@@ -173,15 +174,17 @@ def item_windows(rows: Sequence[tuple[int, str | None]], width: int) -> dict[byt
         count = min(width, stop - start)
         for j in range(start, stop - count + 1) if count else ():
             end = begins[j + count] if j + count < stop else raw.index(b"\0", begins[stop - 1])
-            windows.setdefault(raw[begins[j] - 1 : end], (count, set()))[1].add(item)
+            found = windows.setdefault(raw[begins[j] - 1 : end], (count, set()))[1]
+            if item is not None:
+                found.add(item)
     return windows
 
 
-def blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of at most ``limit`` bytes (a longer item is a block of its own), one block on the driver at a time."""
-    block: list[tuple[int, str]] = []
+    block: list[tuple[int | None, str]] = []
     size = 0
-    rows = items.where(items[f"`{item_id}`"].isNotNull() & items[f"`{text}`"].isNotNull()).select(items[f"`{item_id}`"].cast("bigint"), items[f"`{text}`"])
+    rows = items.where(items[f"`{text}`"].isNotNull()).select(items[f"`{item_id}`"].cast("bigint"), items[f"`{text}`"])
     for item, value in rows.toLocalIterator():
         n = len(value.encode())
         if block and size + n > limit:
@@ -193,6 +196,13 @@ def blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[li
         yield block
 
 
+def at_least_one(rows: Iterator[list]) -> Iterator[list]:
+    """The blocks, or an empty one if there is none."""
+    first = next(rows, [])
+    yield first
+    yield from rows
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), item_id: str = "item_id", item_text: str = "text",
     width: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "found",
@@ -200,13 +210,18 @@ def find_items(
     """``carry`` columns and struct ``into``: ``n_words``, ``n_hit``, the positions of the hit words and the sorted item ids.
 
     A window is ``width`` consecutive words of an item; an item of fewer words is one window. Null texts have no words;
-    items with a null id or text, or without words, are never found; repeated items count once. Repeated rows of
-    ``docs`` stay. Texts are searched whole. Without items every text has ``n_hit`` 0.
+    items with a null text, or without words, are never found; words of items with a null id are hit, but no id is listed;
+    repeated items count once. Repeated rows of ``docs`` stay. Texts are searched whole. Without items every text has ``n_hit`` 0.
+
+    The driver holds one block of items. With more than one, what a block found is written before the next is read.
     """
     spark = docs.sparkSession
-    frame, partial = docs, None
+    frame, partial, shared = docs, None, None
     names = list(carry)
-    for block in [*blocks(items, item_id, item_text, block_bytes)] or [[]]:
+    for block in at_least_one(blocks(items, item_id, item_text, block_bytes)):
+        if partial:
+            frame = stored(frame, "found")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(build_tables(item_windows(block, width)))
         name = ragged.spare_name([*frame.columns, into], "_block")
 
