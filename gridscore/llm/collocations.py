@@ -31,11 +31,13 @@ from gridscore.llm.components import discard, stored
 #: Texts whose words are numbered together in a task.
 BLOCK_BYTES = 4 << 20
 #: Buckets of the phrases of one length and one of the two hashes: a byte or two each in a worker, one bit each in what is sent around.
-BUCKETS = 1 << 23
+BUCKETS = 1 << 22
 #: Hashes of a phrase; all of its buckets must reach the least count.
 HASHES = 2
 #: Buckets of one row while their counts are added up.
 CHUNK = 1 << 14
+#: Rows of bucket counts that a worker sends at once.
+CHUNKS_TOGETHER = 64
 #: Tasks whose counts are added up together before the rest.
 TASKS_TOGETHER = 64
 
@@ -141,16 +143,16 @@ def survey(least: int, longest: int, buckets: int, block_bytes: int):
                 for which in range(HASHES):
                     bucket, more = np.unique(windows.bucket(which), return_counts=True)
                     counted[bucket] = np.minimum(counted[bucket] + more, least)
-        chunks, packed = [], []
-        for chunk, start in enumerate(range(0, len(counted), CHUNK)):
-            part = counted[start : start + CHUNK]
-            if part.any():
-                chunks.append(chunk)
-                packed.append(pack(part))
-        n, tasks = len(chunks), TaskContext.get().partitionId() // TASKS_TOGETHER
-        yield pa.RecordBatch.from_arrays([
-            none(n, pa.string()), none(n, pa.string()), none(n, pa.int64()), pa.array(chunks, pa.int32()), pa.array([tasks] * n, pa.int32()), pa.array(packed, pa.binary()),
-        ], SURVEY.names)
+        tasks = TaskContext.get().partitionId() // TASKS_TOGETHER
+        step = CHUNK * CHUNKS_TOGETHER
+        for start in range(0, len(counted), step):
+            parts = {at // CHUNK: counted[at : at + CHUNK] for at in range(start, min(start + step, len(counted)), CHUNK)}
+            packed = {chunk: pack(part) for chunk, part in parts.items() if part.any()}
+            n = len(packed)
+            yield pa.RecordBatch.from_arrays([
+                none(n, pa.string()), none(n, pa.string()), none(n, pa.int64()), pa.array(list(packed), pa.int32()), pa.array([tasks] * n, pa.int32()),
+                pa.array(list(packed.values()), pa.binary()),
+            ], SURVEY.names)
 
     return run
 
