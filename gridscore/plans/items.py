@@ -129,6 +129,17 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.bucket_balance(fixtures.items(spark, sf_dir))
 
 
+@query("p18_scaffold_totals", f"""
+WITH {_GRID},
+b AS (SELECT CAST(sum(coalesce(expected, 0)) AS BIGINT) AS expected, CAST(sum(coalesce(actual, 0)) AS BIGINT) AS actual,
+  count(*) FILTER (coalesce(expected, 0) <> coalesce(actual, 0)) AS unbalanced FROM plan FULL JOIN have USING (n, mode, expectation, phenomenon)),
+r AS (SELECT count(*) AS repeated FROM (SELECT sample_id FROM item_rows GROUP BY 1 HAVING count(*) > 1))
+SELECT *, expected = actual AND unbalanced = 0 AND repeated = 0 AS complete FROM b, r
+""")
+def p18_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scaffold_totals(fixtures.items(spark, sf_dir))
+
+
 @query("x28_bucket_keys", """
 SELECT sample_id, concat(CAST(n_turns AS VARCHAR), '::', mode, '::', expectation, '::', phenomenon) AS bucket,
   concat('ctx', CAST(n_turns AS VARCHAR), '-', mode) AS structural FROM item_rows

@@ -310,6 +310,22 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM gridscore_parsed""")
 
 
+@query("f2_sql_parse", """
+SELECT stable_key, status = 'ok' AS readable, CASE WHEN status = 'ok' THEN context_behavior END AS behavior,
+  CASE WHEN status = 'ok' THEN CAST(critical_count + major_count + minor_count AS BIGINT) END AS errors,
+  CASE WHEN status = 'ok' THEN CAST(25 * critical_count + 5 * major_count + minor_count AS BIGINT) END AS penalty
+FROM judgments
+""")
+def f2_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts read and scored in SQL alone."""
+    annotating.register_sql_functions(spark)
+    spread(fixtures.judgments(spark, sf_dir).select("stable_key", "raw_judge_output")).createOrReplaceTempView("gridscore_texts")
+    return spark.sql("""
+        SELECT stable_key, p.problem IS NULL AS readable, CASE WHEN p.problem IS NULL THEN p.behavior END AS behavior,
+          CASE WHEN p.problem IS NULL THEN CAST(size(p.errors) AS BIGINT) END AS errors, CASE WHEN p.problem IS NULL THEN annotation_penalty(p.errors) END AS penalty
+        FROM (SELECT stable_key, parse_annotation(raw_judge_output) AS p FROM gridscore_texts)""")
+
+
 @query("f3_error_table_function", """
 SELECT error_class, severity, CAST(sum(n) AS BIGINT) AS errors FROM (
   SELECT 'accuracy/mistranslation' AS error_class, 'critical' AS severity, critical_count AS n FROM judgments WHERE status = 'ok'

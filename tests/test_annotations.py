@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscore.functions.annotations import is_complete_annotation, parse_annotation, parse_response
-from gridscore.operators.annotate import register_error_table_function
+from gridscore.operators.annotate import register_error_table_function, register_sql_functions
 from gridscore.operators.normalize import flatten_summary, normalize, remaining_failures, repair
 
 CLEAN = "Critical:\nno-error\nMajor:\nno-error\nMinor:\nno-error\ncontextBehavior: used_correctly"
@@ -60,6 +60,23 @@ def test_table_function_agrees(spark):
     assert found == {i: m[1] for i, m in enumerate(MATRIX) if m[1]}
 
 
+def test_sql_functions_agree_with_columns(spark):
+    """``parse_annotation`` of SQL and of columns give equal rows; neither SQL form leaves the JVM or joins texts."""
+    texts = [(i, m[0]) for i, m in enumerate(MATRIX)] + [(-1, None), (-2, ""), (-3, "Major:\n" + 'fluency/grammar - "x"\n' * 5000)]
+    spark.createDataFrame(texts, "n int, text string").createOrReplaceTempView("sql_texts")
+    register_sql_functions(spark)
+    register_error_table_function(spark, "sql_errors")
+    both = spark.table("sql_texts").select("n", F.expr("parse_annotation(text)").alias("s"), parse_annotation(F.col("text")).alias("c"))
+    rows = both.collect()
+    assert len(rows) == len(texts) and all(r.s == r.c for r in rows)
+    listed = spark.sql("SELECT n, e.* FROM sql_texts, LATERAL sql_errors(text) e")
+    assert listed.where("n = -3").count() == 5000
+    for frame in (both, listed):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        assert "Join" not in plan and "Exchange" not in plan
+
+
 ERROR = {"severity": "major", "class": "other", "target_span_text": "x", "source_span_text": None}
 STORED = [
     ({"has_no_error": True, "errors": []}, True),
