@@ -593,6 +593,30 @@ def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.correlate(judged.select("stable_key", "custom_id"), spread(results)).select("stable_key", "problem")
 
 
+@query("j22_batch_costs", """
+WITH r AS (SELECT stable_key, event_id, status = 'ok' AND event_id % 29 <> 0 AND event_id % 31 <> 0 AS ok FROM judgments)
+SELECT stable_key, CASE WHEN event_id % 2 = 0 THEN 'old-' ELSE 'new-' END AS scheme, ok,
+  CASE WHEN ok AND event_id % 5 <> 0 THEN ROUND(CAST(((900 + event_id % 4000) * 187500 + (event_id % 700 + CASE WHEN event_id % 3 = 0 THEN 50 ELSE 0 END) * 937500 + 500000) // 1000000 AS BIGINT) / 1000000.0, 6) END AS cost_usd
+FROM r
+""")
+def j22_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a stored map (half of an older scheme), results under these ids, and the cost of every good line."""
+    event = F.col("event_id")
+    judged = fixtures.judgments(spark, sf_dir).select("event_id", "stable_key", "raw_judge_output")
+    scheme = F.when(event % 2 == 0, "old-").otherwise("new-")
+    id_map = judged.select("stable_key", F.concat(scheme, F.sha2("stable_key", 256)).alias("custom_id"))
+    requests = batches.with_custom_ids(judged.select("stable_key"), F.lit(None).cast("string"), id_map, jobs_recorded=True)
+    copies = F.array_repeat(F.lit(1), F.when(event % 31 == 0, 0).when(event % 29 == 0, 2).otherwise(1))
+    results = judged.select(
+        F.concat(scheme, F.sha2("stable_key", 256)).alias("custom_id"), F.lit(None).cast("string").alias("error"), F.lit(200).alias("status_code"),
+        F.col("raw_judge_output").alias("content"), F.lit(True).alias("has_response"), F.lit("openrouter-batch").alias("provider"),
+        F.lit("google/gemini-3.7-flash:batch").alias("model"), F.when(event % 5 != 0, 900 + event % 4000).alias("input_tokens"),
+        (event % 700).alias("output_tokens"), F.when(event % 3 == 0, 50).alias("reasoning_tokens"), F.explode(copies).alias("_"),
+    ).drop("_")
+    found = batches.correlate(requests, spread(results))
+    return found.select("stable_key", F.substring("custom_id", 1, 4).alias("scheme"), "ok", F.col("cost_usd").cast("double").alias("cost_usd"))
+
+
 @query("j22_id_map_problems", """
 SELECT 'shared id' AS problem, concat('c', CAST(user_id AS VARCHAR)) AS id FROM events GROUP BY user_id HAVING count(*) > 1
 """)

@@ -95,6 +95,41 @@ def test_batch_outcomes(spark):
     assert found == {"a": None, "b": "duplicate result line", "c": "both response and error", "d": "response status 404", "e": "invalid annotation", "f": "no result"}
 
 
+def test_batch_usage_and_costs(spark):
+    text = "Critical:\nno-error\nMajor:\nno-error\nMinor:\nno-error\ncontextBehavior: unclear"
+    schema = "custom_id string, error string, status_code int, content string, has_response boolean, provider string, model string, input_tokens int, output_tokens int, reasoning_tokens int"
+    usage = ("openrouter-batch", "google/gemini-3.7-flash", 1_000_000, 1_000, None)
+    rows = [("a", None, 200, text, True, *usage), ("b", None, 500, text, True, *usage), *[("c", None, 200, text, True, *usage)] * 3, (None, None, 200, text, True, *usage)]
+    requests = spark.createDataFrame([(f"k{x}", x) for x in "abcd"], "stable_key string, custom_id string")
+    found = {r.custom_id: (r.problem, r.cost_usd and float(r.cost_usd), r.cost_status) for r in batches.correlate(requests, spark.createDataFrame(rows, schema)).collect()}
+    assert found == {"a": (None, 0.188438, "estimated"), "b": ("response status 500", None, "unknown"), "c": ("duplicate result line", None, "unknown"), "d": ("no result", None, "unknown")}
+    assert batches.correlate(requests, spark.createDataFrame([], schema)).where("problem = 'no result'").count() == 4
+
+
+def test_stored_ids_win_and_must_cover_every_request(spark):
+    requests = spark.createDataFrame([("1",), ("2",), ("2",)], "stable_key string")
+    derived = F.concat(F.lit("new-"), F.col("stable_key"))
+
+    def ids(entries, keys=requests, **options):
+        id_map = None if entries is None else spark.createDataFrame(entries, "stable_key string, custom_id string")
+        return {r.stable_key: r.custom_id for r in batches.with_custom_ids(keys, derived, id_map, **options).collect()}
+
+    assert ids(None) == {"1": "new-1", "2": "new-2"}
+    assert ids([("1", "a"), ("2", "b"), ("3", "c")], jobs_recorded=True) == {"1": "a", "2": "b"}
+    assert ids([("1", "a"), ("2", "b"), ("2", "b")]) == {"1": "a", "2": "b"}
+    with pytest.raises(ValueError):
+        ids(None, jobs_recorded=True)
+    for entries, message in (
+        ([("1", "a")], "does not cover a key: 2"), ([("1", "a"), ("2", " ")], "blank id for a key: 2"), ([("1", "a"), ("2", "b"), ("2", None)], "blank id"),
+        ([("1", "a"), ("2", "b"), ("2", "c")], "two ids for a key: 2"), ([("1", "a"), ("2", "a")], "shared by keys"),
+    ):
+        with pytest.raises(Exception, match=message):
+            ids(entries)
+    texts = spark.createDataFrame([("1", "x"), ("1", "y")], "stable_key string, stable string")
+    with pytest.raises(Exception, match="two ids for a key: 1"):
+        batches.with_custom_ids(texts, F.col("stable")).collect()
+
+
 def test_id_map(spark):
     id_map = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), (" ", "3"), ("c", None)], "custom_id string, stable_key string")
     assert {(r.problem, r.id) for r in batches.id_map_problems(id_map).collect()} >= {("shared id", "a"), ("two ids for a key", "1"), ("blank entry", " "), ("blank entry", "c")}
