@@ -129,6 +129,29 @@ def scaffold_totals(items: DataFrame) -> DataFrame:
     return both.withColumn("complete", (F.col("expected") == F.col("actual")) & (F.col("unbalanced") == 0) & (F.col("repeated") == 0))
 
 
+def scaffold_problems(existing: DataFrame, plan: DataFrame) -> DataFrame:
+    """What keeps ``existing`` from being an untouched scaffold of ``plan``: ``sampleId, problem``, one row per id.
+
+    Both are gathered by id once, as counts. Ids that are missing, not planned, recorded or planned twice, whose locked
+    fields differ from the plan, or that somebody has filled are reported, in this order of precedence. A null id counts
+    as an id; two empty tables have no problem.
+    """
+    touched = violations(existing, pristine_rules()).select("sampleId", "locked", (F.size("violations") > 0).alias("touched"), F.lit(0).alias("planned"))
+    planned = plan.select("sampleId", "locked", F.lit(False).alias("touched"), F.lit(1).alias("planned"))
+    ids = touched.unionByName(planned).groupBy("sampleId").agg(
+        F.sum("planned").alias("planned"), F.sum(1 - F.col("planned")).alias("seen"), F.bool_or("touched").alias("touched"),
+        F.min("locked").alias("_low"), F.max("locked").alias("_high"), F.count_distinct(F.isnull("locked")).alias("_kinds"),
+    )
+    problem = (
+        F.when(F.col("planned") == 0, "unexpected")
+        .when(F.col("seen") == 0, "missing")
+        .when((F.col("seen") > 1) | (F.col("planned") > 1), "duplicate")
+        .when((F.col("_low") != F.col("_high")) | (F.col("_kinds") > 1), "locked fields differ")
+        .when(F.col("touched"), "not pristine")
+    )
+    return ids.select("sampleId", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 def locked_mismatches(items: DataFrame, manifest: DataFrame) -> DataFrame:
     """Items whose locked metadata differ from the manifest, or that it does not know."""
     planned = manifest.select("sampleId", F.col("locked").alias("_planned"))

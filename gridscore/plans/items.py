@@ -56,8 +56,8 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(F.col("sampleId").alias("sample_id"), F.array_join("violations", ", ").alias("violations"))
 
 
-def scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Authored items of which every third is still an empty scaffold."""
+def scaffold(spark: SparkSession, sf_dir: str, filled: bool = True) -> DataFrame:
+    """Authored items of which every third, or (``filled=False``) every one, is still an empty scaffold."""
     number = F.col("conv_id") + F.col("turn")
     blank_turn = F.struct(F.lit("self").alias("speakerRole"), F.lit(None).cast("string").alias("relativeTimeLabel"), F.lit("").alias("sourceText"))
     blank = F.struct(
@@ -69,7 +69,7 @@ def scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<string>").alias("commonFailureModes"),
         F.lit("").alias("validationNotes"),
     )
-    empty = number % 3 == 0
+    empty = number % 3 == 0 if filled else F.lit(True)
     return fixtures.authored_items(spark, sf_dir).select(
         "sampleId", "locked", F.when(empty, "todo").otherwise(F.col("status")).alias("status"),
         F.when(empty, blank).otherwise(F.col("fill")).alias("fill"), "conv_id", "turn",

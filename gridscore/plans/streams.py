@@ -9,7 +9,7 @@ from gridscore import domain, fixtures
 from gridscore.functions.annotations import parse_annotation
 from gridscore.operators import annotate as annotating
 from gridscore.operators import runs
-from gridscore.operators.items import runtime_items
+from gridscore.operators.items import runtime_items, scaffold_problems
 from gridscore.operators.normalize import normalize, repair
 from gridscore.plans.annotations import METADATA, parsed
 from gridscore.plans.common import spread
@@ -171,6 +171,33 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("sampleId string, batch_id string").json(root).select(F.col("sampleId").alias("sample_id"), "batch_id")
 
 
+@query("s13_scaffold_set", f"""
+SELECT b.sample_id, b.batch_id, CAST(i.n_turns AS BIGINT) AS turns, 'todo' AS status, number % 3 <> 0 AS edited FROM ({_BATCH_SQL}) b JOIN item_rows i USING (sample_id)
+""")
+def s13_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest and batches written, written again while untouched, refused once authors have filled items."""
+    root = scratch_path(spark, "scaffold-set")
+
+    def numbered(items: DataFrame) -> DataFrame:
+        placed = batches(items.select("*", "locked.contextTurnCount", "locked.speakerMode"), 12)
+        return placed.select("sampleId", "locked", "status", "fill", "batch_id", "bucket")
+
+    plan, edited = numbered(scaffold(spark, sf_dir, filled=False)), numbered(scaffold(spark, sf_dir))
+    files.write_scaffold_set(plan, root, "context", by="bucket")
+    files.write_scaffold_set(plan, root, "context", by="bucket")
+    manifest = files.read_scaffold(spark, root, "manifest", "sampleId string, batch_id string, locked struct<contextTurnCount:bigint>")
+    untouched = files.read_scaffold(spark, root, "batches", "sampleId string, status string")
+    files.write_scaffold_set(edited, root, "context", force=True, by="bucket")
+    try:
+        files.write_scaffold_set(plan, root, "context", by="bucket")
+    except ValueError:
+        problems = scaffold_problems(files.read_scaffold(spark, root, "batches", plan.schema), plan)
+    else:
+        raise RuntimeError("edited batches were overwritten")
+    marked = manifest.join(untouched, "sampleId").join(problems, "sampleId", "left")
+    return marked.select(F.col("sampleId").alias("sample_id"), "batch_id", F.col("locked.contextTurnCount").alias("turns"), "status", F.col("problem").eqNullSafe(F.lit("not pristine")).alias("edited"))
+
+
 _COUNTER_SQL = """count(*) AS events, count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome = 'failure') AS failed, count(*) FILTER (outcome = 'retry') AS retries"""
 
 

@@ -200,3 +200,35 @@ def write_scaffold(items: DataFrame, existing: DataFrame | None, root: str, forc
         if not touched.isEmpty():
             raise ValueError("existing batches are not a pristine scaffold; use force to replace them")
     items.repartition(by).write.mode("overwrite").partitionBy(by).option("ignoreNullFields", "false").json(root)
+
+
+def read_scaffold(spark: SparkSession, root: str, part: str, schema: StructType | str) -> DataFrame:
+    """``manifest`` or ``batches`` of the newest complete scaffold below ``root``; an empty table if there is none."""
+    return read_jsonl(spark, f"{root}/version={latest_version(spark, root)}/{part}", schema)
+
+
+def write_scaffold_set(items: DataFrame, root: str, dataset: str, force: bool = False, by: str = "batch_id") -> int:
+    """Write a scaffold as a new version below ``root``: ``manifest`` (one line per item: ``datasetId, sampleId, locked`` and
+    the batch) and ``batches`` (a folder per value of ``by``). A marker written last makes both visible at once, and the
+    versions before are the backups.
+
+    ``items`` is the plan, with ``sampleId, locked, status, fill``. Unless forced, the batches that are there now must be an
+    untouched scaffold of the same plan (:func:`~gridscore.operators.items.scaffold_problems`); no batches are no
+    obstacle. The driver sees at most three of the ids that are not.
+    """
+    from gridscore.operators.items import scaffold_problems
+
+    spark = items.sparkSession
+    number = latest_version(spark, root) + 1
+    if not force and number > 1:
+        existing = read_scaffold(spark, root, "batches", items.schema)
+        found = scaffold_problems(existing, items).take(3) if existing.take(1) else []
+        if found:
+            named = ", ".join(f"{row.sampleId} ({row.problem})" for row in found)
+            raise ValueError(f"existing batches are not a pristine scaffold of this plan: {named}; use force to replace them")
+    folder = f"{root}/version={number}"
+    manifest = items.select(F.lit(dataset).alias("datasetId"), "sampleId", "locked", *dict.fromkeys(["batch_id", by]))
+    manifest.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/manifest")
+    write_scaffold(items, None, f"{folder}/batches", by=by)
+    write_marker(spark, root, number)
+    return number

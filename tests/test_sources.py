@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscore.functions.csvcells import csv_lines
-from gridscore.operators.items import pristine_rules, violations
+from gridscore.operators.items import pristine_rules, scaffold_problems, violations
 from gridscore.sources import files, reports
 
 
@@ -124,6 +124,27 @@ def test_scaffold_is_not_overwritten_once_edited(spark, tmp_path):
     assert spark.read.schema(ITEM).json(root).count() == 1
 
 
+def test_scaffold_set_is_gated_by_its_plan(spark, tmp_path):
+    root = str(tmp_path / "set")
+    items = lambda *rows: spark.createDataFrame(list(rows), ITEM)
+    plan = items(item("a"), item("b"))
+    changed = {**item("b"), "locked": {"contextTurnCount": 2}}
+    for existing, wanted in (
+        (items(item("a")), {"b": "missing"}), (items(item("a"), item("b"), item("c")), {"c": "unexpected"}), (items(item("a"), item("a"), item("b")), {"a": "duplicate"}),
+        (items(item("a"), changed), {"b": "locked fields differ"}), (items(item("a"), item("b", validationNotes="x")), {"b": "not pristine"}), (plan, {}),
+        (items({**item("a"), "sampleId": None}, item("b")), {"a": "missing", None: "unexpected"}), (items(item("a"), {**item("b"), "locked": None}), {"b": "locked fields differ"}),
+    ):
+        assert {r.sampleId: r.problem for r in scaffold_problems(existing, plan).collect()} == wanted
+    assert scaffold_problems(items(), items()).count() == 0
+    assert files.read_scaffold(spark, root, "batches", ITEM).count() == 0
+    assert files.write_scaffold_set(plan, root, "d") == 1 and files.write_scaffold_set(plan, root, "d") == 2
+    assert files.write_scaffold_set(items(item("a", validationNotes="x"), item("b")), root, "d", force=True) == 3
+    with pytest.raises(ValueError, match="a \\(not pristine\\)"):
+        files.write_scaffold_set(plan, root, "d")
+    lines = files.read_scaffold(spark, root, "manifest", "datasetId string, sampleId string, batch_id string").collect()
+    assert {tuple(r) for r in lines} == {("d", "a", "b-01"), ("d", "b", "b-01")} and files.latest_version(spark, root) == 3
+
+
 def test_keyed_report_in_both_shapes(spark, tmp_path):
     path = write(tmp_path / "report.json", json.dumps({
         "en": [{"participant_id": "a", "mean_penalty": 1.5, "samples": 2}, {"participant_id": "b", "participant_display_name": "B", "mean_penalty": "x", "samples": "9", "failed_samples": 1}],
