@@ -4,6 +4,9 @@ Judgments are read once; what reports need of them is written narrow. That is re
 of slice values. Grouping sets over this small table, and the common cells, give scores per participant for every kind of report and every key in it; these are gathered per key (as
 many entries as there are participants), then per kind, and all documents are put together in one row. Participants and
 languages come in the given order, other keys in natural order.
+
+Lists of failed samples alone grow with the run. They are cut in order into bounded parts: a document that lists more goes on in
+further rows with ``part`` 1, 2, ..., each a JSON document of the same form that holds the next samples of every language.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from gridscore import domain
 from gridscore.functions.keys import natural_key
 from gridscore.operators.grid import Participant, participant_array
 from gridscore.operators.reports import common_cell_rows, slice_keys
+from gridscore.operators.windows import row_numbers
 from gridscore.session import scratch_path
 
 # The report files, and the slices of those that are keyed by a slice.
@@ -32,8 +36,8 @@ REPORTS = (
     "summary-overall.penalty", "summary-overall.penalty.common-cell", "leaderboard.by-language.common-cell", "leaderboard.by-context-expectation.common-cell",
     "summary-overall.normalized", *SLICE_REPORTS.values(), "context-behavior.counts", "context-behavior.rates", "cost-summary", "cost-by-model",
 )
-#: Failed samples of one document; a run with more is not written as one, see ``failed_entries``.
-MOST_FAILURES = 100_000
+#: Failed samples of a language in one part of a document; what is more goes on in the next part.
+FAILURES_PER_PART = 20_000
 
 _COUNTS = ("samples", "failed_samples", *domain.SEVERITY_POINTS, *domain.BEHAVIORS, "use", "missed", "ignore", "misused")
 _SCORES = "struct<mean_penalty:double," + ",".join(f"{name}:bigint" for name in _COUNTS) + ",classes:map<string,bigint>>"
@@ -121,22 +125,34 @@ def error_scores(judgments: DataFrame) -> DataFrame:
     )
 
 
-def failed_entries(judgments: DataFrame, people: Sequence[Participant], most: int = MOST_FAILURES) -> DataFrame:
-    """Per language the failed samples as one array (``key, failures``), an error above ``most`` in all.
+def failed_entries(
+    judgments: DataFrame, people: Sequence[Participant], languages: Sequence[str] = domain.LANGUAGES, per_part: int = FAILURES_PER_PART, most: int | None = None,
+) -> DataFrame:
+    """The failed samples as JSON arrays of at most ``per_part`` (``key, part, text``), in order per language (``key``).
 
-    The limit is checked on counts before anything is gathered. Above it, write ``reports.failed_samples`` as lines.
+    Samples are ranged over the tasks, stored, and numbered by the counts of the ranges before them, so no task holds all of a
+    language. ``most``: an error if there are more in all, checked on counts before anything is gathered.
     """
     named = F.map_from_arrays(participant_array(people)["participant_id"], participant_array(people)["participant_display_name"])
-    failed = judgments.where(F.col("status") == "judge_failed")
-    total = failed.agg(F.count(F.lit(1)).alias("_total"))
-    fits = F.when(F.col("_total") <= most, True).otherwise(
-        F.raise_error(F.concat(F.col("_total").cast("string"), F.lit(f" failed samples are too many for one document (at most {most})"))).cast("boolean")
-    )
-    # The count is one row; joined first, it stops a run that is too large before its samples meet.
+    failed = judgments.where((F.col("status") == "judge_failed") & F.col("target_language").isin(*languages))
     entry = F.struct("participant_id", F.coalesce(F.element_at(named, F.col("participant_id")), "participant_id").alias("participant_display_name"), "source_id", "stable_key")
-    rows = failed.select("target_language", entry.alias("entry"), F.lit(1).alias("_one")).join(total.select(F.lit(1).alias("_one"), fits.alias("_fits")), "_one").where("_fits")
-    return rows.groupBy(F.col("target_language").alias("key")).agg(
-        F.array_sort(F.collect_list("entry"), _ordered("stable_key", "participant_id")).alias("failures")
+    rows = failed.select(F.col("target_language").alias("key"), "stable_key", "participant_id", entry.alias("entry"))
+    if most is not None:
+        total = failed.agg(F.count(F.lit(1)).alias("_total"))
+        fits = F.when(F.col("_total") <= most, True).otherwise(
+            F.raise_error(F.concat(F.col("_total").cast("string"), F.lit(f" failed samples are too many for one document (at most {most})"))).cast("boolean")
+        )
+        # The count is one row; joined first, it stops a run that is too large before its samples meet.
+        rows = rows.withColumn("_one", F.lit(1)).join(total.select(F.lit(1).alias("_one"), fits.alias("_fits")), "_one").where("_fits").drop("_one", "_fits")
+    path = scratch_path(judgments.sparkSession, "failed-samples")
+    last = [F.col(name).asc_nulls_last() for name in ("stable_key", "participant_id")]
+    rows.repartitionByRange("key", *last).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    stored = judgments.sparkSession.read.parquet(path).withColumns({f"_no_{name}": F.col(name).isNull() for name in ("stable_key", "participant_id")})
+    order = ["_range", "_no_stable_key", "stable_key", "_no_participant_id", "participant_id"]
+    numbered = row_numbers(stored, ["key"], order, "_number", width=1)
+    parts = numbered.groupBy("key", F.floor((F.col("_number") - 1) / per_part).cast("int").alias("part"))
+    return parts.agg(F.array_sort(F.collect_list(F.struct("_number", "entry"))).alias("_rows")).select(
+        "key", "part", F.to_json(F.transform("_rows", lambda r: r["entry"])).alias("text")
     )
 
 
@@ -174,9 +190,12 @@ def _json(**fields: Column) -> Column:
 
 def report_documents(
     judgments: DataFrame, people: Sequence[Participant], languages: Sequence[str] = domain.LANGUAGES, status: DataFrame | None = None,
-    costs: DataFrame | None = None, most_failures: int = MOST_FAILURES,
+    costs: DataFrame | None = None, most_failures: int | None = None, failures_per_part: int = FAILURES_PER_PART,
 ) -> DataFrame:
-    """``report`` and ``value`` (a JSON document) of every report.
+    """``report``, ``part`` and ``value`` (a JSON document) of every report.
+
+    Every report has part 0; those that list failed samples go on in further parts if a language has more than
+    ``failures_per_part`` of them. ``most_failures`` refuses runs with more in all.
 
     ``judgments``: normalised rows; ``errors`` may be absent. ``status``: one row of the fields of the run status. ``costs``: what
     ``cost_rollup`` returns. Without them the reports that they feed are left out. No judgments give empty leaderboards.
@@ -191,7 +210,9 @@ def report_documents(
     keys = listed.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"))
     kinds = keys.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct(natural_key("key").alias("place"), "key", "scores")), _ordered("place", "key")).alias("keys"))
     parts = kinds.agg(F.map_from_entries(F.collect_list(F.struct("kind", "keys"))).alias("found"), F.lit(None).cast("map<string,string>").alias("failed"))
-    failures = failed_entries(judgments, people, most_failures).agg(F.map_from_entries(F.collect_list(F.struct("key", F.to_json("failures").alias("text")))).alias("failed"))
+    listed_failures = failed_entries(judgments, people, languages, failures_per_part, most_failures)
+    gathered = F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("failed")
+    failures = listed_failures.where("part = 0").agg(gathered)
     parts = parts.unionByName(failures.select(F.lit(None).cast(parts.schema["found"].dataType).alias("found"), "failed"))
     extra = []
     if status is not None:
@@ -276,7 +297,14 @@ def report_documents(
     result = row.select(F.inline(F.array(*[F.struct(F.lit(report).alias("report"), value.alias("value")) for report, value in documents.items()])))
     for more in extra:
         result = result.unionByName(more)
-    return result
+
+    # Later parts: the languages that have samples left.
+    left = F.filter(F.array(*map(F.lit, languages)), lambda code: F.element_at("failed", code).isNotNull())
+    of_left = lambda document: _object(F.transform(left, lambda code: F.struct(code.alias("name"), document(F.element_at("failed", code)).alias("text"))))
+    later = {"leaderboard.by-language": of_left(lambda text: F.concat(F.lit('{"failures":'), text, F.lit("}"))), "failed-samples.by-language": of_left(lambda text: text)}
+    rest = listed_failures.where("part > 0").groupBy("part").agg(gathered)
+    rest = rest.select("part", F.inline(F.array(*[F.struct(F.lit(report).alias("report"), value.alias("value")) for report, value in later.items()])))
+    return result.select("report", F.lit(0).alias("part"), "value").unionByName(rest)
 
 
 def _normalized(p: Column, languages: Sequence[str], of_key, person: Column) -> Column:

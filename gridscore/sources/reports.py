@@ -158,24 +158,25 @@ def run_summary(
 def write_document_set(documents: DataFrame, root: str) -> int:
     """Write rows (``report, value``) as a new version of a set of files and return its number.
 
-    One job writes all reports, each to its own folder; ``ord`` (optional) orders the lines of a report. Every report lies in one
-    task, since it is one document or a table of participants. A marker written last makes the whole set visible at once.
+    One job writes all reports, each part to its own folder; ``ord`` (optional) orders the lines of a part. Every part lies in one
+    task, since it is one document or a table of participants; a report that grows with the run has many (``part``, optional).
+    A marker written last makes the whole set visible at once.
     """
     spark = documents.sparkSession
     number = latest_version(spark, root) + 1
-    lines = documents if "ord" in documents.columns else documents.withColumn("ord", F.lit(0))
-    dealt = lines.repartition("report").sortWithinPartitions("report", "ord").select("report", "value")
-    dealt.write.mode("overwrite").partitionBy("report").text(f"{root}/version={number}")
+    lines = documents.withColumns({name: F.lit(0) for name in ("part", "ord") if name not in documents.columns})
+    dealt = lines.repartition("report", "part").sortWithinPartitions("report", "part", "ord").select("report", "part", "value")
+    dealt.write.mode("overwrite").partitionBy("report", "part").text(f"{root}/version={number}")
     write_marker(spark, root, number)
     return number
 
 
 def read_document_set(spark: SparkSession, root: str) -> DataFrame:
-    """``report`` and ``value`` of the newest whole set; lines of one report are in order within its file."""
+    """``report``, ``part`` and ``value`` of the newest whole set; lines of one part are in order within its file."""
     number = latest_version(spark, root)
     if not number:
         raise ValueError(f"no complete set of reports in {root}")
-    return spark.read.schema("value string, report string").text(f"{root}/version={number}")
+    return spark.read.schema("value string, report string, part int").text(f"{root}/version={number}")
 
 
 def csv_documents(tables: dict[str, tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:

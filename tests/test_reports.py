@@ -218,6 +218,39 @@ def test_too_many_failures_and_unfinished_sets(spark, tmp_path, known):
         sources.read_document_set(spark, str(tmp_path / "nothing"))
 
 
+def test_failed_samples_go_on_in_parts(spark, tmp_path):
+    rows, people = spark.createDataFrame(random_rows(5), SCHEMA), participants(["c", "a", "b"])
+    codes = ("en", "ja", "zh-Hans")
+    whole = whole_set(spark, tmp_path, rows, people)
+    root = str(tmp_path / "parts")
+    sources.write_document_set(report_set.report_documents(rows, people, codes, failures_per_part=2), root)
+    parts = {(r.report, r.part): json.loads(r.value) for r in sources.read_document_set(spark, root).collect()}
+    first = {report: value for (report, part), value in parts.items() if part == 0}
+    last = max(part for _, part in parts)
+    assert last > 2
+    joined = lambda report, of: {code: [e for part in range(last + 1) for e in of(parts.get((report, part), {}).get(code, {}))] for code in codes}
+    assert joined("failed-samples.by-language", list) == whole["failed-samples.by-language"]
+    assert joined("leaderboard.by-language", lambda v: v.get("failures", [])) == whole["failed-samples.by-language"]
+    assert all(len(v) <= 2 for (report, _), value in parts.items() if report == "failed-samples.by-language" for v in value.values())
+    for report in set(whole) - {"failed-samples.by-language", "leaderboard.by-language"}:
+        assert first[report] == whole[report]
+    assert {code: dict(v, failures=whole["failed-samples.by-language"][code]) for code, v in first["leaderboard.by-language"].items()} == whole["leaderboard.by-language"]
+
+
+def test_no_limit_on_failed_samples(spark, tmp_path):
+    """More failed samples than a document once could hold."""
+    number = F.col("id").cast("string")
+    rows = spark.range(100_500).select(*[
+        {"source_id": number, "target_language": F.lit("en"), "participant_id": F.lit("a"), "status": F.lit("judge_failed"), "stable_key": F.concat(F.lit("r::"), F.lpad(number, 6, "0"))}
+        .get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (field.split() for field in SCHEMA.split(", "))
+    ])
+    root = str(tmp_path / "many")
+    sources.write_document_set(report_set.report_documents(rows, PEOPLE, ("en",)), root)
+    found = sources.read_document_set(spark, root).where("report = 'failed-samples.by-language'").orderBy("part").collect()
+    listed = [e["source_id"] for r in found for e in json.loads(r.value)["en"]]
+    assert len(found) == 6 and listed == [str(n) for n in range(100_500)]
+
+
 def test_csv_set(spark, tmp_path):
     board = spark.createDataFrame([(2, "b", 0.5), (1, "=a", None)], "rank int, participant_id string, mean_penalty double")
     root = str(tmp_path / "csv")
