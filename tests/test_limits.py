@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from gridscore.functions.keys import natural_key
 from gridscore.operators import grid, items, runs
 from gridscore.operators.windows import row_numbers
+from gridscore.plans.common import spread
 from gridscore.plans.items import batches
+from gridscore.session import source_bytes
 from gridscore.sources.files import row_digest
 
 
@@ -57,3 +59,22 @@ def test_stray_buckets_are_not_balanced(spark):
     assert total.complete and total.expected == total.actual == 216
     assert not items.scaffold_totals(plan.union(stray)).first().complete
     assert not items.scaffold_totals(plan.limit(215)).first().complete
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    """A file of many splits whose rows all lie in one row group, hence in one split."""
+    path = str(tmp_path / "rows")
+    rows = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        assert scan.select(F.spark_partition_id()).distinct().count() == 1
+        dealt = [r["count"] for r in spread(scan).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(dealt) == spark.sparkContext.defaultParallelism and max(dealt) < 2 * min(dealt)
+        # A source of more bytes gives more tasks.
+        assert source_bytes(scan) > 1_000_000 and source_bytes(spark.range(3)) == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
