@@ -6,7 +6,7 @@ regular expressions. See ``ANNOTATION`` for the result type.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,82 +197,88 @@ def _kind_of(value: Column) -> Column:
 
 def _checked_json_error(error: Column) -> Column:
     """Problem of one stored error object, null when it obeys the record format."""
-    fields = F.try_variant_get(error, "$", "map<string,variant>")
-    names = F.map_keys(fields)
     required = ("severity", "class", "target_span_text", "source_span_text")
     allowed = F.array(*[F.lit(name) for name in (*required, "explanation")])
 
-    def text(name: str) -> Column:
-        return F.try_variant_get(error, f"$.{name}", "string")
-
-    def kind(name: str) -> Column:
-        return _kind_of(F.try_variant_get(error, f"$.{name}", "variant"))
-
-    missing = F.lit(False)
-    for name in required:
-        missing = missing | ~F.array_contains(names, name)
-    return (
-        F.when(_kind_of(error) != "OBJECT", "error is not an object")
-        .when(F.size(F.array_except(names, allowed)) > 0, "error has unexpected keys")
-        .when(missing, "error lacks a required key")
-        .when((kind("severity") != "STRING") | ~text("severity").isin(*domain.SEVERITY_POINTS), "severity is invalid")
-        .when((kind("class") != "STRING") | ~text("class").isin(*domain.ERROR_CLASSES), "class is invalid")
-        .when(~kind("target_span_text").isin("STRING", "VOID"), "target span is neither text nor null")
-        .when(~kind("source_span_text").isin("STRING", "VOID"), "source span is neither text nor null")
-        .when(F.array_contains(names, "explanation") & (kind("explanation") != "STRING"), "explanation is not text")
-    )
+    def one_of(value: Column, names: Sequence[str]) -> Column:
+        # Only a text can be read as one of these names.
+        return F.coalesce(F.try_variant_get(value, "$", "string").isin(*names), F.lit(False))
+
+    def checked(fields: Column) -> Column:
+        names = F.map_keys(fields)
+        return (
+            F.when(fields.isNull(), "error is not an object")
+            .when(F.size(F.array_except(names, allowed)) > 0, "error has unexpected keys")
+            .when(F.size(F.array_except(F.array(*map(F.lit, required)), names)) > 0, "error lacks a required key")
+            .when(~one_of(fields["severity"], list(domain.SEVERITY_POINTS)), "severity is invalid")
+            .when(~one_of(fields["class"], domain.ERROR_CLASSES), "class is invalid")
+            .when(~_kind_of(fields["target_span_text"]).isin("STRING", "VOID"), "target span is neither text nor null")
+            .when(~_kind_of(fields["source_span_text"]).isin("STRING", "VOID"), "source span is neither text nor null")
+            .when(F.array_contains(names, "explanation") & (_kind_of(fields["explanation"]) != "STRING"), "explanation is not text")
+        )
+
+    return bind(F.try_variant_get(error, "$", "map<string,variant>"), checked)
 
 
 def parse_json_annotation(document: Column) -> Column:
-    """Strict reading of a stored JSON annotation (a variant) to ``ANNOTATION``."""
-    no_error = F.try_variant_get(document, "$.has_no_error", "variant")
-    errors_value = F.try_variant_get(document, "$.errors", "variant")
-    behavior_value = F.try_variant_get(document, "$.contextBehavior", "variant")
-    elements = F.try_variant_get(document, "$.errors", "array<variant>")
-    names = F.map_keys(F.try_variant_get(document, "$", "map<string,variant>"))
-    is_clean = F.try_variant_get(document, "$.has_no_error", "boolean")
-    behavior = F.try_variant_get(document, "$.contextBehavior", "string")
-    problems = F.filter(F.transform(elements, _checked_json_error), lambda p: p.isNotNull())
-    problem = (
-        F.when(_kind_of(document) != "OBJECT", "annotation is not an object")
-        .when(F.coalesce(_kind_of(no_error) != "BOOLEAN", F.lit(True)), "has_no_error is not a boolean")
-        .when(F.coalesce(_kind_of(errors_value) != "ARRAY", F.lit(True)), "errors is not an array")
-        .when(is_clean & (F.size(elements) > 0), "has_no_error with errors")
-        .when(~is_clean & (F.size(elements) == 0), "errors missing")
-        .when(F.size(problems) > 0, F.try_element_at(problems, F.lit(1)))
-        .when(
-            F.array_contains(names, "contextBehavior")
-            & ((_kind_of(behavior_value) != "STRING") | ~F.coalesce(behavior.isin(*domain.BEHAVIORS), F.lit(False))),
-            "behavior is invalid",
-        )
-    )
-    read = F.transform(
-        elements,
-        lambda e: F.struct(
-            *[
-                F.try_variant_get(e, f"$.{name}", "string").alias(name)
-                for name in ("severity", "class", "target_span_text", "source_span_text", "explanation")
-            ]
-        ),
-    )
-    return F.struct(
-        F.when(problem.isNull(), read).otherwise(F.array().cast(ERRORS)).alias("errors"),
-        F.when(problem.isNull(), behavior).alias("behavior"),
-        problem.alias("problem"),
+    """Strict reading of a stored JSON annotation (a variant) to ``ANNOTATION``.
+
+    Every value is taken out of the document once: what a lambda names twice is evaluated twice.
+    """
+    fields = F.struct(
+        F.map_keys(F.try_variant_get(document, "$", "map<string,variant>")).alias("names"),
+        F.coalesce(_kind_of(F.try_variant_get(document, "$.has_no_error", "variant")) == "BOOLEAN", F.lit(False)).alias("has_flag"),
+        F.try_variant_get(document, "$.has_no_error", "boolean").alias("is_clean"),
+        F.try_variant_get(document, "$.errors", "array<variant>").alias("elements"),
+        F.try_variant_get(document, "$.contextBehavior", "string").alias("behavior"),
     )
 
+    def checked(d: Column) -> Column:
+        form = (
+            F.when(d["names"].isNull(), "annotation is not an object")
+            .when(~d["has_flag"], "has_no_error is not a boolean")
+            .when(d["elements"].isNull(), "errors is not an array")
+            .when(d["is_clean"] & (F.size(d["elements"]) > 0), "has_no_error with errors")
+            .when(~d["is_clean"] & (F.size(d["elements"]) == 0), "errors missing")
+        )
+        in_errors = F.get(F.filter(F.transform(d["elements"], _checked_json_error), lambda p: p.isNotNull()), F.lit(0))
+        wrong_behavior = F.array_contains(d["names"], "contextBehavior") & ~F.coalesce(d["behavior"].isin(*domain.BEHAVIORS), F.lit(False))
+        return F.struct(F.coalesce(form, in_errors, F.when(wrong_behavior, "behavior is invalid")).alias("problem"), d["elements"].alias("elements"), d["behavior"].alias("behavior"))
+
+    def read(d: Column) -> Column:
+        errors = F.transform(
+            d["elements"],
+            lambda e: F.struct(
+                *[
+                    F.try_variant_get(e, f"$.{name}", "string").alias(name)
+                    for name in ("severity", "class", "target_span_text", "source_span_text", "explanation")
+                ]
+            ),
+        )
+        ok = d["problem"].isNull()
+        return F.struct(
+            F.when(ok, errors).otherwise(F.array().cast(ERRORS)).alias("errors"),
+            F.when(ok, d["behavior"]).alias("behavior"),
+            d["problem"].alias("problem"),
+        )
+
+    return bind(bind(fields, checked), read)
+
 
 def parse_response(raw: Column) -> Column:
     """Stored JSON if the whole text is one JSON object, else a text annotation.
 
-    The text is parsed inside an array so that anything after the object makes it invalid.
+    The text is parsed inside an array so that anything after the object makes it invalid. ``raw`` is evaluated once.
     """
-    text = trimmed(raw)
 
     def stored(wrapped: Column) -> Column:
         document = F.try_variant_get(wrapped, "$[0]", "variant")
         several = F.try_variant_get(wrapped, "$[1]", "variant").isNotNull()
         return F.when(document.isNotNull() & ~several, bind(document, parse_json_annotation))
 
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(F.when(text.startswith("{"), bind(wrapped, stored)), parse_annotation(raw))
+    def read(parts: Column) -> Column:
+        wrapped = F.try_parse_json(F.concat(F.lit("["), parts["text"], F.lit("]")))
+        return F.coalesce(F.when(parts["text"].startswith("{"), bind(wrapped, stored)), parse_annotation(parts["raw"]))
+
+    both = lambda value: F.struct(value.alias("raw"), trimmed(value).alias("text"))
+    return bind(bind(raw, both), read)

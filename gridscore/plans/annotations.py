@@ -105,18 +105,19 @@ def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_repeat(entry, F.col(count))
 
     every = F.concat(errors("critical", "critical_count"), errors("major", "major_count"), errors("minor", "minor_count"))
+    listed = spread(fixtures.cells(spark, sf_dir)).select("event_id", every.alias("every"))
     # A class can only be wrong where there is an error; add one where there is none.
-    clean = F.size(every) == 0
+    clean = F.size("every") == 0
     body = F.concat(
         F.lit('{"has_no_error":'),
         F.when((F.col("event_id") % 13 == 0) | ((F.col("event_id") % 17 == 0) & clean), F.when(clean, "false").otherwise("true"))
         .otherwise(F.when(clean, "true").otherwise("false")),
         F.lit(',"errors":'),
-        F.regexp_replace(F.to_json(every, {"ignoreNullFields": "false"}), ',"weight":null', ""),
+        F.regexp_replace(F.to_json("every", {"ignoreNullFields": "false"}), ',"weight":null', ""),
         F.lit(',"note":1}'),
     )
     cut = F.when(F.col("event_id") % 9 == 0, F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body)
-    rows = spread(fixtures.cells(spark, sf_dir)).select("event_id", parse_response(cut).alias("p"))
+    rows = listed.select("event_id", parse_response(cut).alias("p"))
     ok = F.col("p.problem").isNull()
     return rows.select("event_id", ok.alias("readable"), F.when(ok, penalty(F.col("p.errors"))).alias("penalty"))
 
