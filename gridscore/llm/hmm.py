@@ -155,16 +155,16 @@ def products(s: Stretches, model: Model) -> tuple[np.ndarray, np.ndarray]:
     emit = np.ascontiguousarray(model.emit.T)
     matrix = np.where((s.order == 0)[:, None, None], np.eye(states, dtype=model.step.dtype), model.step)
     scale = np.zeros(len(s.begin))
+    room = np.empty((len(s.begin) * states, states), model.step.dtype)
     for t, live in enumerate(s.live):
-        part = matrix[:live]
+        part = moved = matrix[:live]
         if t:
-            part = (part.reshape(-1, states) @ model.step).reshape(-1, states, states)
-        part = part * emit[s.kinds[s.begin[:live] + t]][:, None, :]
+            moved = np.matmul(part.reshape(-1, states), model.step, out=room[: live * states]).reshape(-1, states, states)
+        np.multiply(moved, emit[s.kinds[s.begin[:live] + t]][:, None, :], out=part)
         if t % 2 or t + 1 == len(s.live):
-            top = part.max((1, 2))
+            top = part.reshape(live, -1).max(1)
             part /= top[:, None, None]
             scale[:live] += np.log(top)
-        matrix[:live] = part
     return matrix, scale
 
 
@@ -210,6 +210,8 @@ def expected_counts(sizes: np.ndarray, kinds: np.ndarray, model: Model) -> np.nd
     behind = backward(s, matrix, len(sizes))
     emit = np.ascontiguousarray(model.emit.T)
     first = s.order == 0
+    # A product with ones adds up the states faster than a sum along rows that short.
+    ones = np.ones(states, model.step.dtype)
     alphas = np.empty((len(s.kinds), states), model.step.dtype)
     vector = before
     for t, live in enumerate(s.live):
@@ -218,7 +220,8 @@ def expected_counts(sizes: np.ndarray, kinds: np.ndarray, model: Model) -> np.nd
         if t == 0:
             moved[first[:live]] = vector[:live][first[:live]]
         moved *= emit[s.kinds[at]]
-        vector = moved / moved.sum(1)[:, None]
+        moved /= (moved @ ones)[:, None]
+        vector = moved
         alphas[at] = vector
     posterior = np.empty_like(alphas)
     steps = np.zeros((states, states))
@@ -227,15 +230,15 @@ def expected_counts(sizes: np.ndarray, kinds: np.ndarray, model: Model) -> np.nd
         live = s.live[t]
         at = s.begin[:live] + t
         weight = alphas[at] * vector[:live]
-        norm = weight.sum(1)[:, None]
-        posterior[at] = weight / norm
+        weight /= (weight @ ones)[:, None]
+        posterior[at] = weight
         came = alphas[at - 1] if t else before[:live]
         ahead = emit[s.kinds[at]] * vector[:live]
         moved = ahead @ model.step.T
-        total = (came * moved).sum(1)[:, None]
-        inner = slice(None) if t else ~first[:live]
-        steps += (came / total)[inner].T @ ahead[inner]
-        vector[:live] = moved / moved.sum(1)[:, None]
+        share = came / ((came * moved) @ ones)[:, None]
+        steps += share.T @ ahead if t else share[~first[:live]].T @ ahead[~first[:live]]
+        moved /= (moved @ ones)[:, None]
+        vector[:live] = moved
     steps *= model.step
     starts = posterior[s.begin[first]].sum(0)
     emissions = np.stack([np.bincount(s.kinds, weights=posterior[:, k], minlength=classes) for k in range(states)])
