@@ -3,8 +3,9 @@
 Documents are sets of word shingles, embedded as a fixed number of minwise tokens. In each of several independent trees a node
 picks one token position (now and then two) from its own path and branches its documents by their token there; a pair of
 similarity s follows the same branch with probability s. Nodes that became small are compared exhaustively, larger ones branch
-on. Estimated similarities choose which pairs are confirmed on the full sets, and pairs that are already connected by
-confirmed links need no confirmation, so a group of many near copies costs about one confirmation per copy.
+on. Of a small node's pairs that look similar enough only a spanning forest, the most alike first, is written and confirmed on
+the full sets, so a group of many near copies costs a few confirmations per copy and never all of its pairs. If that leaves a
+tree of the forest in several groups while the node has other likely pairs there, its members are compared on their full sets.
 
 Documents of nodes that stay large for some levels first meet a few of the others only, which connects most of a large group.
 Then every tree is gone through again from its first nodes: one that holds documents of more than one group branches until it
@@ -59,7 +60,11 @@ SET = T.StructType([
     T.StructField("tokens", T.ArrayType(T.IntegerType(), False), False),
 ])
 SHINGLES = T.StructType([SET["key"], T.StructField("shingles", T.ArrayType(T.LongType(), False), False)])
-PAIR = T.StructType([T.StructField("a", T.BinaryType(), False), T.StructField("b", T.BinaryType(), False), T.StructField("equal", T.IntegerType(), False)])
+#: ``tree`` names the members of a tree of the forest, if the node has more likely pairs among them than the tree.
+PAIR = T.StructType([
+    T.StructField("a", T.BinaryType(), False), T.StructField("b", T.BinaryType(), False), T.StructField("equal", T.IntegerType(), False),
+    T.StructField("tree", T.BinaryType(), True),
+])
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, TOKENS), dtype=np.uint64)
 
@@ -140,8 +145,35 @@ def branched(rows: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Setti
     return joined.select(F.col("node").alias("parent"), child.alias("node"), "used", *carry)
 
 
+def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges ``i``-``j`` between ``n`` places a spanning forest takes, those that come first in ``order`` before others;
+    and a place of its tree for each place."""
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    label, taken = np.arange(n), np.zeros(len(order), bool)
+    live = np.arange(len(order))
+    while True:
+        live = live[label[i[live]] != label[j[live]]]
+        if not len(live):
+            return taken, label
+        # Each tree takes its first edge to another one; two that take the same edge hang on the smaller of them.
+        best = np.full(n, len(order))
+        for ends in (i, j):
+            np.minimum.at(best, label[ends[live]], rank[live])
+        trees = np.flatnonzero(best < len(order))
+        edge = order[best[trees]]
+        taken[edge] = True
+        parent = np.arange(n)
+        parent[trees] = label[i[edge]] + label[j[edge]] - trees
+        both = trees[(parent[parent[trees]] == trees) & (trees < parent[trees])]
+        parent[both] = both
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 def compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each small node whose sizes and tokens allow the similarity."""
+    """Of the pairs of each small node whose sizes and tokens allow the similarity, a spanning forest of the most equal tokens."""
     for batch in batches:
         members = batch.column("members")
         flat, first = members.flatten(), np.diff(members.offsets.to_numpy())
@@ -159,12 +191,29 @@ def compare(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iter
             fit = equal >= least
             found.append(np.stack([i[fit], j[fit], equal[fit]]))
         i, j, equal = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(equal.astype(np.int32))], PAIR.names)
-
-
-def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Distinct pairs ``a`` < ``b`` of class keys that some tree brought together, with their number of equal tokens; the
-    rows (node, key, used, n) of nodes that are still large after the last of ``levels``; and those of large first nodes."""
+        names = keys.to_pylist()
+        place = np.empty(len(keys), np.int64)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        i, j = np.where(place[i] <= place[j], i, j), np.where(place[i] <= place[j], j, i)
+        # Ties go by the keys, so that trees of other positions take the same pairs.
+        taken, label = spanning_forest(len(keys), i, j, np.lexsort((place[j], place[i], -equal)))
+        some = {}
+        for at in np.flatnonzero(np.bincount(label[i[~taken]], minlength=len(keys))).tolist():
+            some[at] = []
+        for at, own in enumerate(label.tolist()):
+            if own in some:
+                some[own].append(names[at])
+        named = {at: hashlib.blake2b(b"".join(sorted(group)), digest_size=16).digest() for at, group in some.items()}
+        i, j, equal = i[taken], j[taken], equal[taken]
+        yield pa.RecordBatch.from_arrays([
+            keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(equal.astype(np.int32)), pa.array([named.get(own) for own in label[i].tolist()], pa.binary()),
+        ], PAIR.names)
+
+
+def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of class keys that forests of small nodes hold, with their number of equal tokens; the rows
+    (tree, key) of trees that small first nodes have more likely pairs of; the rows (node, key, used, n) of nodes that are still
+    large after the last of ``levels``; and those of large first nodes."""
     sets = classes.select("key", "n_shingles", "tokens")
     roots = F.explode(F.sequence(F.lit(1), F.lit(settings.trees)))
     rows = sets.select("key", "tokens", roots.alias("tree")).withColumn("position", F.pmod(F.col("tree") * 5, F.lit(TOKENS))).select(
@@ -193,46 +242,48 @@ def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
         leaders = drawn.select("node", F.explode(F.array(*[f"k{k}" for k in range(settings.leaders)])).alias("key"))
         led = parted.select("node", "part").distinct().join(leaders, "node").select("node", "part", "key")
         pairs.append(exhausted(parted.union(led).distinct().select(F.xxhash64("node", "part").alias("node"), "key"), sets, settings))
+    # All likely pairs of large first nodes are compared in the end, whatever their parts leave.
     found = pairs[0]
     for more in pairs[1:]:
-        found = found.union(more)
-    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal").where("a <> b")
-    result = stored(ordered.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
-    discard(*used)
-    return result, crowd, large_first
+        found = found.union(more.withColumn("tree", F.lit(None).cast("binary")))
+    found = stored(found.where("a <> b"), "forests")
+    result = stored(found.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
+    trees = stored(found.where("tree is not null").select("tree", F.explode(F.array("a", "b")).alias("key")).distinct(), "trees")
+    discard(*used, found)
+    return result, trees, crowd, large_first
 
 
 def exhausted(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of each (small) node of rows (node, key) that are worth confirming."""
+    """A forest of the pairs of each (small) node of rows (node, key) that are worth confirming."""
     members = rows.select("node", "key").join(sets, "key")
     grouped = members.groupBy("node").agg(F.collect_list(F.struct("key", "n_shingles", "tokens")).alias("members")).select("members")
     return grouped.mapInArrow(lambda batches: compare(batches, settings.least_equal, settings.percent), PAIR)
 
 
-def worth_confirming(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs with enough equal tokens."""
-    full = pairs.join(sets.select(F.col("key").alias("a"), "tokens"), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("others")), "b")
-    equal = F.aggregate(F.arrays_zip("tokens", "others"), F.lit(0), lambda n, z: n + F.when(z.tokens == z.others, 1).otherwise(0))
-    return full.select("a", "b", equal.alias("equal")).where(F.col("equal") >= settings.least_equal)
-
-
 def hub_pairs(crowd: DataFrame, candidates: DataFrame, roots: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """In nodes that no token divides: each document that is still apart from the node's hubs, with these. Hubs are the
-    documents with the most candidates whose estimate reaches the threshold.
+    """In nodes that no token divides: documents that are still apart from the node's hubs, with what they are most alike among
+    these and a small part of the others. Hubs are the documents with the most candidates whose estimate reaches the threshold.
 
-    Of very many copies of one original each may be similar to the original alone, which is then such a hub.
+    Of very many copies of one original each may be similar to the original alone, which is then such a hub. The hubs join every
+    part of the node, and each part gives a forest: documents times hubs are compared, but never rows.
     """
     likely = candidates.where(100 * F.col("equal") >= settings.percent * TOKENS)
     ends = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key")))
     degrees = ends.groupBy("key").agg(F.count("*").alias("degree"))
-    placed = crowd.select("node", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(degrees, "key", "left")
-    placed = stored(placed.select("node", "key", F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
-    part = F.pmod(F.xxhash64("key"), F.lit(settings.hubs))
-    best = placed.where("degree > 0").groupBy("node", part.alias("part")).agg(F.max(F.struct("degree", "key", "root")).alias("hub"))
-    hubs = stored(best.select("node", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
-    apart = placed.join(hubs, "node").where("root <> hub_root").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    result = stored(worth_confirming(apart, sets, settings), "hub_pairs")
-    discard(placed, hubs)
+    placed = crowd.select("node", "n", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(degrees, "key", "left")
+    placed = stored(placed.select("node", "n", "key", F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
+    slot = F.pmod(F.xxhash64("key"), F.lit(settings.hubs))
+    best = placed.where("degree > 0").groupBy("node", slot.alias("slot")).agg(F.max(F.struct("degree", "key", "root")).alias("hub"))
+    hubs = stored(best.select("node", F.col("hub.key").alias("key"), F.col("hub.root").alias("root")), "hubs")
+    spread = hubs.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    part = F.pmod(F.xxhash64("key", "node", F.lit("hubs")), F.ceil(2 * F.col("n") / settings.small))
+    apart = stored(placed.join(spread, "node").where("root <> low or root <> high").select("node", part.alias("part"), "key"), "apart")
+    led = apart.select("node", "part").distinct().join(hubs.select("node", "key"), "node").select("node", "part", "key")
+    found = exhausted(apart.union(led).distinct().select(F.xxhash64("node", "part").alias("node"), "key"), sets, settings).select("a", "b").distinct()
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    between = found.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    result = stored(between.select("a", "b"), "hub_pairs")
+    discard(placed, hubs, apart)
     return result
 
 
@@ -345,30 +396,16 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def strongest(pairs: DataFrame) -> DataFrame:
-    """For every class its pair with the most equal tokens."""
-    ends = pairs.select(F.col("a").alias("key"), "*").union(pairs.select(F.col("b").alias("key"), "*"))
-    best = ends.groupBy("key").agg(F.max(F.struct("equal", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
-
-
-def connected(pairs: DataFrame, links: DataFrame | None, shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The links with those that confirming ``pairs`` adds, the roots they give, and the tables to discard in the end."""
-    used, open_pairs = [], pairs
-    for last in (False, False, True):
-        chosen = open_pairs if last else strongest(open_pairs)
-        fresh = stored(confirmed(chosen, shingles, percent), "links")
-        links = fresh if links is None else links.union(fresh)
-        roots = stored(components(links), "roots")
-        used += [fresh, roots]
-        if not last:
-            a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-            apart = open_pairs.join(chosen, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-            open_pairs = stored(apart.where("not coalesce(root_a = root_b, false)").select("a", "b", "equal"), "open")
-            used.append(open_pairs)
-            if open_pairs.isEmpty():
-                break
-    return links, roots, used
+def tree_links(trees: DataFrame, roots: DataFrame, shingles: DataFrame, settings: Settings) -> DataFrame:
+    """Links between different groups within the ``trees`` (tree, key) that are not in one group: all pairs on full sets."""
+    rows = trees.join(roots.withColumnRenamed("node", "key"), "key", "left").select("tree", "key", F.coalesce("root", "key").alias("root"))
+    rows = stored(rows, "tree_rows")
+    mixed = rows.groupBy("tree").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tree")
+    met = rows.join(mixed, "tree").select("tree", "key", "root", F.lit(0).alias("block")).join(shingles, "key")
+    found = met.groupBy("tree").applyInArrow(block_links(settings.percent), "a binary, b binary")
+    result = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tree_links")
+    discard(rows)
+    return result
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -388,7 +425,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.first("first_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"),
         ), "classes",
     )
-    pairs, crowd, large_first = candidates(classes, settings)
+    pairs, trees, crowd, large_first = candidates(classes, settings)
     ends = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
 
     def shingles_of(keys: DataFrame) -> DataFrame:
@@ -398,16 +435,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return stored(read.dropDuplicates(["key"]), "shingles")
 
     shingles = shingles_of(ends(pairs).union(crowd.select("key")) if crowd is not None else ends(pairs))
-    links, roots, used = connected(pairs, None, shingles, settings.percent)
-    used += [pairs, shingles]
+    links = stored(confirmed(pairs, shingles, settings.percent), "links")
+    roots = stored(components(links), "roots")
+    fresh = tree_links(trees, roots, shingles, settings)
+    used = [pairs, trees, shingles, links, roots, fresh]
     if crowd is not None:
-        apart = hub_pairs(crowd, pairs, roots, classes.select("key", "tokens"), settings)
-        fresh = stored(confirmed(apart, shingles, settings.percent), "links")
-        used += [crowd, apart, fresh]
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            roots = stored(components(links), "roots")
-            used.append(roots)
+        apart = hub_pairs(crowd, pairs, roots, classes.select("key", "n_shingles", "tokens"), settings)
+        used += [crowd, apart, fresh := stored(fresh.union(confirmed(apart, shingles, settings.percent)), "links")]
+    if not fresh.isEmpty():
+        links = links.union(fresh)
+        roots = stored(components(links), "roots")
+        used.append(roots)
     if large_first is not None:
         fresh = crowd_links(large_first, roots, classes.select("key", "tokens"), shingles_of, settings)
         used += [large_first, fresh]

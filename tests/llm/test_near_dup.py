@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridscore.llm import near_dup
@@ -155,3 +156,58 @@ def test_nodes_that_do_not_divide_are_compared_in_blocks(spark, block):
     assert plain_components([*links, (b"0", b"1")], shingles) == plain_components([*pairs, (b"0", b"1")], shingles)
     blocks = -(-80 // block)
     assert len(links) < 80 * blocks
+
+
+def test_small_nodes_give_forests_of_their_likely_pairs():
+    rnd = np.random.default_rng(4)
+    nodes, likely, keys = [], [], {}
+    for size, away in ((24, 5), (2, 0), (3, 5), (24, 24), (1, 0), (20, 14)):
+        base, node = rnd.integers(0, 1000, near_dup.TOKENS), []
+        for _ in range(size):
+            tokens = base.copy()
+            at = rnd.permutation(near_dup.TOKENS)[: rnd.integers(0, away + 1)]
+            tokens[at] = rnd.integers(1000, 1 << 30, len(at))
+            node.append({"key": b"%d" % rnd.integers(1 << 60), "n_shingles": 100, "tokens": tokens.tolist()})
+        nodes.append(node)
+        keys |= {m["key"]: m for m in node}
+        likely.append([(x["key"], y["key"]) for i, x in enumerate(node) for y in node[:i] if sum(map(int.__eq__, x["tokens"], y["tokens"])) >= 41])
+    kind = pa.list_(pa.struct([("key", pa.binary()), ("n_shingles", pa.int64()), ("tokens", pa.list_(pa.int32()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes, kind)], ["members"])
+    rows = [r for out in near_dup.compare(iter([batch]), 41, 80) for r in out.to_pylist()]
+    every = [link for node in likely for link in node]
+    root = plain_components(every, keys)
+    assert plain_components([(r["a"], r["b"]) for r in rows], keys) == root
+    assert len(rows) == len(keys) - len(set(root.values())) < len(every) / 4  # a forest, not all pairs
+    assert all(r["a"] < r["b"] and r["equal"] == sum(map(int.__eq__, keys[r["a"]]["tokens"], keys[r["b"]]["tokens"])) for r in rows)
+    size = {r: sum(root[k] == r for k in keys) for r in set(root.values())}
+    for r in rows:
+        more = sum(root[a] == root[r["a"]] for a, _ in every) > size[root[r["a"]]] - 1
+        assert (r["tree"] is not None) == more
+
+
+def test_trees_that_confirming_leaves_apart_are_compared_on_full_sets(spark):
+    """Of a tree's sets, ``a``-``b`` and ``b``-``c`` are no links but ``a``-``c`` is; another tree is in one group already."""
+    sets = {b"a": [*range(100)], b"b": [*range(20, 120)], b"c": [*range(98), 200], b"d": [*range(500, 600)], b"e": [*range(500, 601)]}
+    trees = spark.createDataFrame([(b"1", b"a"), (b"1", b"b"), (b"1", b"c"), (b"2", b"d"), (b"2", b"e")], "tree binary, key binary")
+    roots = spark.createDataFrame([(b"d", b"d"), (b"e", b"d")], "node binary, root binary")
+    shingles = spark.createDataFrame(list(sets.items()), "key binary, shingles array<bigint>")
+    found = near_dup.tree_links(trees, roots, shingles, near_dup.Settings(percent=85)).collect()
+    assert [(bytes(r.a), bytes(r.b)) for r in found] == [(b"a", b"c")]
+
+
+def test_hubs_meet_parts_and_give_forests(spark):
+    """A star: 240 sets alike to the one in the middle only, and so many hubs that sets times hubs would be thousands of rows."""
+    rnd = np.random.default_rng(5)
+    middle = rnd.integers(0, 1 << 30, near_dup.TOKENS)
+    tokens = {b"middle": middle}
+    for i in range(240):
+        tokens[b"%03d" % i] = np.where(rnd.permutation(near_dup.TOKENS) < 16, rnd.integers(0, 1 << 30, near_dup.TOKENS), middle)
+    sets = spark.createDataFrame([(k, 100, t.tolist()) for k, t in tokens.items()], "key binary, n_shingles bigint, tokens array<int>")
+    crowd = sets.selectExpr("5L as node", f"{len(tokens)}L as n", "key")
+    names = sorted(tokens)
+    seen = [(k, b"middle", 64) for k in names[:20]] + [(a, b, 64) for a, b in zip(names[:160], names[1:])]
+    candidates = spark.createDataFrame(seen, "a binary, b binary, equal int")
+    roots = spark.createDataFrame([(b"000", b"000")], "node binary, root binary")
+    found = [(bytes(r.a), bytes(r.b)) for r in near_dup.hub_pairs(crowd, candidates, roots, sets, near_dup.Settings(percent=80)).collect()]
+    assert {k for pair in found if b"middle" in pair for k in pair} == set(tokens)
+    assert len(found) <= 3 * len(tokens)
