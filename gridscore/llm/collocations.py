@@ -14,13 +14,14 @@ leave out what cannot count; how many there are changes the cost, not the result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -29,7 +30,9 @@ from gridscore.llm import ragged
 from gridscore.llm.components import discard, stored
 
 #: Texts whose words are numbered together in a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Texts that Spark hands to a worker at once.
+TEXTS_TOGETHER = 1000
 #: Buckets of the phrases of one length and one of the two hashes: a byte or two each in a worker, one bit each in what is sent around.
 BUCKETS = 1 << 22
 #: Hashes of a phrase; all of its buckets must reach the least count.
@@ -233,16 +236,30 @@ def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Scans that are run inside hand over few texts at once: neither Spark nor a worker holds more of a task's texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, TEXTS_TOGETHER if int(before) <= 0 else min(int(before), TEXTS_TOGETHER))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: str, buckets: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``words`` (array), ``n`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``lang``,
     ``total`` (words of the language)."""
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    surveyed = stored(rows.mapInArrow(survey(least, longest, buckets, block_bytes), SURVEY), "survey")
+    with small_batches(rows.sparkSession):
+        surveyed = stored(rows.mapInArrow(survey(least, longest, buckets, block_bytes), SURVEY), "survey")
     words = stored(surveyed.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_phrases(surveyed, least, buckets * HASHES * (longest - 1))))
     phrases = rows.mapInArrow(count_phrases(flags, longest, buckets, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     some = words.select("lang", F.array("word").alias("words"), "n").union(phrases.select("lang", F.split("phrase", " ", -1).alias("words"), "n"))
-    counts = stored(some.where(F.col("n") >= least), "counts")
+    with small_batches(rows.sparkSession):
+        counts = stored(some.where(F.col("n") >= least), "counts")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     discard(surveyed, words)
     return counts, totals

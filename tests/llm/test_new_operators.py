@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import re
 import tiktoken
@@ -205,3 +207,24 @@ def test_odd_columns(spark):
     assert clustering.clusters(vectors, settings=clustering.Settings(dimensions=2))[0].count() == 2
     docs = spark.createDataFrame([(1, "a b", "z", 2)], "doc_id bigint, text string, encoded string, ids int")
     assert merge_replay.encoded(docs, RANKS, public_tokenizers.PATTERN).select(F.size("encoded.ids")).first()[0] == 2
+
+
+def test_scans_for_phrases_hold_few_texts_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 2500, 1, 1)
+    with collocations.small_batches(spark):
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) == 2500 and max(r.n for r in sizes) <= 1000
+    assert spark.conf.get(name) == before
+
+
+def test_a_worker_surveys_texts_in_small_blocks():
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 5003}" for k in range(400)) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts))], ["text", "lang"])
+    tracemalloc.start()
+    words = sum(len(w.ids) for w in collocations.blocks(iter([batch]), collocations.BLOCK_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == 1_200_000
+    assert peak < 4 * batch.nbytes
