@@ -26,6 +26,11 @@ from gridscore.llm import ragged
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
+#: Bytes of texts whose words are made distinct together, and of distinct words whose suffixes are sorted together: an edge takes about
+#: 100 bytes, and several end at each byte.
+TEXT_BYTES = 1 << 21
+WORD_BYTES = 1 << 18
+
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("n_byte_pieces", T.LongType(), False)])
 _NEVER = np.int64(1 << 40)
 
@@ -165,9 +170,7 @@ def matches(text: np.ndarray, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.n
     order = suffix_order(words)
     words = [w[order] for w in words]
     lengths = np.array([len(p) for p in pieces])
-    low = np.zeros((len(pieces), 8 * depth), np.uint8)
-    for i, piece in enumerate(pieces):
-        low[i, : len(piece)] = np.frombuffer(piece, np.uint8)
+    low = np.frombuffer(b"".join(p.ljust(8 * depth, b"\0") for p in pieces), np.uint8).reshape(len(pieces), 8 * depth)
     high = np.where(np.arange(8 * depth) < lengths[:, None], low, 255).astype(np.uint8)
     first, stop = (bounds(words, np.ascontiguousarray(x).view(">u8").astype(np.uint64), upper) for x, upper in ((low, False), (high, True)))
     counts = stop - first
@@ -287,8 +290,13 @@ def encode(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     starts = np.flatnonzero(cut)
     ranges = ragged.Ranges(starts, np.append(starts[1:], n), np.searchsorted(starts, batch.offsets))
     _, index, inverse = np.unique(ragged.fingerprints(data, ranges), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    ids, counts = segment([raw[a:b] for a, b in zip(starts[index].tolist(), ranges.ends[index].tolist())], vocabulary)
+    begins, ends = starts[index], ranges.ends[index]
+    group = np.cumsum(ends - begins) // WORD_BYTES
+    firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    parts = []
+    for i, j in zip(firsts.tolist(), np.append(firsts[1:], len(index)).tolist()):
+        parts.append(segment([data[a:b].tobytes() for a, b in zip(begins[i:j].tolist(), ends[i:j].tolist())], vocabulary))
+    ids, counts = (np.concatenate(x) for x in zip(*parts))
     begin = np.cumsum(counts) - counts
     sizes = counts[inverse]
     total = np.append(0, np.cumsum(sizes))
@@ -315,7 +323,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str]
         return [lists, pa.array(total[offsets[1:]] - total[offsets[:-1]]), *back]
 
     result = T.StructType([*RESULT, *([T.StructField("decoded", T.StringType(), False)] if decoded else [])])
-    return ragged.annotate(docs, text, result, compute, carry, into)
+    return ragged.annotate(docs, text, result, compute, carry, into, limit=TEXT_BYTES)
 
 
 def decode(ids: pa.ListArray, vocabulary: Vocabulary) -> list[str]:

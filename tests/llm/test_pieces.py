@@ -1,6 +1,7 @@
 """Encoding equals the library's and decoding brings texts back."""
 
 import random
+import tracemalloc
 
 import public_tokenizers
 import pyarrow as pa
@@ -32,6 +33,25 @@ def test_ids_equal_the_library():
     assert encode([]) == []
 
 
+def test_distinct_words_in_several_parts(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = odd_texts()[:300]
+    for size in (1, 50, 3000):
+        monkeypatch.setattr(pieces, "WORD_BYTES", size)
+        assert encode(texts) == library.encode(texts)
+
+
+def test_memory_does_not_follow_the_distinct_words_of_a_text():
+    vocabulary = pieces.load_vocabulary(PATH)
+    rnd = random.Random(3)
+    text = pa.array([" ".join("".join(rnd.choices("etaoinshrdlu", k=7)) for _ in range(200_000))])
+    tracemalloc.start()
+    pieces.encode(text, vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 180 << 20
+
+
 def test_decoding_brings_texts_back():
     vocabulary = pieces.load_vocabulary(PATH)
     texts = odd_texts()
