@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from gridscore.llm import ragged
 from gridscore.llm.components import discard, stored
+from gridscore.session import source_bytes
 
 #: Texts whose words are numbered together in a task.
 BLOCK_BYTES = 1 << 20
@@ -44,6 +45,12 @@ CHUNKS_TOGETHER = 64
 #: Tasks whose counts are added up together before the rest.
 TASKS_TOGETHER = 64
 
+#: Counts of phrases that a task gathers before it adds up those of one phrase, and sums that it sends on before the end.
+GATHERED = 1 << 17
+HELD = 1 << 18
+#: Bytes of source files for a task of the second scan, which sends each of its phrases once.
+TASK_BYTES = 128 << 20
+
 #: Bytes that end a piece, and bytes of words.
 _ENDS = ragged.flag_table([*b".,;:!?", *range(0x0A, 0x0E)])
 _WORD = ~(_ENDS | ragged.flag_table([0x20, 0x09]))
@@ -206,9 +213,9 @@ def likely_phrases(surveyed: DataFrame, least: int, buckets: int) -> np.ndarray:
 
 
 def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
-    """Counts of each block's phrases of two and more words whose buckets are flagged (``flags``: broadcast bits)."""
+    """Counts of a task's phrases of two and more words whose buckets are flagged (``flags``: broadcast bits)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = flags.value
         for words in blocks(batches, block_bytes):
             windows, size = Windows(words, buckets), len(words.dictionary)
@@ -233,7 +240,32 @@ def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
                     pa.array(counts.astype(np.int64)),
                 ], PHRASE.names)
 
-    return run
+    return lambda batches: summed(of_blocks(batches), GATHERED, HELD)
+
+
+def summed(batches: Iterator[pa.RecordBatch], gathered: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Counts of phrases, those of one phrase added up; more than ``held`` sums are sent on, so a phrase may come again."""
+
+    def added_up(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sums = pa.Table.from_batches(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["lang", "phrase", "n_sum"]).rename_columns(PHRASE.names).combine_chunks().to_batches()[0]
+
+    parts, fresh = [], 0
+    for batch in batches:
+        parts.append(batch)
+        fresh += batch.num_rows
+        if fresh >= gathered:
+            parts, fresh = [added_up(parts)], 0
+            if parts[0].num_rows > held:
+                yield parts.pop()
+    if fresh:
+        parts = [added_up(parts)]
+    yield from parts
+
+
+def large_tasks(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows`` in fewer tasks: one for every slot, or for ``TASK_BYTES`` of the files of ``source`` if these are more."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-source_bytes(source) // TASK_BYTES)))
 
 
 @contextmanager
@@ -256,7 +288,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: st
         surveyed = stored(rows.mapInArrow(survey(least, longest, buckets, block_bytes), SURVEY), "survey")
     words = stored(surveyed.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_phrases(surveyed, least, buckets * HASHES * (longest - 1))))
-    phrases = rows.mapInArrow(count_phrases(flags, longest, buckets, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    phrases = large_tasks(rows, docs).mapInArrow(count_phrases(flags, longest, buckets, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     some = words.select("lang", F.array("word").alias("words"), "n").union(phrases.select("lang", F.split("phrase", " ", -1).alias("words"), "n"))
     with small_batches(rows.sparkSession):
         counts = stored(some.where(F.col("n") >= least), "counts")

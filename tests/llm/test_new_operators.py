@@ -4,6 +4,7 @@ import hashlib
 import random
 import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -228,3 +229,30 @@ def test_a_worker_surveys_texts_in_small_blocks():
     tracemalloc.stop()
     assert words == 1_200_000
     assert peak < 4 * batch.nbytes
+
+
+def test_a_task_sends_each_of_its_phrases_once():
+    texts, langs = pa.array(["a b c a b. "] * 300), pa.array(["en"] * 300)
+    batch = pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])
+    every = SimpleNamespace(value=np.full(1 << 13, 255, np.uint8))
+    made = [r for b in collocations.count_phrases(every, 5, 1 << 12, 100)(iter([batch, batch])) for r in b.to_pylist()]
+    counts = {"a b": 1200, "b c": 600, "c a": 600, "a b c": 600, "b c a": 600, "c a b": 600, "a b c a": 600, "b c a b": 600, "a b c a b": 600}
+    assert len(made) == len(counts) and {r["phrase"]: r["n"] for r in made} == counts
+    assert [*collocations.count_phrases(every, 5, 1 << 12, 100)(iter([]))] == []
+
+
+def test_sums_that_are_sent_early_lose_no_count():
+    rnd = random.Random(5)
+    rows = [("en" if rnd.random() < 0.5 else None, f"p{rnd.randrange(60)}", rnd.randrange(9)) for _ in range(900)]
+    kinds = [pa.string(), pa.string(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows[i : i + 7]), kinds)], collocations.PHRASE.names) for i in range(0, 900, 7)]
+    expected = {}
+    for lang, phrase, n in rows:
+        expected[lang, phrase] = expected.get((lang, phrase), 0) + n
+    for gathered, held in ((1, 0), (20, 30), (10_000, 10_000)):
+        made = [*collocations.summed(iter(batches), gathered, held)]
+        assert len(made) > 1 or gathered > 900
+        found = {}
+        for r in (r for b in made for r in b.to_pylist()):
+            found[r["lang"], r["phrase"]] = found.get((r["lang"], r["phrase"]), 0) + r["n"]
+        assert found == expected
