@@ -2,8 +2,9 @@
 
 A state emits a word class, and the class its word: classes are given by word endings, so the tables that training sends
 around have a fixed size, while word counts stay a distributed table of the size of the vocabulary. Texts are first
-encoded as blocks: word numbers within the block and the block's own word list. Word counts reach a block by joining its word
-list, not its tokens.
+encoded as blocks: word numbers within the block and the block's own sorted word list. A list is cut into pieces by ranges of
+fingerprints, a range is counted over all blocks at once, and its counts go back to the blocks as pieces. Lists, pieces and word
+numbers travel as bytes, few rows at a time, so that no task holds more than a few blocks or a range.
 
 Sequences are handled in stretches: the product of the step matrices of every stretch is formed for all stretches at once,
 the scaled forward and backward vectors run over the stretches of a text, and from their values at the borders the
@@ -13,20 +14,25 @@ expected counts within all stretches follow at once. Likelihoods are those of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscore.llm import ragged
-from gridscore.llm.components import stored
+from gridscore.llm.components import discard, stored
 
 #: Bytes of text of one block, unless a single text is longer.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 1 << 20
+#: Texts or blocks that Spark reads at once, and bytes of them that it hands to a worker at once.
+TEXTS_TOGETHER, BLOCKS_TOGETHER, BYTES_TOGETHER = 1000, 8, 8 << 20
+#: Words of all lists of blocks that lie in one range of fingerprints.
+RANGE_WORDS = 1 << 20
 #: Tokens whose states are worked out at once.
 PART_TOKENS = 200_000
 STRETCH = 64
@@ -34,16 +40,22 @@ ENDING = 3  # bytes of a word that give its class
 DISCOUNT = 0.75
 HELD_OUT = (7, 2)  # a text is held out if its id's checksum leaves this remainder
 
-_longs, _ints = T.ArrayType(T.LongType(), False), T.ArrayType(T.IntegerType(), False)
+_bytes = lambda name: T.StructField(name, T.BinaryType())
 BLOCKS = T.StructType([
     T.StructField("block", T.LongType(), False),
     T.StructField("doc_ids", T.ArrayType(T.LongType())),
     T.StructField("held_out", T.ArrayType(T.BooleanType(), False)),
-    T.StructField("sizes", _ints),  # words of each text
-    T.StructField("tokens", _ints),  # numbers in the block's word list
-    T.StructField("words", _longs),  # fingerprints
-    T.StructField("classes", _ints),
-    T.StructField("counts", _ints),  # in training texts of the block
+    T.StructField("sizes", T.ArrayType(T.IntegerType(), False)),  # words of each text
+    _bytes("tokens"),  # numbers in the block's word list, of as few bytes as the longest needs
+    _bytes("words"),  # fingerprints, ascending, of 8 bytes
+    _bytes("classes"),  # of the words, 4 bytes each, as the next
+    _bytes("counts"),  # in training texts of the block
+])
+PIECES = T.StructType([T.StructField("block", T.LongType(), False), T.StructField("range", T.IntegerType(), False), _bytes("words"), _bytes("classes"), _bytes("counts")])
+#: Training counts of the words of a piece (8 bytes each), or what a range adds to a class.
+KNOWN = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("range", T.IntegerType()), _bytes("known"),
+    T.StructField("class", T.IntegerType()), T.StructField("class_tokens", T.LongType()), T.StructField("class_words", T.LongType()),
 ])
 SCORES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -96,13 +108,32 @@ def encode_block(ids: pa.Array, held: pa.Array, column: pa.Array, classes: int)
     counts = np.bincount(tokens[training], minlength=len(unique))
     kinds = word_classes(batch, words, classes)[index]
     one = lambda values, kind: pa.array([values], pa.list_(kind))
+    raw = lambda values, kind: pa.array([values.astype(kind).tobytes()], pa.binary())
     return [
         pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([held.to_pylist()], pa.list_(pa.bool_())), one(sizes.astype(np.int32), pa.int32()),
-        one(tokens.astype(np.int32), pa.int32()), one(unique.view(np.int64), pa.int64()), one(kinds.astype(np.int32), pa.int32()),
-        one(counts.astype(np.int32), pa.int32()),
+        raw(tokens, np.min_scalar_type(len(unique))), raw(unique, np.uint64), raw(kinds, np.int32), raw(counts, np.int32),
     ]
 
 
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """``n`` whole numbers that take all of ``raw``."""
+    return np.frombuffer(raw, f"u{len(raw) // n}") if n else np.zeros(0, np.uint8)
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside reads at most ``rows`` rows of a file at once and hands over about ``BYTES_TOGETHER`` bytes, or a single row."""
+    bounds = {"spark.sql.parquet.columnarReaderBatchSize": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_TOGETHER, "spark.sql.execution.arrow.maxRecordsPerBatch": TEXTS_TOGETHER}
+    before = {name: spark.conf.get(name) for name in bounds}
+    try:
+        for name, most in bounds.items():
+            spark.conf.set(name, str(most))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def blocks(docs: DataFrame, doc_id: str, text: str, classes: int) -> DataFrame:
     """Texts as ``BLOCKS`` rows, each of bounded text size."""
     checksum = F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary"))
@@ -282,10 +313,11 @@ def parts(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
         start = stop
 
 
-def lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    column = batch.column(name)
-    for i in range(batch.num_rows):
-        yield column[i].values.to_numpy(zero_copy_only=False)
+def block_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes and held-out flags of the texts of each block, its word numbers and the classes of its words."""
+    for sizes, held, tokens, kinds in zip(*(batch.column(name) for name in ("sizes", "held_out", "tokens", "classes"))):
+        sizes, held = sizes.values.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+        yield sizes.astype(np.int64), held.astype(bool), unpacked(tokens.as_buffer(), int(sizes.sum())), np.frombuffer(kinds.as_buffer(), np.int32)
 
 
 def round_counts(encoded: DataFrame, model: Model) -> np.ndarray:
@@ -297,10 +329,9 @@ def round_counts(encoded: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(model_size(shared.value))
         for batch in batches:
-            for sizes, held, tokens, kinds in zip(*(lists(batch, name) for name in ("sizes", "held_out", "tokens", "classes"))):
-                held = held.astype(bool)
+            for sizes, held, tokens, kinds in block_rows(batch):
                 chosen = np.repeat(~held, sizes)
-                sizes, words = sizes[~held].astype(np.int64), kinds[tokens[chosen]].astype(np.int64)
+                sizes, words = sizes[~held], kinds[tokens[chosen]].astype(np.int64)
                 for texts, of_texts in parts(sizes):
                     total += expected_counts(sizes[texts], words[of_texts], shared.value)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["entry", "count"])
@@ -318,6 +349,49 @@ def model_size(model: Model) -> int:
     return n + n * n + n * classes
 
 
+def pieces(encoded: DataFrame, ranges: int) -> DataFrame:
+    """The word lists of all blocks as ``PIECES``, cut at the same ``ranges`` of fingerprints. A block has no piece where it has no word."""
+    borders = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *columns in zip(*(batch.column(name) for name in ("block", "words", "classes", "counts"))):
+                words, *rest = (column.as_buffer() for column in columns)
+                cuts = np.concatenate([[0], np.searchsorted(np.frombuffer(words, np.uint64), borders), [words.size // 8]])
+                full = np.flatnonzero(np.diff(cuts))
+                ends = cuts[np.append(full, len(cuts) - 1)].astype(np.int32)  # an empty range begins where the next one does
+                slices = [pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends * width), raw]) for width, raw in zip((8, 4, 4), (words, *rest))]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(full), pa.int64()), pa.array(full.astype(np.int32)), *slices], PIECES.names)
+
+    return encoded.select("block", "words", "classes", "counts").mapInArrow(run, PIECES)
+
+
+def counted(classes: int):
+    """``KNOWN`` of all pieces of one range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda name: ragged.texts(table.column(name))
+        words, kinds, counts = flat("words"), flat("classes").data.view(np.int32), flat("counts").data.view(np.int32)
+        unique, first, at = np.unique(words.data.view(np.uint64), return_index=True, return_inverse=True)
+        known = np.zeros(len(unique), np.int64)
+        np.add.at(known, at, counts)
+        trained = known > 0
+        kinds, per_word = kinds[first][trained], known[trained]
+        tokens = np.zeros(classes, np.int64)
+        np.add.at(tokens, kinds, per_word)
+        has = np.flatnonzero(tokens)
+        found = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(words.offsets.astype(np.int32)), pa.py_buffer(known[at])])
+        none = lambda n, kind: pa.nulls(n, kind)
+        columns = [
+            (table.column("block").combine_chunks(), none(len(has), pa.int64())), (table.column("range").combine_chunks(), none(len(has), pa.int32())), (found, none(len(has), pa.binary())),
+            (none(len(words), pa.int32()), pa.array(has, pa.int32())), (none(len(words), pa.int64()), pa.array(tokens[has])),
+            (none(len(words), pa.int64()), pa.array(np.bincount(kinds, minlength=classes)[has], pa.int64())),
+        ]
+        return pa.table([pa.chunked_array(column) for column in columns], KNOWN.names)
+
+    return run
+
+
 def block_scores(sizes: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, known: np.ndarray, ends: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known tokens, base score and model score of each text. ``known``: training count of each word of the block."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -340,36 +414,39 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings
     an end alone. Unknown words are one event, as in the base score. Texts with a null id belong to training and keep
     the null. Without training texts every word is unknown. Repeated rows count and are scored each.
     """
-    encoded = stored(blocks(docs, doc_id, text, settings.classes), "blocks")
-    entries = encoded.select(F.explode(F.arrays_zip("words", "classes", "counts")).alias("w"))
-    vocabulary = stored(entries.groupBy(F.col("w.words").alias("word"), F.col("w.classes").alias("class")).agg(F.sum("w.counts").cast("bigint").alias("known")).where("known > 0"), "words")
+    spark = docs.sparkSession
+    with few_rows(spark, TEXTS_TOGETHER):
+        encoded = stored(blocks(docs, doc_id, text, settings.classes), "blocks")
+    trained = F.aggregate("held_out", F.lit(0).cast("bigint"), lambda n, held: n + F.when(held, 0).otherwise(1))
+    ends, listed = encoded.agg(F.sum(trained), F.sum(F.octet_length("words")) / 8).first()
+    ends, ranges = ends or 0, max(spark.sparkContext.defaultParallelism, int(listed or 0) // RANGE_WORDS + 1)
+    with few_rows(spark, BLOCKS_TOGETHER):
+        known = stored(pieces(encoded, ranges).groupBy("range").applyInArrow(counted(settings.classes), KNOWN), "known")
     class_tokens, class_words = np.zeros(settings.classes), np.zeros(settings.classes)
-    for kind, tokens, words in vocabulary.groupBy("class").agg(F.sum("known"), F.count("*")).collect():
+    for kind, tokens, words in known.where("class is not null").groupBy("class").agg(F.sum("class_tokens"), F.sum("class_words")).collect():
         class_tokens[kind] += tokens
         class_words[kind] += words
-    trained = F.aggregate("held_out", F.lit(0).cast("bigint"), lambda n, held: n + F.when(held, 0).otherwise(1))
-    ends = encoded.agg(F.sum(trained)).first()[0] or 0
     class_tokens[0], class_words[0] = ends, 1
     model = initial(class_tokens, class_words, int(class_tokens.sum()), int(class_words[1:].sum()) + (ends > 0), settings)
-    for _ in range(settings.rounds):
-        model = updated(model, round_counts(encoded, model))
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    with few_rows(spark, BLOCKS_TOGETHER):
+        for _ in range(settings.rounds):
+            model = updated(model, round_counts(encoded, model))
+    shared = spark.sparkContext.broadcast(model)
 
-    wanted = encoded.select("block", F.posexplode("words").alias("at", "word"))
-    found = wanted.join(vocabulary.select("word", "known"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "known")).alias("known"))
-    found = stored(found, "known")
+    found = known.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "known"))).alias("known"))
     full = encoded.select("block", "doc_ids", "held_out", "sizes", "tokens", "classes").join(found, "block", "left").drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for i, (sizes, held, tokens, kinds) in enumerate(zip(*(lists(batch, name) for name in ("sizes", "held_out", "tokens", "classes")))):
-                known = np.zeros(len(kinds), np.int64)
-                hits = batch.column("known")[i].values
-                if hits is not None:
-                    known[hits.field("at").to_numpy()] = hits.field("known").to_numpy()
-                n_known, base, score = block_scores(sizes.astype(np.int64), tokens, kinds, known, ends, model)
-                columns = [sizes.astype(np.int64) + 1, n_known, np.full(len(sizes), model.tokens, np.int64), base, score]
+            for i, (sizes, held, tokens, kinds) in enumerate(block_rows(batch)):
+                back = batch.column("known")[i].values
+                known = ragged.texts(back.field("known")).data.view(np.int64) if back is not None else np.zeros(0, np.int64)
+                n_known, base, score = block_scores(sizes, tokens, kinds, known, ends, model)
+                columns = [sizes + 1, n_known, np.full(len(sizes), model.tokens, np.int64), base, score]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, batch.column("held_out")[i].values, *map(pa.array, columns)], SCORES.names)
 
-    return full.mapInArrow(run, SCORES)
+    with few_rows(spark, BLOCKS_TOGETHER):
+        result = stored(full.mapInArrow(run, SCORES), "scores")
+    discard(encoded, known)
+    return result

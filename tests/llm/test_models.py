@@ -2,14 +2,16 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridscore.llm import hmm, language_id, queries
+from gridscore.llm import hmm, language_id, queries, ragged
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -90,6 +92,49 @@ def test_class_probabilities_sum_to_one():
     assert np.isclose((10**score).sum(), 0.5 * 0.5)  # the class, then the end
 
 
+def test_a_worker_encodes_texts_in_small_blocks():
+    texts = pa.array([" ".join(f"w{(i * 7919 + k * k) % 50_021}" for k in range(400)) for i in range(4000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([False] * 4000), texts], ["doc_id", "held_out", "text"])
+    tracemalloc.start()
+    made = [hmm.encode_block(*piece.columns, 4096) for piece in ragged.pieces(batch, "text", hmm.BLOCK_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(m[0][0]) for m in made) == 4000 and sum(sum(m[2][0].as_py()) for m in made) == 1_600_000
+    assert peak < 10 * batch.nbytes
+
+
+def test_spark_hands_over_few_bytes_at_once(spark):
+    rows = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = lambda: [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()]
+    with hmm.few_rows(spark, hmm.BLOCKS_TOGETHER):
+        few = sizes()
+    assert sum(few) >= 60 << 20 and max(few) < hmm.BYTES_TOGETHER + (2 << 20) < max(sizes())
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 5000])
+def test_ranges_count_the_words_of_all_blocks(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, 50) % 900) for _ in range(200)] + ["", None, "  "]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    encoded = hmm.blocks(docs, "doc_id", "text", 64).cache()
+    known = hmm.pieces(encoded, ranges).groupBy("range").applyInArrow(hmm.counted(64), hmm.KNOWN).collect()
+    expected, classes, total = Counter(), {}, Counter()
+    lists = {r.block: (np.frombuffer(r.words, np.uint64), np.frombuffer(r.classes, np.int32), np.frombuffer(r.counts, np.int32)) for r in encoded.collect()}
+    for words, kinds, counts in lists.values():
+        for word, kind, n in zip(words.tolist(), kinds.tolist(), counts.tolist()):
+            expected[word] += n
+            classes[word] = kind
+    for word, n in expected.items():
+        total[classes[word]] += n
+    assert sum(r.class_tokens for r in known if r.block is None) == sum(total.values())
+    assert sum(r.class_words for r in known if r.block is None) == sum(n > 0 for n in expected.values())
+    assert {k: n for k in range(64) if (n := sum(r.class_tokens for r in known if r["class"] == k))} == {k: n for k, n in total.items() if n}
+    for block, (words, _, _) in lists.items():
+        back = b"".join(bytes(r.known) for r in sorted((r for r in known if r.block == block), key=lambda r: r.range))
+        assert np.frombuffer(back, np.int64).tolist() == [expected[w] for w in words.tolist()]
+    encoded.unpersist()
+
+
 def test_language_of_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     train, test = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0 and length(text) > 100")
