@@ -6,7 +6,8 @@ so one pass with a stack of as many entries as a phrase has words reads the coun
 the one-word extensions in lockstep; nothing is looked up by hash. A stream is cut into ranges anywhere, also between a phrase and
 its extensions: the few phrases that reach over a cut are known before the pass.
 
-Counting needs two scans. The first counts words, and longer phrases in a fixed number of buckets for each length. The second
+Counting needs three scans. The first counts words, and pairs in buckets, of which there are more for larger sources. The second
+counts by a second hash the pairs whose buckets reach the least count, and in buckets the longer phrases of such pairs. The third
 counts only phrases that lie, like both of their parts with one word less, in buckets that reach the least count. The buckets
 leave out what cannot count; how many there are changes the cost, not the result.
 """
@@ -20,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,16 +34,14 @@ from gridscore.session import source_bytes
 BLOCK_BYTES = 1 << 20
 #: Texts that Spark hands to a worker at once.
 TEXTS_TOGETHER = 1000
-#: Buckets of the phrases of one length and one of the two hashes: a byte or two each in a worker, one bit each in what is sent around.
+#: Buckets of one set, at least: one bit each in what is sent around.
 BUCKETS = 1 << 22
-#: Hashes of a phrase; all of its buckets must reach the least count.
-HASHES = 2
-#: Buckets of one row while their counts are added up.
-CHUNK = 1 << 14
-#: Rows of bucket counts that a worker sends at once.
-CHUNKS_TOGETHER = 64
-#: Tasks whose counts are added up together before the rest.
-TASKS_TOGETHER = 64
+#: Bytes of source files for a bucket, so that buckets do not fill up with rare phrases as the source grows, and buckets at most.
+BUCKET_BYTES, MOST_BUCKETS = 128, 1 << 30
+#: Buckets whose counts are added up together.
+CHUNK = 1 << 16
+#: Occurrences of phrases that a task gathers before it counts their buckets.
+OCCURRENCES = 1 << 21
 
 #: Counts of phrases that a task gathers before it adds up those of one phrase, and sums that it sends on before the end.
 GATHERED = 1 << 17
@@ -57,7 +55,8 @@ _WORD = ~(_ENDS | ragged.flag_table([0x20, 0x09]))
 
 _text = lambda name: T.StructField(name, T.StringType(), True)
 _long = lambda name: T.StructField(name, T.LongType(), True)
-SURVEY = T.StructType([_text("lang"), _text("word"), _long("n"), T.StructField("chunk", T.IntegerType()), T.StructField("tasks", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+CHUNKS = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+SURVEY = T.StructType([_text("lang"), _text("word"), _long("n"), *CHUNKS])
 PHRASE = T.StructType([_text("lang"), _text("phrase"), _long("n")])
 
 
@@ -92,7 +91,7 @@ def read_words(column: pa.Array, lang: pa.Array) -> Words:
 
 
 class Windows:
-    """The bucket of the phrase of ``length`` words that begins at a word; ``longer`` goes on to the next length."""
+    """The buckets of the phrase of ``length`` words that begins at a word; ``longer`` goes on to the next length."""
 
     def __init__(self, words: Words, buckets: int) -> None:
         own = ragged.texts(words.langs)
@@ -112,13 +111,31 @@ class Windows:
         self.length += 1
 
     def bucket(self, which: int) -> np.ndarray:
+        """Buckets of set ``which``."""
         mixed = ragged.mixed(self.prints ^ self.salt[self.words.lang[self.at]] ^ np.uint64(which))
-        return (mixed % np.uint64(self.buckets)).astype(np.int64) + (HASHES * (self.length - 2) + which) * self.buckets
+        return (mixed % np.uint64(self.buckets)).astype(np.int64)
 
-    def narrow(self, keep: np.ndarray) -> None:
+    def narrow(self, bits: np.ndarray, which: int) -> None:
+        """Keep the phrases whose buckets of set ``which`` are flagged."""
+        bucket = self.bucket(which)
+        keep = (bits[(bucket >> 3) + which * bit_bytes(self.buckets)] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0
         self.at, self.prints = self.at[keep], self.prints[keep]
 
 
+def bucket_sets(length: int) -> tuple[int, ...]:
+    """Numbers of the sets of buckets of phrases of ``length`` words: two hashes of pairs, one of each longer length."""
+    return (0, 1) if length == 2 else (length - 1,)
+
+
+def bit_bytes(buckets: int) -> int:
+    return -(-buckets // 8)
+
+
+def enough_buckets(source: DataFrame) -> int:
+    """The power of two from ``BUCKETS`` on that has one for every ``BUCKET_BYTES`` of files."""
+    return min(max(BUCKETS, 1 << (source_bytes(source) // BUCKET_BYTES).bit_length()), MOST_BUCKETS)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Words]:
     for batch in batches:
         for piece in ragged.pieces(batch, "text", block_bytes):
@@ -133,83 +150,120 @@ def tallied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, inverse, counts
 
 
+class Gathered:
+    """Buckets of one set, counted when there are ``OCCURRENCES`` of them."""
+
+    def __init__(self, which: int, buckets: int, least: int) -> None:
+        self.kind, self.least, self.parts, self.n = np.min_scalar_type(least), least, [], 0
+        self.first = which * -(-buckets // CHUNK)
+
+    def add(self, buckets: np.ndarray) -> Iterator[tuple[pa.Array, ...]]:
+        self.parts.append(buckets.astype(np.uint32))
+        self.n += len(buckets)
+        if self.n >= OCCURRENCES:
+            yield self.counted()
+
+    def rest(self) -> Iterator[tuple[pa.Array, ...]]:
+        if self.n:
+            yield self.counted()
+
+    def counted(self) -> tuple[pa.Array, ...]:
+        """Columns of ``CHUNKS``: places within the chunk (2 bytes each) and counts, cut off at ``least``."""
+        all_ = np.concatenate(self.parts)
+        self.parts, self.n = [], 0
+        all_.sort()
+        starts = np.flatnonzero(np.append(True, all_[1:] != all_[:-1]))
+        counts = np.minimum(np.diff(starts, append=len(all_)), self.least).astype(self.kind)
+        places = all_[starts]
+        chunks = places // np.uint32(CHUNK)
+        rows = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1]))
+        ends = np.append(rows, len(places))
+        column = lambda values: pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+        return pa.array(chunks[rows].astype(np.int32) + np.int32(self.first)), column((places % np.uint32(CHUNK)).astype(np.uint16)), column(counts)
+
+
 def survey(least: int, longest: int, buckets: int, block_bytes: int):
-    """Counts of the words of each block; at the end of the task its counts of phrases by bucket, cut off at ``least``."""
-    kind = np.min_scalar_type(least)
-    none = lambda n, t: pa.nulls(n, t)
+    """Counts of the words of each task, a word several times if the task has very many, and of its pairs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = np.zeros(buckets * HASHES * (longest - 1), kind)
-        for words in blocks(batches, block_bytes):
-            first, _, counts = tallied(words.lang.astype(np.int64) * len(words.dictionary) + words.ids)
-            n = len(first)
-            yield pa.RecordBatch.from_arrays([
-                words.langs.take(pa.array(words.lang[first])).cast(pa.string()), words.dictionary.take(pa.array(words.ids[first])).cast(pa.string()), pa.array(counts.astype(np.int64)),
-                none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary()),
-            ], SURVEY.names)
-            windows, every = Windows(words, buckets), np.ones(len(words.ids), bool)
-            for _ in range(2, longest + 1):
-                windows.longer(every)
-                for which in range(HASHES):
-                    bucket, more = np.unique(windows.bucket(which), return_counts=True)
-                    counted[bucket] = np.minimum(counted[bucket] + more, least)
-        tasks = TaskContext.get().partitionId() // TASKS_TOGETHER
-        step = CHUNK * CHUNKS_TOGETHER
-        for start in range(0, len(counted), step):
-            parts = {at // CHUNK: counted[at : at + CHUNK] for at in range(start, min(start + step, len(counted)), CHUNK)}
-            packed = {chunk: pack(part) for chunk, part in parts.items() if part.any()}
-            n = len(packed)
-            yield pa.RecordBatch.from_arrays([
-                none(n, pa.string()), none(n, pa.string()), none(n, pa.int64()), pa.array(list(packed), pa.int32()), pa.array([tasks] * n, pa.int32()),
-                pa.array(list(packed.values()), pa.binary()),
-            ], SURVEY.names)
+        pairs = Gathered(0, buckets, least)
+        made: list[tuple[pa.Array, ...]] = []
+
+        def of_blocks() -> Iterator[pa.RecordBatch]:
+            for words in blocks(batches, block_bytes):
+                if longest > 1:
+                    windows = Windows(words, buckets)
+                    windows.longer(np.ones(len(words.ids), bool))
+                    made.extend(pairs.add(windows.bucket(0)))
+                size = len(words.dictionary)
+                counts = np.bincount(words.lang.astype(np.int64) * size + words.ids)
+                found = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(found // size)).cast(pa.string()), words.dictionary.take(pa.array(found % size)).cast(pa.string()), pa.array(counts[found])], PHRASE.names)
+
+        def chunks() -> Iterator[pa.RecordBatch]:
+            while made:
+                columns = made.pop()
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), t) for t in (pa.string(), pa.string(), pa.int64())), *columns], SURVEY.names)
+
+        for batch in summed(of_blocks(), GATHERED, HELD, made):
+            if batch is not None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary()))], SURVEY.names)
+            yield from chunks()
+        made.extend(pairs.rest())
+        yield from chunks()
 
     return run
 
 
-def pack(part: np.ndarray) -> bytes:
-    """Counts of a chunk: places and counts of those above zero if that is shorter, else all; told apart by the first byte."""
-    at = np.flatnonzero(part).astype(np.uint16)
-    if len(at) * (2 + part.itemsize) < part.nbytes:
-        return b"s" + at.tobytes() + part[at].tobytes()
-    return b"a" + part.tobytes()
+def survey_longer(flags, least: int, longest: int, buckets: int, block_bytes: int):
+    """Counts by bucket of the pairs whose first buckets are flagged (``flags``: broadcast bits), by their second hash, and of the longer
+    phrases whose pairs all are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [Gathered(which, buckets, least) for which in range(longest)]
+        for words in blocks(batches, block_bytes):
+            windows, likely = Windows(words, buckets), np.ones(len(words.ids), bool)
+            for length in range(2, longest + 1):
+                windows.longer(likely)
+                if length == 2:
+                    windows.narrow(flags.value, 0)
+                if not len(windows.at):
+                    break
+                which = bucket_sets(length)[-1]
+                for columns in sets[which].add(windows.bucket(which)):
+                    yield pa.RecordBatch.from_arrays([*columns], CHUNKS.names)
+                likely = np.zeros(len(words.ids), bool)
+                likely[windows.at] = True
+        for gathered in sets:
+            for columns in gathered.rest():
+                yield pa.RecordBatch.from_arrays([*columns], CHUNKS.names)
 
-def unpack(packed: bytes, size: int, kind: np.dtype) -> np.ndarray:
-    if packed[:1] == b"a":
-        return np.frombuffer(packed, kind, offset=1)
-    n = (len(packed) - 1) // (2 + kind.itemsize)
-    part = np.zeros(size, kind)
-    part[np.frombuffer(packed, np.uint16, n, 1)] = np.frombuffer(packed, kind, n, 1 + 2 * n)
-    return part
+    return run
 
 
-def added(least: int, buckets: int, last: bool):
-    """The rows of one chunk as one row; in the end as one bit for each bucket that reaches ``least``."""
+def added(least: int):
+    """The rows of one chunk as one bit for each bucket that reaches ``least``."""
     kind = np.min_scalar_type(least)
 
     def add(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        size = min(CHUNK, buckets - chunk * CHUNK)
-        total = np.zeros(size, np.uint64)
-        for packed in table.column("counts").to_pylist():
-            total += unpack(packed, size, kind)
-        out = np.packbits(total >= least).tobytes() if last else pack(np.minimum(total, least).astype(kind))
-        return pa.table([pa.array([chunk], pa.int32()), pa.array([out], pa.binary())], ["chunk", "counts"])
+        places, counts = (ragged.texts(table.column(name)).data for name in ("places", "counts"))
+        total = np.zeros(CHUNK, np.uint64)
+        np.add.at(total, places.view(np.uint16), counts.view(kind).astype(np.uint64))
+        return pa.table([table.column("chunk")[:1], pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["chunk", "bits"])
 
     return add
 
 
-def likely_phrases(surveyed: DataFrame, least: int, buckets: int) -> np.ndarray:
-    """Flags of the buckets that reach ``least``; as many bits as there are buckets come to the driver."""
-    rows = surveyed.where("chunk is not null")
-    schema = "chunk int, counts binary"
-    some = rows.groupBy("chunk", "tasks").applyInArrow(added(least, buckets, False), schema)
-    flags = np.zeros(buckets, bool)
-    for row in some.groupBy("chunk").applyInArrow(added(least, buckets, True), schema).collect():
-        size = min(CHUNK, buckets - row.chunk * CHUNK)
-        flags[row.chunk * CHUNK : row.chunk * CHUNK + size] = np.unpackbits(np.frombuffer(row.counts, np.uint8), count=size)
-    return flags
+def likely_phrases(chunks: DataFrame, least: int, buckets: int, bits: np.ndarray) -> None:
+    """Set in ``bits`` the flags of the buckets that reach ``least``; as many bits as there are buckets come to the driver."""
+    per_set, size = -(-buckets // CHUNK), bit_bytes(buckets)
+    flagged = stored(chunks.groupBy("chunk").applyInArrow(added(least), "chunk int, bits binary"), "flags")
+    for row in flagged.toLocalIterator():
+        which, chunk = divmod(row.chunk, per_set)
+        start = chunk * CHUNK // 8
+        n = min(CHUNK // 8, size - start)
+        bits[which * size + start : which * size + start + n] = np.frombuffer(row.bits, np.uint8, n)
+    discard(flagged)
 
 
 def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
@@ -223,9 +277,8 @@ def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
             names = words.lang.astype(np.int64) * size + words.ids
             for length in range(2, longest + 1):
                 windows.longer(likely)
-                for which in range(HASHES):
-                    bucket = windows.bucket(which)
-                    windows.narrow((bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0)
+                for which in bucket_sets(length):
+                    windows.narrow(bits, which)
                 at = windows.at
                 if not len(at):
                     break
@@ -243,8 +296,11 @@ def count_phrases(flags, longest: int, buckets: int, block_bytes: int):
     return lambda batches: summed(of_blocks(batches), GATHERED, HELD)
 
 
-def summed(batches: Iterator[pa.RecordBatch], gathered: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Counts of phrases, those of one phrase added up; more than ``held`` sums are sent on, so a phrase may come again."""
+def summed(batches: Iterator[pa.RecordBatch], gathered: int, held: int, waiting: list | None = None) -> Iterator[pa.RecordBatch | None]:
+    """Counts of phrases, those of one phrase added up; more than ``held`` sums are sent on, so a phrase may come again.
+
+    None comes in between if the caller has put something into ``waiting``, to be taken out.
+    """
 
     def added_up(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         sums = pa.Table.from_batches(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
@@ -252,6 +308,8 @@ def summed(batches: Iterator[pa.RecordBatch], gathered: int, held: int) -> Itera
 
     parts, fresh = [], 0
     for batch in batches:
+        if waiting:
+            yield None
         parts.append(batch)
         fresh += batch.num_rows
         if fresh >= gathered:
@@ -284,16 +342,23 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text: str, lang: st
     """``lang``, ``words`` (array), ``n`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``lang``,
     ``total`` (words of the language)."""
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    with small_batches(rows.sparkSession):
+    spark, bits = rows.sparkSession, np.zeros(longest * bit_bytes(buckets), np.uint8)
+    with small_batches(spark):
         surveyed = stored(rows.mapInArrow(survey(least, longest, buckets, block_bytes), SURVEY), "survey")
     words = stored(surveyed.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(likely_phrases(surveyed, least, buckets * HASHES * (longest - 1))))
+    likely_phrases(surveyed.where("chunk is not null").select(*CHUNKS.names), least, buckets, bits)
+    discard(surveyed)
+    first = spark.sparkContext.broadcast(bits[: bit_bytes(buckets)].copy())
+    with small_batches(spark):
+        likely_phrases(rows.mapInArrow(survey_longer(first, least, longest, buckets, block_bytes), CHUNKS), least, buckets, bits)
+    first.unpersist()
+    flags = spark.sparkContext.broadcast(bits)
     phrases = large_tasks(rows, docs).mapInArrow(count_phrases(flags, longest, buckets, block_bytes), PHRASE).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     some = words.select("lang", F.array("word").alias("words"), "n").union(phrases.select("lang", F.split("phrase", " ", -1).alias("words"), "n"))
-    with small_batches(rows.sparkSession):
+    with small_batches(spark):
         counts = stored(some.where(F.col("n") >= least), "counts")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    discard(surveyed, words)
+    discard(words)
     return counts, totals
 
 
@@ -392,7 +457,7 @@ def weakest_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, share: int = 100, best: int = 2000, buckets: int = BUCKETS,
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, share: int = 100, best: int = 2000, buckets: int | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``best`` phrases of each language: ``lang``, ``rank``, ``phrase``, ``a`` (its count), ``l`` and ``r`` (counts of the two
@@ -404,7 +469,7 @@ def collocations(
     A null language is ``und``; null, empty and blank texts have no words; repeated rows count again. Ties go by count, then by
     the bytes of the phrase. No documents give no rows. Texts and counts are whole; arithmetic is exact.
     """
-    counts, totals = phrase_counts(docs, least, longest, text, lang, buckets, block_bytes)
+    counts, totals = phrase_counts(docs, least, longest, text, lang, buckets or enough_buckets(docs), block_bytes)
     by_prefix = stored(lockstep(counts.select("lang", F.col("words").alias("seq"), "n"), "firsts", "right"), "by_prefix")
     turned = by_prefix.select("lang", F.reverse("seq").alias("seq"), "n", "firsts", "right")
     both = stored(lockstep(turned, "lasts", "left").where("size(seq) > 1"), "by_suffix")

@@ -256,3 +256,42 @@ def test_sums_that_are_sent_early_lose_no_count():
         for r in (r for b in made for r in b.to_pylist()):
             found[r["lang"], r["phrase"]] = found.get((r["lang"], r["phrase"]), 0) + r["n"]
         assert found == expected
+
+
+def test_a_larger_source_has_more_buckets(spark, monkeypatch, tmp_path):
+    # Pairs that occur once or twice would fill the least number of buckets, and then every one of them would be counted.
+    rnd = random.Random(6)
+    rows = [("en", " ".join(f"w{rnd.randrange(3000)}" for _ in range(300)) + ". new york") for _ in range(300)]
+    spark.createDataFrame(rows, "lang string, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(collocations, "BUCKETS", 1 << 10)
+    monkeypatch.setattr(collocations, "BUCKET_BYTES", 8)
+    buckets = collocations.enough_buckets(docs)
+    assert buckets >= 1 << 16
+    flagged = {}
+    for n in (1 << 10, buckets):
+        bits = np.zeros(5 * n // 8, np.uint8)
+        chunks = docs.mapInArrow(collocations.survey(20, 5, n, 1 << 20), collocations.SURVEY).where("chunk is not null").select(*collocations.CHUNKS.names)
+        collocations.likely_phrases(chunks, 20, n, bits)
+        flagged[n] = np.unpackbits(bits[: n // 8]).mean()
+    assert flagged[1 << 10] == 1 and 0 < flagged[buckets] < 0.01
+    found = collocations.collocations(docs, least=20)
+    assert sorted(tuple(r) for r in found.collect()) == plain_collocations(rows, 20, 5, 100, 2000)
+
+
+@pytest.mark.parametrize("buckets", [16, 100_003, 1 << 18])
+def test_buckets_that_are_sent_early_lose_no_count(monkeypatch, buckets):
+    monkeypatch.setattr(collocations, "OCCURRENCES", 1000)
+    rng = np.random.default_rng(buckets)
+    parts = [rng.zipf(1.2, 700) % buckets for _ in range(20)]
+    gathered = collocations.Gathered(2, buckets, 30)
+    made = [columns for part in parts for columns in gathered.add(part)] + [*gathered.rest()]
+    table = pa.concat_tables([pa.table([*columns], collocations.CHUNKS.names) for columns in made])
+    expected = np.bincount(np.concatenate(parts), minlength=buckets) >= 30
+    per_set = -(-buckets // collocations.CHUNK)
+    got = np.zeros(per_set * collocations.CHUNK, bool)
+    for chunk in set(table.column("chunk").to_pylist()):
+        row = collocations.added(30)(table.filter(pa.array([c == chunk for c in table.column("chunk").to_pylist()]))).to_pylist()[0]
+        at = (row["chunk"] - 2 * per_set) * collocations.CHUNK
+        got[at : at + collocations.CHUNK] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))
+    assert len(made) > 5 and (got[:buckets] == expected).all() and not got[buckets:].any()
