@@ -36,8 +36,9 @@ BLOCK_BYTES = 1 << 20
 TEXTS_TOGETHER = 1000
 #: Buckets of one set, at least: one bit each in what is sent around.
 BUCKETS = 1 << 22
-#: Bytes of source files for a bucket, so that buckets do not fill up with rare phrases as the source grows, and buckets at most.
-BUCKET_BYTES, MOST_BUCKETS = 128, 1 << 30
+#: Bytes of source files for a bucket, so that buckets do not fill up with rare phrases as the source grows, and buckets at most, because
+#: every worker holds their bits.
+BUCKET_BYTES, MOST_BUCKETS = 128, 1 << 27
 #: Buckets whose counts are added up together.
 CHUNK = 1 << 16
 #: Occurrences of phrases that a task gathers before it counts their buckets.
